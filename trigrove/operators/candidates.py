@@ -6,7 +6,7 @@ queries lead to it, and per distinct shape, however many entries share it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trigrove.functions import text
@@ -76,26 +76,31 @@ def _lookups(search_grams: DataFrame) -> DataFrame:
     )
 
 
-def _grades() -> Column:
-    """Roles in which a met shape counts, as an array of ``(role, score)``.
+def _graded(met: DataFrame, kept: list[str]) -> DataFrame:
+    """Score of each met shape in each role it plays.
 
     A shape is met once per shared looked-up gram; only the meeting on the rarest shared gram
-    counts, so no pass over the pairs is needed to drop repeats.
+    counts, so no pass over the pairs is needed to drop repeats. The test is part of the score, not
+    a filter, because a filter would be pushed down and intersect the grams a second time.
     """
-    def grade(common: Column) -> Column:
-        matches = F.size(common)
-        rare = F.slice("search_grams", 1, FUZZY_GRAMS)
-        hits = F.size(F.array_intersect(F.slice(common, 1, FUZZY_GRAMS), rare))
-        by_overlap = F.when(
-            matches >= F.col("required"), F.struct(F.lit(OVERLAP).alias("role"), (matches / F.col("n")).alias("score"))
-        )
-        by_hits = F.when(
-            F.col("near") & (hits > 0), F.struct(F.lit(FUZZY).alias("role"), hits.cast("double").alias("score"))
-        )
-        met_here = F.get(common, F.lit(0)) == F.col("gram")
-        return F.when(met_here, F.array_compact(F.array(by_overlap, by_hits)))
-
-    return F.get(F.transform(F.array(F.array_intersect("search_grams", "grams")), grade), F.lit(0))
+    shared = met.withColumn("common", F.array_intersect("search_grams", "grams"))
+    matches = F.size("common")
+    met_here = F.get("common", F.lit(0)) == F.col("gram")
+    hits = F.lit(0.0)
+    for place in range(FUZZY_GRAMS):
+        held = F.array_contains("common", F.get("search_grams", F.lit(place)))
+        hits = hits + F.coalesce(held, F.lit(False)).cast("double")
+    overlap = F.when(met_here & (matches >= F.col("required")), matches / F.col("n"))
+    near = F.when(met_here & F.col("near") & (hits > 0), hits)
+    scores = F.array(
+        F.struct(F.lit(OVERLAP).alias("role"), overlap.alias("score")),
+        F.struct(F.lit(FUZZY).alias("role"), near.alias("score")),
+    )
+    return (
+        shared.select(*SEARCH, "shape_id", *kept, F.explode(scores).alias("grade"))
+        .select(*SEARCH, "shape_id", *kept, "grade.*")
+        .where("score is not null")
+    )
 
 
 def search_shapes(tables: LookupTables, search_grams: DataFrame, most: int, broadcast: bool) -> DataFrame:
@@ -123,8 +128,7 @@ def search_shapes(tables: LookupTables, search_grams: DataFrame, most: int, broa
         ).drop("n_shapes")
         met = spread.join(repeated, ["entry_class", "gram", "salt"])
     kept = ["terms", "members"] if broadcast else []
-    graded = met.select(*SEARCH, "shape_id", *kept, F.explode(_grades()).alias("grade"))
-    best = _top(graded.select(*SEARCH, "shape_id", *kept, "grade.*"), [*SEARCH, "role"], "shape_id", most)
+    best = _top(_graded(met, kept), [*SEARCH, "role"], "shape_id", most)
     if not broadcast:
         best = best.join(tables.shapes.select("entry_class", "shape_id", "terms", "members"), ["entry_class", "shape_id"])
     return best
@@ -144,6 +148,23 @@ def search_hits(tables: LookupTables, search_grams: DataFrame, most: int, broadc
     return _top(entries, [*SEARCH, "role"], "id", most)
 
 
+def text_hits(routes: DataFrame, found: DataFrame) -> DataFrame:
+    """Hits of every text from the hits of its searches.
+
+    Near spellings are for short texts only. A text with a single search has its whole pool at
+    hand, so entries that are no near spelling leave before any shuffle; with several searches the
+    pool must first be cut over all of them.
+    """
+    pooled = F.col("role") == FUZZY
+    near = text.within_distance(F.col("text"), F.col("terms"))
+    short = F.length("text") < FUZZY_LENGTH
+    return (
+        routes.join(found, SEARCH)
+        .where(~pooled | (short & (~F.col("single") | near)))
+        .select("text", "role", "score", "terms", "id", "name", "access_count", "last_accessed", "frecency_score")
+    )
+
+
 def exact_hits(exact_terms: DataFrame, lookups: DataFrame) -> DataFrame:
     """Owner of the whole text in each class of ``(text, entry_class)``."""
     return (

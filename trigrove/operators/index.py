@@ -145,6 +145,8 @@ class LookupTables:
             table = getattr(self, name)
             if name == "gram_counts":  # from the written shapes, not from the catalog again
                 table = gram_counts(spark.read.parquet(shape_path))
+            if name == "shapes":  # searching a shape costs far more than reading it: one file per core and class
+                table = table.repartition(spark.sparkContext.defaultParallelism, "shape_id")
             writer = table.write.mode("overwrite")
             if name in split:
                 writer = writer.partitionBy("entry_class")

@@ -91,7 +91,8 @@ def classify(
 
 
 def route(intents: DataFrame, profile: Profile = UNIX, class_filter: str = "All") -> DataFrame:
-    """``(text, intent, entry_class, search_text, least)``: one row per lookup a text makes."""
+    """``(text, intent, single, entry_class, search_text, least)``: one row per lookup a text makes;
+    ``single`` marks a text that makes only one."""
     def struct(group: str, source: str, least: float) -> Column:
         searched = F.col("keyword") if source == "keyword" else F.col("text")
         return F.struct(
@@ -107,7 +108,9 @@ def route(intents: DataFrame, profile: Profile = UNIX, class_filter: str = "All"
             made = F.array(*[struct(*r) for r in rows])
             test = F.col("intent") == intent
             lookups = F.when(test, made) if lookups is None else lookups.when(test, made)
-    return intents.select("text", "intent", F.explode(lookups).alias("lookup")).select("text", "intent", "lookup.*")
+    return intents.select(
+        "text", "intent", (F.size(lookups) == 1).alias("single"), F.explode(lookups).alias("lookup")
+    ).select("text", "intent", "single", "lookup.*")
 
 
 FILTER_CLASSES = {

@@ -68,12 +68,7 @@ def retrieve(
     routes = I.route(intents, p, pre_filter)
     search_grams = C.ranked_grams(C.searches(routes), tables.gram_counts)
     found = C.search_hits(tables, search_grams, most, broadcast)
-    # The pool of near spellings is for short texts only; a search may serve longer ones too.
-    hits = (
-        routes.join(found, C.SEARCH)
-        .where((F.col("role") != C.FUZZY) | (F.length("text") < C.FUZZY_LENGTH))
-        .drop(*C.SEARCH, "intent", "place")
-    )
+    hits = C.text_hits(routes, found)
     if p.exact_scope == "filter":
         classes = F.array(*[F.lit(c) for c in I.FILTER_CLASSES[pre_filter]])
         exact_lookups = texts.select("text", F.explode(classes).alias("entry_class"))
