@@ -20,6 +20,8 @@ OVERLAP, FUZZY, EXACT = "overlap", "fuzzy", "exact"
 
 # Postings of one gram that one task of a shuffled lookup should meet at most.
 ROWS_PER_SALT = 1_000_000
+# Texts that one task joins with the hits of their common search at most.
+TEXTS_PER_SALT = 2_000
 # A batch whose lookup rows are at most this big is sent to every task instead.
 BROADCAST_BYTES = 128 * 1024 * 1024
 BROADCAST_TEXTS = 50_000
@@ -27,7 +29,9 @@ BROADCAST_TEXTS = 50_000
 
 def searches(routes: DataFrame) -> DataFrame:
     """Distinct searches; ``near`` when a text short enough for near spellings leads to one."""
-    return routes.groupBy(*SEARCH).agg(F.bool_or(F.length("text") < FUZZY_LENGTH).alias("near"))
+    return routes.groupBy(*SEARCH).agg(
+        F.bool_or(F.length("text") < FUZZY_LENGTH).alias("near"), F.count("*").alias("n_texts")
+    )
 
 
 def ranked_grams(search_rows: DataFrame, gram_counts: DataFrame) -> DataFrame:
@@ -148,9 +152,13 @@ def search_hits(tables: LookupTables, search_grams: DataFrame, most: int, broadc
     return _top(entries, [*SEARCH, "role"], "id", most)
 
 
-def text_hits(routes: DataFrame, found: DataFrame) -> DataFrame:
+def text_hits(routes: DataFrame, found: DataFrame, search_rows: DataFrame) -> DataFrame:
     """Hits of every text from the hits of its searches.
 
+    A third of all texts may make the same search. Searches of more than ``TEXTS_PER_SALT``
+    texts are spread over several tasks, their hits (a bounded number) being repeated for each.
+    Of such searches there are fewer than the number of lookups divided by that limit.
+
     Near spellings are for short texts only. A text with a single search has its whole pool at
     hand, so entries that are no near spelling leave before any shuffle; with several searches the
     pool must first be cut over all of them.
@@ -158,8 +166,20 @@ def text_hits(routes: DataFrame, found: DataFrame) -> DataFrame:
     pooled = F.col("role") == FUZZY
     near = text.within_distance(F.col("text"), F.col("terms"))
     short = F.length("text") < FUZZY_LENGTH
+    hot = F.broadcast(
+        search_rows.where(F.col("n_texts") > TEXTS_PER_SALT).select(
+            *SEARCH, F.ceil(F.col("n_texts") / TEXTS_PER_SALT).alias("salts")
+        )
+    )
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    spread = routes.join(hot, SEARCH, "left").withColumn("salt", F.pmod(F.xxhash64("text"), salts)).drop("salts")
+    repeated = (
+        found.join(hot, SEARCH, "left")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+        .drop("salts")
+    )
     return (
-        routes.join(found, SEARCH)
+        spread.join(repeated, [*SEARCH, "salt"])
         .where(~pooled | (short & (~F.col("single") | near)))
         .select("text", "role", "score", "terms", "id", "name", "access_count", "last_accessed", "frecency_score")
     )

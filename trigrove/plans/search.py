@@ -66,9 +66,10 @@ def retrieve(
         broadcast = C.fits_broadcast(queries.select(F.coalesce("query", F.lit("")).alias("text")))
     intents = I.classify(texts, tables.app_terms, tables.extensions, tables.setting_words, p)
     routes = I.route(intents, p, pre_filter)
-    search_grams = C.ranked_grams(C.searches(routes), tables.gram_counts)
+    search_rows = C.searches(routes)
+    search_grams = C.ranked_grams(search_rows, tables.gram_counts)
     found = C.search_hits(tables, search_grams, most, broadcast)
-    hits = C.text_hits(routes, found)
+    hits = C.text_hits(routes, found, search_rows)
     if p.exact_scope == "filter":
         classes = F.array(*[F.lit(c) for c in I.FILTER_CLASSES[pre_filter]])
         exact_lookups = texts.select("text", F.explode(classes).alias("entry_class"))
