@@ -84,6 +84,12 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole
 
 
+def seconds(ts: Column) -> Column:
+    """Epoch seconds of a timestamp without time zone, taken as UTC whatever the session's zone is."""
+    whole_days = F.unix_date(F.to_date(ts)).cast("long") * 86_400
+    return whole_days + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts)
+
+
 PICKS = ("click", "view", "purchase")
 
 
@@ -93,7 +99,7 @@ def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "events")
         .where(F.col("event_type").isin(*PICKS))
         .select(
-            F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"),
+            seconds(F.col("ts")).alias("ts"),
             F.col("event_id").alias("seq"),
             F.array(
                 F.get_json_object("props", "$.k").cast("long"),

@@ -503,7 +503,7 @@ def clicks(events: DataFrame, part: DataFrame) -> DataFrame:
     """Every click event as the pick of a part that was looked for by its name."""
     picked = events.where("event_type = 'click'").select(
         F.col("event_id"),
-        F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"),
+        T.seconds(F.col("ts")).alias("timestamp"),
         F.get_json_object("props", "$.k").cast("long").alias("k"),
         F.hour("ts").alias("hour_of_day"),
         F.weekday("ts").alias("day_of_week"),
@@ -574,7 +574,7 @@ def _event_lines(spark: SparkSession, sf: str) -> DataFrame:
     whole = F.concat(
         F.lit('{"query":"'), "event_type", F.lit('","selected_id":1844674407'),
         F.lpad(F.col("event_id").cast("string"), 10, "0"), F.lit(',"selected_name":"x","timestamp":'),
-        F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.lit(',"rank_position":1}'),
+        T.seconds(F.col("ts")).cast("string"), F.lit(',"rank_position":1}'),
     )
     return events.select(
         F.when(F.col("event_type") == "error", F.substring(whole, 1, 30))
