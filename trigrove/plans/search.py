@@ -14,6 +14,7 @@ from trigrove.operators import intent as I
 from trigrove.operators import rank as R
 from trigrove.operators.index import LookupTables
 from trigrove.operators.usage import file_type_popularity, with_usage
+from trigrove.plans.shared import written
 
 CONTEXT = {
     "active_app": "string",
@@ -52,7 +53,8 @@ def retrieve(
     class_filter: str = "All",
     broadcast: bool | None = None,
 ) -> Steps:
-    """Candidates of every distinct text, best first.
+    """Candidates of every distinct text, best first. Writes the lookups of the texts to the shared
+    folder; all else is left to the caller's action.
 
     ``broadcast`` says whether the lookup side is small enough for every task; by default this
     is found out by looking at no more than ``BROADCAST_TEXTS`` + 1 queries.
@@ -65,7 +67,9 @@ def retrieve(
     if broadcast is None:
         broadcast = C.fits_broadcast(queries.select(F.coalesce("query", F.lit("")).alias("text")))
     intents = I.classify(texts, tables.app_terms, tables.extensions, tables.setting_words, p)
-    routes = I.route(intents, p, pre_filter)
+    # Everything below starts from the lookups of the texts, several times; they are small, so they are
+    # written once instead of being worked out from the queries for each use.
+    routes = written(I.route(intents, p, pre_filter), "routes")
     search_rows = C.searches(routes)
     search_grams = C.ranked_grams(search_rows, tables.gram_counts)
     found = C.search_hits(tables, search_grams, most, broadcast)
