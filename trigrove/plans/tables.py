@@ -65,7 +65,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = read(spark, sf_dir, "region")
     key = lambda prefix, column: F.concat(F.lit(prefix), F.col(column).cast("string"))
     doc_name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))
-    located = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    located = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     parts = [
         _entry(part, "part", "p_partkey", "App", F.col("p_name"), key("part/", "p_partkey"),
                tags=F.array(F.translate("p_brand", "#", " ")), category=F.col("p_type")),

@@ -12,6 +12,7 @@ from trigrove.functions.text import KNOWN_ALIASES, SETTINGS_ALIASES, SETTINGS_NA
 from trigrove.model import FEATURES, UNIX_APP_GROUPS, UNIX_ROUTES, WINDOWS_ROUTES, WINDOWS_SETTING_WORDS, parse_app_groups, parse_routes
 from trigrove.plans.tables import ID_RANGE, NOW, SOURCES
 from trigrove.plans.workload import MOST, SEEN_APPS, SEEN_TYPES
+from trigrove.sources.fixed import UNIX_SETTINGS, WINDOWS_COMMANDS, WINDOWS_SETTINGS
 
 
 def _id(source: str, key: str) -> str:
@@ -416,6 +417,20 @@ PARTS["part_ranked"] = _ranked("part_features")
 SQL["stream_queries_top10"] = _TOP + "part_ranked"
 
 
+def _known() -> str:
+    rows = []
+    for table, kind in ((UNIX_SETTINGS, "Setting"), (WINDOWS_SETTINGS, "Setting"), (WINDOWS_COMMANDS, "Command")):
+        rows += [f"('{kind}', '{line.split('|')[0].strip().lower()}')" for line in table.strip().splitlines()]
+    return ", ".join(rows)
+
+
+SQL["settings_catalog"] = f"""
+SELECT entry_type, substring(name, 1, 1) AS letter, count(*) AS n FROM (
+  SELECT entry_type, lower(name) AS name FROM catalog WHERE entry_type IN ('File', 'Command')
+  UNION ALL SELECT DISTINCT * FROM (VALUES {_known()}) v(entry_type, name)) GROUP BY ALL
+"""
+
+
 def assembled(name: str) -> str:
     """The query's SQL with the parts it refers to, in order."""
     needed: list[str] = []
