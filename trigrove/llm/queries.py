@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trigrove.llm import decontaminate
+from trigrove.llm import decontaminate, mixture, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,5 +29,51 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
 
 
+@registered
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of weights 5, 2, 1 takes of every document, and when its first copy comes."""
+    found = mixture.mixed(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("first_position", 9).alias("first_position"))
+
+
+@registered
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, likelihood score and verdict of every document."""
+    trusted = quality.trusted_sample(table(spark, sf_dir, "labels"))
+    found = quality.judged(table(spark, sf_dir, "documents"), trusted, keep=["doc_id"])
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@registered
+def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; shards differ by one row at most."""
+    found = sharding.sharded(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 #: DuckDB SQL for those that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_mix_sources": r"""
+        with sized as (
+            select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as o,
+                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents),
+        sources as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as place from sized group by source),
+        weighed as (select *, [5.0, 2.0, 1.0][place % 3 + 1]::double as weight, [-0.5, 0.0, 0.5][place % 3 + 1]::double as ramp, 3 * source_size as cap from sources),
+        levels as (
+            select *, (cast(sum(source_size) over () as double) - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+                / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level from weighed),
+        goals as (select source, source_size, ramp, least(cast(cap as double), max(level) over () * weight) as target from levels),
+        placed as (
+            select s.doc_id, s.size, g.*, cast(coalesce(sum(s.size) over (partition by s.source order by s.o, s.size rows between unbounded preceding and 1 preceding), 0) as bigint) as start
+            from sized s join goals g on s.source is not distinct from g.source),
+        passed as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as passes from placed),
+        counted as (
+            select *, passes + case when source_size > 0 and passes < 3 and 2 * start + size <= 2 * (target - passes * source_size) then 1 else 0 end as copies from passed),
+        parts as (select *, least((start + size / 2.0::double) / target, 1.0) as part from counted)
+        select doc_id, size, source_size, target, cast(copies * size as bigint) as taken, cast(copies as bigint) as copies,
+               case when copies > 0 then round(2 * part / ((1 - ramp) + sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * part)), 9) end as first_position
+        from parts""",
+}
