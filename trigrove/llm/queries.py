@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigrove.llm import decontaminate, mixture, quality, sharding
+from trigrove.llm import decontaminate, mixture, neardup, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +36,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("first_position", 9).alias("first_position"))
 
 
+@registered
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of every document by 3-word shingles at a similarity of 0.85."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @registered
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, likelihood score and verdict of every document."""
