@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigrove.llm import decontaminate, mixture, neardup, quality, sharding
+from trigrove.llm import decontaminate, mixture, neardup, quality, sharding, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,6 +60,13 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's address."""
+    found = urls.judged(table(spark, sf_dir, "pages"), keep=["page_id"])
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 #: DuckDB SQL for those that SQL can express.
 SQL: dict[str, str] = {
     "op2_mix_sources": r"""
@@ -82,4 +89,20 @@ SQL: dict[str, str] = {
         select doc_id, size, source_size, target, cast(copies * size as bigint) as taken, cast(copies as bigint) as copies,
                case when copies > 0 then round(2 * part / ((1 - ramp) + sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * part)), 9) end as first_position
         from parts""",
+    "op10_url_filter": r"""
+        with parts as (
+            select page_id, coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') as raw_host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+        named as (select page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from parts),
+        ruled as (
+            select *, case
+                when ends_with('.' || host, '.example.org') and starts_with(path, '/en/1') then 'example.org/en/1'
+                when ends_with('.' || host, '.example.org') and starts_with(path, '/es/') then 'example.org/es/'
+                when ends_with('.' || host, '.com') and starts_with(path, '/fr/') then 'com/fr/'
+                when ends_with('.' || host, '.com') and starts_with(path, '/de/') then 'com/de/'
+                when ends_with('.' || host, '.org') and starts_with(path, '/') then 'org/' end as rule from named)
+        select page_id, host, path, rule, case
+            when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block'
+            when contains(host, 'spam-farm') or contains(host, 'cheap-pills') or contains(host, 'free-bets') or contains(host, 'adult-x')
+                or (starts_with(path, '/') and ends_with(path, '.exe')) or starts_with(path, '/cgi-bin/') then 'block' else 'allow' end as verdict
+        from ruled""",
 }
