@@ -21,6 +21,11 @@ def others(df: DataFrame, taken: Iterable[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in names]
 
 
+def remainder(doc_id: Column, by: int) -> Column:
+    """crc32 of an id as text, modulo ``by``; of the empty text for no id."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(by))
+
+
 def add_columns(
     df: DataFrame,
     reads: Sequence[Column],

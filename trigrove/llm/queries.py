@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigrove.llm import decontaminate, mixture, neardup, quality, sharding, urls
+from trigrove.llm import decontaminate, language, mixture, neardup, quality, sharding, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +50,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+@registered
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a clause grammar learned from labels."""
+    found = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@registered
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    found = language.predicted(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 @registered
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document; shards differ by one row at most."""
