@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigrove.llm import decontaminate, language, mixture, neardup, quality, sharding, toxicity, urls
+from trigrove.llm import decontaminate, language, mixture, neardup, quality, secrets, sharding, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,6 +57,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+@registered
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: those of the fixed patterns, and those that the random field adds."""
+    found = secrets.scanned(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counted = {f"n_{k}": (F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long") for k in ("assign", "access", "hex")}
+    texts = {"base_sha256": F.sha2(secrets.joined(base), 256), "all": secrets.joined(F.col("spans"))}
+    return found.withColumns(counted | texts).select("doc_id", *counted, "base_sha256", F.col("all").alias("spans"))
+
+
 @registered
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
