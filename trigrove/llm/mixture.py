@@ -103,9 +103,11 @@ def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
 
 def curriculum(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", cycle=CYCLE) -> DataFrame:
     """The columns of ``docs``, a row for each taken copy, in order of training position (range partitions, sorted within)."""
-    taken = mixed(docs, doc_id=doc_id, text=text, source=source, cycle=cycle).where("copies > 0")
+    wrapped = docs.select(
+        F.struct(*[named(c) for c in docs.columns]).alias("_doc"), named(doc_id).alias("_id"), named(text).alias("_text"), named(source).alias("_from")
+    )
+    taken = mixed(wrapped, doc_id="_id", text="_text", source="_from", keep=["_doc", "_id"], cycle=cycle).where("copies > 0")
     copies = taken.withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     middle = F.col("_pass") * F.col("source_size") + F.col("_start") + F.col("size") / 2
-    placed = copies.withColumn("_position", _position(middle, F.col("target"), F.col("_ramp")))
-    ordered = placed.repartitionByRange(F.col("_position"), F.col(doc_id)).sortWithinPartitions("_position", doc_id)
-    return ordered.select(*[named(c) for c in docs.columns if c in ordered.columns])
+    placed = copies.select("_doc", "_id", _position(middle, F.col("target"), F.col("_ramp")).alias("_position"))
+    return placed.repartitionByRange("_position", "_id").sortWithinPartitions("_position", "_id").select("_doc.*")

@@ -3,11 +3,11 @@
 A document is the set of its ``width``-word shingles. Its sketch holds the ``SKETCH`` smallest hash values.
 Documents with equal sets form a class without any comparison; only classes are compared.
 
-* Candidates. Inverted lists hold the classes that have ``RUN`` neighbouring retained values in common. Two
-  sets of similarity s keep such a run from one of its places with probability s ** RUN; sets of up to
-  ``ALL_PLACES`` shingles enter every run of theirs (then a pair at the threshold has a common one for
-  certain), larger ones those that begin at a value divisible by four, some 30 of them. A run is rarely common to documents
-  that only share a passage.
+* Candidates. Inverted lists hold the classes that have a run of neighbouring retained values in common (five at
+  a similarity of 0.85). Two sets of similarity s keep a run of r values from one of its places with probability
+  s ** r. Sets of up to ``ALL_PLACES`` shingles enter every run of theirs; then a pair at the threshold has a common
+  one for certain, as so few different values cannot break all runs (``run_lengths``). Larger sets enter the runs that
+  begin at a value divisible by four, some 30 of them. A run is rarely common to documents that only share a passage.
 * A list is not multiplied out. Each class is first compared with the smallest class of the list it shares
   most with; then with the smallest classes of its other lists; then, where a list still holds classes of
   several groups, with classes of other groups. Two classes that are already in one group need no comparison:
@@ -35,10 +35,9 @@ from trigrove.llm.components import components
 from trigrove.plans.shared import written
 
 SKETCH = 128
-RUN = 5
-SHORT_RUN, SHORT_SET = 3, 16
+SHORT_SET = 16
 ALL_PLACES = 96
-MARGIN = 17
+MARGIN = 20
 ROWS_PER_CENTER = 256
 
 
@@ -65,14 +64,27 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     return sets
 
 
-def _runs(kept: np.ndarray, n: int) -> np.ndarray:
+def run_lengths(percent: int) -> tuple[int, int]:
+    """How many neighbouring values two different sets of the similarity must have in common: (any sets, unions of up to ``SHORT_SET``).
+
+    Of u values in the union at most (100 - percent) % are in one set only; they cut the others into one run more than they are."""
+
+    def certain(u: int) -> int:
+        single = (100 - percent) * u // 100
+        return -(-(u - single) // (single + 1))
+
+    small = [certain(u) for u in range(1, SHORT_SET + 1) if (100 - percent) * u >= 100]
+    return min(certain(u) for u in range(SHORT_SET + 1, 4 * ALL_PLACES)), min(small, default=SHORT_SET)
+
+
+def _runs(kept: np.ndarray, n: int, lengths: tuple[int, int]) -> np.ndarray:
     """Keys of the inverted lists: runs of neighbouring retained values."""
     keys = []
-    if n > RUN:
-        whole = W.windows(kept, np.array([0, len(kept)]), RUN, 50)[0]
+    if n >= lengths[0]:
+        whole = W.windows(kept, np.array([0, len(kept)]), lengths[0], 50)[0]
         keys.append(whole if n <= ALL_PLACES else whole[(kept[: len(whole)] & np.uint64(3)) == 0])
-    if SHORT_RUN < n <= SHORT_SET:
-        keys.append(W.windows(kept, np.array([0, len(kept)]), SHORT_RUN, 60)[0])
+    if lengths[1] <= n <= SHORT_SET:
+        keys.append(W.windows(kept, np.array([0, len(kept)]), lengths[1], 60)[0])
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
@@ -82,7 +94,7 @@ def class_of(values: np.ndarray) -> int:
     return int(W.mix(sums + np.uint64(len(values))).view(np.int64)[0])
 
 
-def _sketching(width: int):
+def _sketching(width: int, lengths: tuple[int, int]):
     def run(batches):
         seen: set[int] = set()  # classes of this task: copies need no second sketch
         for batch in batches:
@@ -98,7 +110,7 @@ def _sketching(width: int):
                         seen.add(name)
                         kept = values[:SKETCH]
                         sketches.append(((kept >> np.uint64(32)).astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32))
-                        keys.append(np.unique(_runs(kept, n)).view(np.int64))
+                        keys.append(np.unique(_runs(kept, n, lengths)).view(np.int64))
                     else:
                         sketches.append(None)
                         keys.append(None)
@@ -138,7 +150,7 @@ class NearDuplicates:
         self.docs = docs.select(_mark(docs, doc_id, text).alias("mark"), named(doc_id).alias("id"), named(text).cast("string").alias("text"))
         id_type = self.docs.schema["id"].dataType.simpleString()
         self.rows = written(
-            self.docs.mapInArrow(_sketching(width), f"mark long, id {id_type}, class long, n long, sketch array<int>, keys array<long>"), "sketches"
+            self.docs.mapInArrow(_sketching(width, run_lengths(percent)), f"mark long, id {id_type}, class long, n long, sketch array<int>, keys array<long>"), "sketches"
         )
 
     def _lists(self) -> DataFrame:

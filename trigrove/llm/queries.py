@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigrove.llm import decontaminate, language, mixture, neardup, quality, secrets, sharding, toxicity, urls
+from trigrove.llm import decontaminate, language, lines, mixture, neardup, quality, secrets, sharding, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,6 +57,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+@registered
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that stand in five sources or more."""
+    found = lines.without_boilerplate(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("clean_text", F.lit(""))).alias("clean_md5"))
+
+
 @registered
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: those of the fixed patterns, and those that the random field adds."""
@@ -114,6 +121,17 @@ SQL: dict[str, str] = {
         select doc_id, size, source_size, target, cast(copies * size as bigint) as taken, cast(copies as bigint) as copies,
                case when copies > 0 then round(2 * part / ((1 - ramp) + sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * part)), 9) end as first_position
         from parts""",
+    "op6_line_dedup": r"""
+        with lines as (
+            select doc_id, coalesce('=' || source, '-') as site, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as position
+            from documents where text is not null),
+        spread as (select trim(line) as line from lines where trim(line) <> '' group by trim(line) having count(distinct site) >= 5),
+        judged as (select l.*, s.line is not null as removed, trim(l.line) <> '' as counted from lines l left join spread s on trim(l.line) = s.line),
+        cleaned as (
+            select doc_id, cast(count(*) filter (where counted) as bigint) as n_lines, cast(count(*) filter (where removed) as bigint) as n_removed,
+                   coalesce(string_agg(line, chr(10) order by position) filter (where not removed), '') as clean from judged group by doc_id)
+        select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, md5(coalesce(clean, '')) as clean_md5
+        from documents d left join cleaned c using (doc_id)""",
     "op10_url_filter": r"""
         with parts as (
             select page_id, coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') as raw_host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
