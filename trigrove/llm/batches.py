@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 
 def named(column: str) -> Column:
@@ -40,8 +40,9 @@ def add_columns(
     """
     new = StructType.fromDDL(schema)
     kept = [c for c in others(df, new.names) if keep is None or c in keep]
-    source = df.select(*[c.alias(f"_read{i}") for i, c in enumerate(reads)], *[named(c) for c in kept])
+    source = df.select(*[c.alias(f"_read{i}") for i, c in enumerate(reads)], *[named(c).alias(f"_kept{i}") for i, c in enumerate(kept)])
     n, names = len(reads), [*kept, *new.names]
+    carried = [StructField(c, f.dataType, f.nullable) for c, f in zip(kept, source.schema.fields[n:], strict=True)]
 
     def run(batches):
         compute = work()
@@ -50,4 +51,4 @@ def add_columns(
                 made = compute(*batch.columns[:n])
                 yield pa.RecordBatch.from_arrays([*batch.columns[n:], *made], names=names)
 
-    return source.mapInArrow(run, StructType([*source.schema.fields[n:], *new.fields]))
+    return source.mapInArrow(run, StructType([*carried, *new.fields]))

@@ -7,7 +7,8 @@ the decoding is exact and the cost that of the few odd tokens. Features are a to
 how a file looks as a whole.
 
 The field is fitted on at most ``SAMPLE`` texts with a pattern's match and as many others that have odd tokens (the smallest by a
-hash); patterns give the tags, but are no features, so what resembles their values in shape and company is found too.
+hash); patterns give the tags, but are no features, so what resembles their values in shape and company is found too. A
+stretch without a match whose outline is that of one with a match may be a secret that the patterns miss: it is not learned from.
 Every text is scanned whole, in its own task, without shuffle.
 
 Defined results: null and empty texts have no span; of a match and a span of the field that overlap the match stays;
@@ -111,6 +112,11 @@ class Chunk:
         self.starts = [odd(t[0]) for t in tokens]
 
 
+    def outline(self) -> str:
+        """Kinds and lengths of the odd tokens and the signs around them."""
+        return " ".join(":".join(shape(t[0])[:2]) if starts else "w" if t[0][0].isalnum() else t[0] for t, starts in zip(self.tokens, self.starts, strict=True))
+
+
 def chunks(text: str, at: list[int]) -> list[Chunk]:
     """The stretches without space around the positions ``at`` (of odd tokens, rising)."""
     found, done = [], -1
@@ -258,16 +264,17 @@ def _example_rows(batches):
     """Chunks of the texts with the tags that the fixed patterns give."""
     for batch in batches:
         texts = batch.column(0)
-        features, starts, tags = [], [], []
+        features, starts, tags, outlines = [], [], [], []
         for text, (longest, at) in zip(texts.to_pylist(), _odd_tokens(texts), strict=True):
             spans = base_spans(text or "", longest)
             for chunk in chunks(text or "", at):
                 features.append(chunk.features)
                 starts.append(chunk.starts)
                 tags.append(_tags(chunk, spans))
+                outlines.append(chunk.outline())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(features, pa.list_(pa.list_(pa.int32()))), pa.array(starts, pa.list_(pa.bool_())), pa.array(tags, pa.list_(pa.int32()))],
-            names=["features", "starts", "tags"],
+            [pa.array(features, pa.list_(pa.list_(pa.int32()))), pa.array(starts, pa.list_(pa.bool_())), pa.array(tags, pa.list_(pa.int32())), pa.array(outlines, pa.string())],
+            names=["features", "starts", "tags", "outline"],
         )
 
 
@@ -278,8 +285,9 @@ def learned(docs: DataFrame, *, text: str = "text", most: int = SAMPLE) -> Field
     marked = rows.select(F.xxhash64("text").alias("mark"), sorted_out.alias("kind")).where("kind is not null").distinct()
     picked = marked.where("kind = 1").orderBy("mark").limit(most).union(marked.where("kind = 0").orderBy("mark").limit(most))
     sample = rows.withColumn("mark", F.xxhash64("text")).join(F.broadcast(picked.select("mark")), "mark").dropDuplicates(["mark"]).select("text")
-    found = sample.mapInArrow(_example_rows, "features array<array<int>>, starts array<boolean>, tags array<int>").distinct().collect()
-    examples = sorted((r["features"], r["starts"], r["tags"]) for r in found)
+    found = sample.mapInArrow(_example_rows, "features array<array<int>>, starts array<boolean>, tags array<int>, outline string").distinct().collect()
+    secret = {r["outline"] for r in found if B in r["tags"]}
+    examples = sorted((r["features"], r["starts"], r["tags"]) for r in found if B in r["tags"] or r["outline"] not in secret)
     return fit(examples) if any(B in tags for _, _, tags in examples) else None
 
 
