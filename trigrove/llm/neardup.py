@@ -8,12 +8,14 @@ Documents with equal sets form a class without any comparison; only classes are
   s ** r. Sets of up to ``ALL_PLACES`` shingles enter every run of theirs; then a pair at the threshold has a common
   one for certain, as so few different values cannot break all runs (``run_lengths``). Larger sets enter the runs that
   begin at a value divisible by four, some 30 of them. A run is rarely common to documents that only share a passage.
-* A list is not multiplied out. Each class is first compared with the smallest class of the list it shares
-  most with; then with the smallest classes of its other lists; then, where a list still holds classes of
-  several groups, with classes of other groups. Two classes that are already in one group need no comparison:
-  it could not change the groups. So a group of n near copies takes about n comparisons, and no pair is skipped.
-* Every pair is filtered by the similarity that the union of the two sketches estimates (more than five
-  deviations below the threshold fail), and then confirmed on the full sets.
+* A list is not multiplied out. The center of a list is the class that meets most others in all its lists, in a
+  group of near copies the one they come from or nearly. Each class is first compared with one center, the one it
+  shares most lists with. Where a list then still holds classes of several groups, the sketches of those outside its largest
+  group stream past all its sketches, in blocks, and only pairs whose estimate passes leave the task. Two classes
+  that are already in one group need no comparison: it could not change the groups. Of the pairs that pass, each class
+  takes the likeliest for each group it could join, until none is left, so no pair is skipped.
+* Pairs are filtered by the similarity that the union of the two sketches estimates (more than six deviations
+  below the threshold fail; sets of up to ``SKETCH`` are known whole), and then confirmed on the full sets.
 
 Tables between the steps are written to the shared folder. Nothing about single documents passes through the driver.
 
@@ -34,10 +36,13 @@ from trigrove.llm.batches import named, others
 from trigrove.llm.components import components
 from trigrove.plans.shared import written
 
-SKETCH = 128
+SKETCH = 256
+PLACES = 128
 SHORT_SET = 16
 ALL_PLACES = 96
-MARGIN = 20
+DEVIATIONS = 6
+BLOCK = 1024
+_OPEN = np.iinfo(np.int32).max
 ROWS_PER_CENTER = 256
 
 
@@ -110,7 +115,7 @@ def _sketching(width: int, lengths: tuple[int, int]):
                         seen.add(name)
                         kept = values[:SKETCH]
                         sketches.append(((kept >> np.uint64(32)).astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32))
-                        keys.append(np.unique(_runs(kept, n, lengths)).view(np.int64))
+                        keys.append(np.unique(_runs(kept[:PLACES], n, lengths)).view(np.int64))
                     else:
                         sketches.append(None)
                         keys.append(None)
@@ -120,6 +125,107 @@ def _sketching(width: int, lengths: tuple[int, int]):
     return run
 
 
+class Held:
+    """Sketches of the classes outside a list's largest group, against which a list's sketches are held."""
+
+    def __init__(self, percent: int):
+        self.least = percent / 100
+        self.names, self.roots, self.sketches = [], [], []
+
+    def add(self, name: int, root: int, sketch: np.ndarray) -> None:
+        self.names.append(name)
+        self.roots.append(root)
+        self.sketches.append(sketch)
+
+    def close(self) -> None:
+        self.sizes = np.array([len(s) for s in self.sketches])
+        self.values = np.concatenate(self.sketches)
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        order = np.argsort(self.values, kind="stable")
+        self.sorted, self.owner = self.values[order], owner[order]
+        self.ends = np.cumsum(self.sizes)
+        self.last = np.where(self.sizes < SKETCH, _OPEN, self.values[self.ends - 1])
+        self.name, self.root = np.array(self.names), np.array(self.roots)
+
+    def similar(self, name: int, root: int, sketch: np.ndarray) -> list[tuple[int, int, float]]:
+        """(held class, its root, estimate) of those of other groups that may reach the similarity."""
+        low, high = np.searchsorted(self.sorted, sketch), np.searchsorted(self.sorted, sketch, side="right")
+        counts = high - low
+        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
+        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        found = np.flatnonzero((self.root != root) & (self.name != name) & (both >= 0.5 * self.least * np.minimum(self.sizes, len(sketch))))
+        if not len(found):
+            return []
+        last = _OPEN if len(sketch) < SKETCH else int(sketch[-1])
+        out = []
+        if last == _OPEN:
+            whole = found[self.last[found] == _OPEN]
+            union = self.sizes[whole] + len(sketch) - both[whole]
+            for k, u in zip(*(x[both[whole] >= self.least * union - 1e-9].tolist() for x in (whole, union)), strict=True):
+                out.append((int(self.name[k]), int(self.root[k]), float(both[k] / u)))
+            found = found[self.last[found] < _OPEN]
+        for k in found.tolist():
+            own = self.values[self.ends[k] - self.sizes[k] : self.ends[k]]
+            n = np.searchsorted(own, last, side="right") if last < self.last[k] else len(own)
+            m = np.searchsorted(sketch, self.last[k], side="right") if self.last[k] < last else len(sketch)
+            union = n + m - both[k]
+            slack = DEVIATIONS * np.sqrt(self.least * (1 - self.least) / union)
+            if both[k] >= (self.least - slack) * union - 1e-9:
+                out.append((int(self.name[k]), int(self.root[k]), float(both[k] / union)))
+        return out
+
+
+def _meeting(percent: int):
+    """Rows (key, block of held, block of others, role, class, root, sketch) in that order; held classes come first.
+    Role 0: held, and met by the others like them; 1: only held; 2: only met."""
+
+    def run(batches):
+        where, held, waiting, sent = None, None, [], set()
+
+        def meet(rows):
+            for name, root, sketch in rows:
+                for other, its, estimate in held.similar(name, root, sketch):
+                    if (name, other) not in sent and (other, name) not in sent:
+                        if len(sent) > 1 << 20:
+                            sent.clear()
+                        sent.add((name, other))
+                        yield name, other, root, its, estimate
+
+        for batch in batches:
+            links = []
+            keys, qs, ms, roles, names, roots = (batch.column(i).to_pylist() for i in range(6))
+            column = batch.column(6)
+            flat, offsets = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+            for i, role in enumerate(roles):
+                if where != (keys[i], qs[i], ms[i]):
+                    if waiting:  # a list of held classes only
+                        held.close()
+                        links.extend(meet(waiting))
+                    where, held, waiting, closed = (keys[i], qs[i], ms[i]), Held(percent), [], False
+                row = (names[i], roots[i], flat[offsets[i] : offsets[i + 1]])
+                if role < 2:
+                    held.add(*row)
+                    if role == 0:
+                        waiting.append(row)
+                elif held.names:
+                    if not closed:
+                        held.close()
+                        links.extend(meet(waiting))
+                        waiting, closed = [], True
+                    links.extend(meet([row]))
+            yield _link_batch(links)
+        if waiting:
+            held.close()
+            yield _link_batch(list(meet(waiting)))
+
+    return run
+
+
+def _link_batch(links: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], kind) for k, kind in enumerate(kinds)], names=["a", "b", "root_a", "root_b", "estimate"])
+
+
 def _comparing(width: int, percent: int):
     """Rows sorted by (center, salt, member): the center's set is held, its members stream past."""
 
@@ -154,10 +260,19 @@ class NearDuplicates:
         )
 
     def _lists(self) -> DataFrame:
-        """(key, class, least): members of inverted lists with more than one class."""
+        """(key, class, size): members of inverted lists with more than one class."""
         entries = self.rows.where("keys is not null").select("class", F.explode("keys").alias("key"))
-        lists = entries.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").drop("most")
-        return written(entries.join(lists, "key"), "lists")
+        lists = entries.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("size")).where("least < most")
+        return written(entries.join(lists.select("key", "size"), "key"), "lists")
+
+    @staticmethod
+    def _stars(lists: DataFrame) -> DataFrame:
+        """(a, b): each class b with the center a that it shares most lists with."""
+        meets = lists.groupBy("class").agg(F.sum("size").alias("meets"))
+        centers = lists.join(meets, "class").groupBy("key").agg(F.max(F.struct("meets", "class")).alias("most")).select("key", F.col("most.class").alias("center"))
+        shared = lists.join(centers, "key").where("class <> center").groupBy("class", "center").count()
+        best = shared.groupBy("class").agg(F.max(F.struct("count", "center")).alias("best"))
+        return best.select(F.col("best.center").alias("a"), F.col("class").alias("b"))
 
     def _members(self, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(class, n, sketch) and (class, text) of the classes in ``lists``."""
@@ -177,8 +292,10 @@ class NearDuplicates:
         whole = F.greatest("n_a", "n_b") <= SKETCH
         looked = F.when(whole, F.col("union")).otherwise(F.slice("union", 1, SKETCH))
         both = F.size(F.array_intersect("looked", F.array_intersect("sketch_a", "sketch_b")))
+        part = self.percent / 100
+        least = F.when(whole, part).otherwise(part - DEVIATIONS * (part * (1 - part) / SKETCH) ** 0.5)
         estimated = sized.where(close).withColumn("union", union).withColumn("looked", looked)
-        return estimated.where(100 * both >= (self.percent - MARGIN) * F.size("looked")).select("a", "b")
+        return estimated.where(both >= least * F.size("looked") - 1e-9).select("a", "b")
 
     def _confirmed(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Pairs whose full sets have the similarity. A center with many members is compared in several tasks."""
@@ -198,15 +315,15 @@ class NearDuplicates:
         """(node, root) of every class that is linked with another."""
         lists = self._lists()
         facts, texts = self._members(lists)
-        met = lists.where(F.col("class") != F.col("least")).groupBy("class", "least").count()
-        stars = written(met.select(F.col("least").alias("a"), F.col("class").alias("b"), "count"), "stars")
-        best = stars.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select("best.a", "b")
-        links = self._confirmed(self._likely(best, facts), texts)
-        groups = components(links)
-        links = links.union(self._confirmed(self._likely(self._apart(stars, groups), facts), texts))
-        groups = components(links)
-        rest = self._confirmed(self._likely(self._across(lists, groups), facts), texts)
-        return components(groups.select(F.col("root").alias("a"), F.col("node").alias("b")).union(rest))
+        groups = components(self._confirmed(self._likely(self._stars(lists), facts), texts))
+        left = written(self._across(lists, groups, facts), "met")
+        while not left.isEmpty():
+            likeliest = left.groupBy("a", "root_b").agg(F.max(F.struct("estimate", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+            links = self._confirmed(likeliest, texts)
+            groups = components(groups.select(F.col("root").alias("a"), F.col("node").alias("b")).union(links))
+            asked = left.join(likeliest, ["a", "b"], "left_anti").select("a", "b", "estimate")
+            left = written(self._apart(asked, groups), "met")
+        return groups
 
     @staticmethod
     def _rooted(df: DataFrame, groups: DataFrame, column: str, root: str) -> DataFrame:
@@ -214,18 +331,31 @@ class NearDuplicates:
         return df.join(named_groups, column, "left").withColumn(root, F.coalesce("_root", column)).drop("_root")
 
     def _apart(self, pairs: DataFrame, groups: DataFrame) -> DataFrame:
-        """Pairs of classes in different groups."""
-        both = self._rooted(self._rooted(pairs.select("a", "b"), groups, "a", "root_a"), groups, "b", "root_b")
-        return both.where("root_a <> root_b").select("a", "b")
-
-    def _across(self, lists: DataFrame, groups: DataFrame) -> DataFrame:
-        """Pairs of classes in one list and in different groups that were not compared as members and least class."""
-        rooted = self._rooted(lists, groups, "class", "root")
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        left = written(rooted.join(mixed, "key").where(F.col("class") != F.col("least")).select("key", "class", "root"), "mixed")
-        a = left.select("key", F.col("class").alias("a"), F.col("root").alias("root_a"))
-        b = left.select("key", F.col("class").alias("b"), F.col("root").alias("root_b"))
-        return a.join(b, "key").where("a < b and root_a <> root_b").select("a", "b").distinct()
+        """Pairs of classes in different groups, with their roots."""
+        both = self._rooted(self._rooted(pairs, groups, "a", "root_a"), groups, "b", "root_b")
+        return both.where("root_a <> root_b").select("a", "b", "root_a", "root_b", "estimate")
+
+    def _across(self, lists: DataFrame, groups: DataFrame, facts: DataFrame) -> DataFrame:
+        """Pairs of classes in one list and in different groups whose sketches allow the similarity."""
+        rooted = self._rooted(lists.select("key", "class").distinct(), groups, "class", "root")
+        shares = rooted.groupBy("key", "root").count()
+        mixed = shares.groupBy("key").agg(F.max(F.struct("count", "root")).alias("main"), F.sum("count").alias("members"), F.count("*").alias("roots"))
+        mixed = mixed.where("roots > 1").select(
+            "key", F.col("main.root").alias("main"), F.ceil(F.col("members") / BLOCK).alias("ms"), F.ceil((F.col("members") - F.col("main.count")) / BLOCK).alias("qs")
+        )
+        rows = rooted.join(mixed, "key").withColumn("held", F.col("root") != F.col("main")).drop("main")
+        one = (F.col("ms") == 1) & (F.col("qs") == 1)
+        zero = F.lit(0).cast("long")
+        blocks = lambda n: F.sequence(zero, F.col(n) - 1)
+        q, m = F.pmod(F.xxhash64("class"), F.col("qs")), F.pmod(F.xxhash64("class"), F.col("ms"))
+        small = rows.where(one).select("key", zero.alias("q"), zero.alias("m"), F.when(F.col("held"), 0).otherwise(2).alias("role"), "class", "root")
+        large = rows.where(~one)
+        held = large.where("held").select("key", q.alias("q"), F.explode(blocks("ms")).alias("m"), F.lit(1).alias("role"), "class", "root")
+        others_ = large.select("key", F.explode(blocks("qs")).alias("q"), m.alias("m"), F.lit(2).alias("role"), "class", "root")
+        sent = small.union(held).union(others_).join(facts.select("class", "sketch"), "class").select("key", "q", "m", "role", "class", "root", "sketch")
+        ordered = sent.repartition("key", "q", "m").sortWithinPartitions("key", "q", "m", "role")
+        found = ordered.mapInArrow(_meeting(self.percent), "a long, b long, root_a long, root_b long, estimate double")
+        return found.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max(F.struct("a", "b", "root_a", "root_b", "estimate")).alias("p")).select("p.*")
 
     def grouped(self) -> DataFrame:
         """(mark, id, n, group) of every row; group is the smallest id of its group, of any row without shingles its own id."""
