@@ -40,9 +40,6 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
-_MATCH = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
-_ODD = r"[A-Za-z0-9_+/-]{20}|[A-Za-z0-9_+/-]{7}[0-9]|[0-9][A-Za-z0-9_+/-]{7}"
-
 _TOKEN = re.compile(r"[A-Za-z0-9_+/-]+|[^\sA-Za-z0-9_+/-]")
 _CHUNK_END = re.compile(r"\s")
 _TOKEN_BYTE = np.zeros(256, bool)
@@ -278,11 +275,20 @@ def _example_rows(batches):
         )
 
 
+def _kinds():
+    """1 for texts with a match of the fixed patterns, 0 for others with odd tokens, else null."""
+
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        kinds = [1 if base_spans(t or "", longest) else 0 if at else None for t, (longest, at) in zip(texts.to_pylist(), _odd_tokens(texts), strict=True)]
+        return [pa.array(kinds, pa.int32())]
+
+    return compute
+
+
 def learned(docs: DataFrame, *, text: str = "text", most: int = SAMPLE) -> Field | None:
     """A field from at most ``most`` texts with a match and as many others."""
     rows = docs.select(named(text).cast("string").alias("text")).where("text is not null")
-    sorted_out = F.when(F.col("text").rlike(_MATCH), 1).when(F.col("text").rlike(_ODD), 0)
-    marked = rows.select(F.xxhash64("text").alias("mark"), sorted_out.alias("kind")).where("kind is not null").distinct()
+    marked = add_columns(rows.withColumn("mark", F.xxhash64("text")), [F.col("text")], "kind int", _kinds, ["mark"]).where("kind is not null").distinct()
     picked = marked.where("kind = 1").orderBy("mark").limit(most).union(marked.where("kind = 0").orderBy("mark").limit(most))
     sample = rows.withColumn("mark", F.xxhash64("text")).join(F.broadcast(picked.select("mark")), "mark").dropDuplicates(["mark"]).select("text")
     found = sample.mapInArrow(_example_rows, "features array<array<int>>, starts array<boolean>, tags array<int>, outline string").distinct().collect()
