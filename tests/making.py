@@ -10,7 +10,7 @@ NOW = 1_700_000_000
 
 
 def entry(id, name, entry_type="File", path=None, tags=(), count=0, last=0, score=0.0, file_type=None, is_dir=False, category=None):
-    return (id, entry_type, name, path or f"/home/{name}", None, score, last, count, (file_type, None, is_dir, list(tags), category), None)
+    return (id, entry_type, name, path or f"/home/{name}", None, score, last, count, (file_type, None, is_dir, list(tags), category), None, None)
 
 
 def catalog(spark, *rows):

@@ -108,7 +108,7 @@ def test_merge_and_replace(spark):
     pairs = lambda rows: sorted((r["id"], r["name"]) for r in rows.collect())
     merged = K.merge_last(old, new)
     assert pairs(merged) == [(1, "taken"), (2, "A"), (3, "s"), (4, "c2"), (5, "Again"), (6, "b"), (7, "B")]
-    assert [r["id"] for r in merged.orderBy("position").collect()] == [1, 2, 3, 4, 5, 6, 7]
+    assert [r["id"] for r in merged.orderBy("generation", "position").collect()] == [1, 2, 3, 4, 5, 6, 7]
     assert pairs(K.replace_catalog(old, new)) == [(1, "f"), (4, "c"), (5, "B"), (7, "B")]
     assert pairs(K.replace_catalog(old, new, WINDOWS)) == [(1, "taken"), (4, "c2"), (5, "Again"), (7, "B")]
     assert pairs(K.replace_files(old, catalog(spark, entry(9, "g")))) == [(2, "A"), (3, "s"), (4, "c"), (9, "g")]

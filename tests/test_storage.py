@@ -1,11 +1,15 @@
+import shutil
+
 import pytest
-from making import NOW, catalog, entry
+from making import NOW, catalog, entry, queries
 from pyspark.sql import functions as F
 
-from trigrove.model import FEATURES, MAX_REQUEST
+from trigrove.model import FEATURES, MAX_REQUEST, WINDOWS
 from trigrove.operators import training as L
+from trigrove.operators.catalog import merge_last, replace_catalog, replace_files
 from trigrove.operators.index import LookupTables
 from trigrove.plans.build import build_catalog
+from trigrove.plans.search import search
 from trigrove.plans.shared import shared_folder
 from trigrove.sources import clicklog, requests, snapshot, treemodel
 
@@ -53,6 +57,73 @@ def test_start_up(spark, tmp_path):
     assert len(scans) == 2 and store.current().last_indexed == 3
 
 
+def named_rows(rows):
+    return sorted((r["id"], r["name"]) for r in rows.collect())
+
+
+def test_ids_of_64_bits_and_many_generations(spark):
+    """Rows without positions stand where their ids put them, however large these are."""
+    big = 2**63 - 1
+    old = catalog(spark, entry(big, "first"), entry(-big, "low", "App"))
+    for k in range(3):
+        old = merge_last(old, catalog(spark, entry(big, f"again {k}")))
+    assert named_rows(old) == [(-big, "low"), (big, "again 2")]
+    assert named_rows(replace_catalog(old, catalog(spark, entry(big - 1, "new", "App")))) == [(big - 1, "new"), (big, "again 2")]
+    assert named_rows(replace_files(old, catalog(spark, entry(big, "scanned")))) == [(-big, "low"), (big, "scanned")]
+    owner = LookupTables.of(merge_last(old, catalog(spark, entry(-5, "low", "App")))).exact_terms.where("term = 'low'").first()["owner"]
+    assert owner["id"] == -5
+
+
+def test_a_damaged_store_is_scanned_afresh(spark, tmp_path):
+    store = snapshot.VersionedTable(spark, str(tmp_path / "store"))
+    scan = lambda: catalog(spark, entry(1, "file"))
+    apps = catalog(spark, entry(2, "App", "App"))
+    build_catalog(store, scan, apps, now=1)
+    for part in (tmp_path / "store").glob("build--1-v1-*/*/*.parquet"):
+        part.write_bytes(b"not parquet")
+        (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    assert named_rows(build_catalog(store, lambda: catalog(spark, entry(5, "fresh")), apps, now=2)) == [(2, "App"), (5, "fresh")]
+    shutil.rmtree(next((tmp_path / "store").glob("build--1-v2-*")))
+    assert named_rows(build_catalog(store, scan, apps, now=3)) == [(1, "file"), (2, "App")]
+
+
+def test_a_long_stored_text_keeps_its_catalog(spark, tmp_path):
+    store = snapshot.VersionedTable(spark, str(tmp_path / "store"))
+    store.publish(catalog(spark, entry(1, "x" * 40_000), entry(2, "command", "Command")), 1)
+    scan = lambda: catalog(spark)
+    assert [i for i, _ in named_rows(build_catalog(store, scan, catalog(spark), now=2))] == [1, 2]
+    with pytest.raises(snapshot.SnapshotError, match=r"\[1\]"):
+        build_catalog(store, scan, catalog(spark), now=3, profile=WINDOWS)
+
+
+def test_of_two_writers_one_is_told(spark, tmp_path):
+    store = snapshot.VersionedTable(spark, str(tmp_path / "store"))
+    rows = catalog(spark, entry(1, "a"))
+    assert store.publish(rows, 1) == 1 and store.publish(rows, 2, after=1) == 2
+    with pytest.raises(snapshot.VersionConflict):
+        store.publish(catalog(spark, entry(9, "late")), 3, after=1)
+    assert store.current().number == 2 and named_rows(store.read()) == [(1, "a")]
+
+
+def test_stored_tables_know_what_they_hold(spark, tmp_path):
+    rows = catalog(spark, *[entry(i, "same") for i in range(30)])
+    LookupTables.of(rows, 20).write(str(tmp_path / "t"))
+    stored = LookupTables.read(spark, str(tmp_path / "t"))
+    assert (stored.max_candidates, stored.profile) == (20, "unix")
+    with pytest.raises(ValueError):
+        LookupTables.read(spark, str(tmp_path / "t"), 100)
+    with pytest.raises(ValueError):
+        LookupTables.read(spark, str(tmp_path / "t"), 10, WINDOWS)
+    with pytest.raises(ValueError):
+        search(queries(spark, "same"), rows, now=NOW, tables=stored, max_candidates=50)
+    with pytest.raises(ValueError):
+        WINDOWS.max_candidates(5)
+    assert search(queries(spark, "same"), rows, now=NOW, tables=stored, top_k=15).count() == 15
+    assert search(queries(spark, " "), rows, now=NOW, tables=stored, top_k=15).count() == 15
+    with pytest.raises(ValueError):
+        search(queries(spark, "same"), rows, now=NOW, tables=stored, top_k=21)
+
+
 def test_shared_folder_follows_the_session(spark):
     folder = shared_folder(spark)
     assert folder == shared_folder(spark)

@@ -1,16 +1,17 @@
 import json
 
+import pytest
 from making import NOW, catalog, entry, queries
 from pyspark.sql import functions as F
 
-from trigrove.model import QUERY, USAGE
+from trigrove.model import QUERY, USAGE, WINDOWS
 from trigrove.operators.catalog import apply_changes
 from trigrove.operators.index import LookupTables
 from trigrove.plans.search import search
 from trigrove.sources.clicklog import read_clicks
 from trigrove.sources.snapshot import VersionedTable
 from trigrove.streaming.changes import apply_batch, stream_changes, translate_events
-from trigrove.streaming.clicks import ClickStores, stream_clicks
+from trigrove.streaming.clicks import ClickStores, record_batch, stream_clicks
 from trigrove.streaming.queries import stream_queries
 
 EVENT = "seq long, kind string, path string, new_path string, is_dir boolean, size long, source string"
@@ -86,6 +87,37 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted((r["path"], r["metadata"]["file_size"]) for r in store.read().collect()) == batch
 
 
+def test_windows_changes_meet_whatever_the_slash_and_case(spark):
+    base = catalog(spark, entry(1, "A.txt", path=r"c:\d\A.txt"), entry(2, "b", path=r"C:\Other\b"))
+    rows = [(1, "Created", r"C:\Data\New", True, None), (2, "Modified", "c:/data/new", True, None), (3, "Removed", r"C:\D", None, None), (4, "Created", r"C:\x.desktop", False, 5)]
+    changes = spark.createDataFrame(rows, "seq long, kind string, path string, is_dir boolean, size long").withColumn("seq", F.col("seq"))
+    listing = spark.createDataFrame([(r"C:\data\new\deep\f.TXT", False, 7), (r"C:\data\newer", False, 8)], "path string, is_dir boolean, size long")
+    created = changes.where("seq <> 2")
+    got = {r["path"] for r in apply_changes(base, created, listing=listing, profile=WINDOWS).collect()}
+    assert got == {r"C:\Other\b", r"C:\Data\New", r"C:\data\new\deep\f.TXT", r"C:\x.desktop"}
+    last = {r["path"] for r in apply_changes(base, changes, profile=WINDOWS).collect()}
+    assert last == {r"C:\Other\b", "c:/data/new", r"C:\x.desktop"}
+
+
+def test_lost_work_is_an_error(spark, tmp_path):
+    store = VersionedTable(spark, str(tmp_path / "store"))
+    store.publish(catalog(spark, entry(1, "a")), 1)
+    row = lambda kind, path, source="files": spark.createDataFrame([(1, kind, path, False, 1, source)], "seq long, kind string, path string, is_dir boolean, size long, source string")
+    for batch, changes in enumerate((row("Overflow", "/"), row("Modified", "/menu/x", "catalog"), row("Created", "/apps/x.desktop"))):
+        with pytest.raises(Exception, match="is needed"):
+            apply_batch(store, changes, batch, now=lambda: NOW)
+    assert store.current().number == 1
+
+
+def test_first_click_adds_to_the_entrys_own_count(spark, tmp_path):
+    tables = LookupTables.of(catalog(spark, entry(1, "alpha document", count=42, last=5), entry(2, "beta document", count=7)))
+    stores = ClickStores(VersionedTable(spark, str(tmp_path / "usage"), USAGE, None), str(tmp_path / "log"), str(tmp_path / "rejects"))
+    schema = "query_id string, query string, selected_id string, timestamp long, rank_position int"
+    for batch in range(2):
+        record_batch(spark.createDataFrame([(f"q{batch}", "document", "1", NOW + batch, 1)], schema), batch, tables, stores, now=lambda: NOW)
+    assert [tuple(r) for r in stores.usage.read().collect()] == [(1, 44, NOW + 1)]
+
+
 def test_click_stream(spark, tmp_path):
     tables = LookupTables.of(catalog(spark, entry(1, "alpha document"), entry(2, "beta document")))
     stores = ClickStores(VersionedTable(spark, str(tmp_path / "usage"), USAGE, None), str(tmp_path / "log"), str(tmp_path / "rejects"))

@@ -125,3 +125,9 @@ def test_exclusion(spark):
     assert got["root"] is False
     assert got["event"] == [True, False, False, False, True]
     assert got["windows"] == [False, True]
+
+
+def test_windows_roots_are_respected(spark):
+    keeps = lambda path: paths.event_keeps(lit(path), ["C:\\Data\\"], ("obj",), True)
+    got = values(spark, windows=F.array(*[keeps(x) for x in (r"c:\data\a.txt", "C:/DATA", r"C:\Database\a", r"D:\Data\a", r"C:\Data\OBJ\a")]))
+    assert got["windows"] == [True, True, False, False, False]

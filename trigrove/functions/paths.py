@@ -103,10 +103,15 @@ def scan_keeps(root: Column, path: Column, excludes, windows: bool = False) -> C
 
 def event_keeps(path: Column, roots, excludes, windows: bool = False) -> Column:
     """Rule of the change feed: under some root, with no hidden or excluded component below it.
-    The windows dialect tests every component of the path for exclusion only."""
+    The windows dialect (where no roots mean any) compares without case and with either slash, has no rule for hidden names and tests
+    every component of the path for exclusion."""
     if windows:
         names = F.array(*[F.lit(e.lower()) for e in excludes]).cast("array<string>")
-        return ~F.arrays_overlap(_components(F.lower(F.translate(path, "\\", "/"))), names)
+        key = F.lower(F.translate(path, "\\", "/"))
+        inside = F.lit(not roots)
+        for root in roots:
+            inside = inside | lies_under(key, F.lit(root.lower().replace("\\", "/").rstrip("/") or "/"))
+        return inside & ~F.arrays_overlap(_components(key), names)
     names = F.array(*[F.lit(e) for e in excludes]).cast("array<string>")
     kept = F.lit(False)
     for root in roots:

@@ -50,6 +50,7 @@ CATALOG = T.StructType(
         T.StructField("access_count", T.LongType()),
         T.StructField("metadata", METADATA),
         T.StructField("position", T.LongType()),
+        T.StructField("generation", T.LongType()),
     ]
 )
 
@@ -197,11 +198,13 @@ class Profile:
     tail_alias: bool = True
     nan_goes_left: bool = True  # side taken by a missing value without a decision type
     batch_interval_ms: int = 500
+    stored_limits: bool = False  # a stored catalog has to keep the limits
 
     def max_candidates(self, wanted: int) -> int:
         low, high = self.candidate_bounds
-        wanted = max(int(wanted), low)
-        return wanted if high is None else min(wanted, high)
+        if wanted < low or (high is not None and wanted > high):
+            raise ValueError(f"max_candidates is {wanted}, outside {low} to {'any' if high is None else high}")
+        return int(wanted)
 
 
 UNIX = Profile()
@@ -224,6 +227,7 @@ WINDOWS = Profile(
     tail_alias=False,
     nan_goes_left=False,
     batch_interval_ms=350,
+    stored_limits=True,
 )
 PROFILES = {"default": UNIX, "unix": UNIX, "windows": WINDOWS}
 

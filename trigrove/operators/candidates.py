@@ -124,7 +124,7 @@ def search_shapes(tables: LookupTables, search_grams: DataFrame, most: int, broa
         hot = tables.gram_counts.where(F.col("n_shapes") >= ROWS_PER_SALT).select(
             "entry_class", "gram", salts.alias("salts")
         )
-        spread = postings(tables.shapes, "grams").join(F.broadcast(hot), ["entry_class", "gram"], "left").withColumn(
+        spread = postings(tables.shapes, "grams").join(hot, ["entry_class", "gram"], "left").withColumn(
             "salt", F.pmod(F.xxhash64("shape_id"), F.coalesce("salts", F.lit(1)))
         )
         repeated = lookups.withColumn(
@@ -166,11 +166,7 @@ def text_hits(routes: DataFrame, found: DataFrame, search_rows: DataFrame) -> Da
     pooled = F.col("role") == FUZZY
     near = text.within_distance(F.col("text"), F.col("terms"))
     short = F.length("text") < FUZZY_LENGTH
-    hot = F.broadcast(
-        search_rows.where(F.col("n_texts") > TEXTS_PER_SALT).select(
-            *SEARCH, F.ceil(F.col("n_texts") / TEXTS_PER_SALT).alias("salts")
-        )
-    )
+    hot = search_rows.where(F.col("n_texts") > TEXTS_PER_SALT).select(*SEARCH, F.ceil(F.col("n_texts") / TEXTS_PER_SALT).alias("salts"))
     salts = F.coalesce("salts", F.lit(1).cast("long"))
     spread = routes.join(hot, SEARCH, "left").withColumn("salt", F.pmod(F.xxhash64("text"), salts)).drop("salts")
     repeated = (

@@ -22,10 +22,16 @@ def as_catalog(rows: DataFrame) -> DataFrame:
     return rows.select(*kept)
 
 
+def catalog_order() -> Column:
+    """Place of a row in catalog order: by the batch it came with, then by its position in it. Nothing is added to
+    positions, which may be 64-bit ids."""
+    return F.struct(F.coalesce("generation", F.lit(0)).alias("generation"), F.coalesce("position", "id").alias("position"))
+
+
 def _after(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``new`` with positions that follow those of ``old``."""
-    last = old.agg(F.coalesce(F.max(F.coalesce("position", "id")), F.lit(-1)).alias("last"))
-    return new.withColumn("position", last.scalar() + 1 + F.coalesce("position", "id"))
+    """``new`` in generations that follow those of ``old``."""
+    last = old.agg(F.max(F.coalesce("generation", F.lit(0))).alias("last"))
+    return new.withColumn("generation", F.coalesce(last.scalar() + 1, F.lit(0)) + F.coalesce("generation", F.lit(0)))
 
 
 def first_by(rows: DataFrame, keys: list, order: list) -> DataFrame:
@@ -36,11 +42,11 @@ def first_by(rows: DataFrame, keys: list, order: list) -> DataFrame:
 
 def merge_last(old: DataFrame, new: DataFrame) -> DataFrame:
     """Both catalogs by id: the later row wins and takes the place of the earlier one."""
-    rows = as_catalog(old).unionByName(_after(old, as_catalog(new))).withColumn("position", F.coalesce("position", "id"))
-    merged = rows.groupBy("id").agg(
-        F.min("position").alias("place"), F.max_by(F.struct(*COLUMNS), "position").alias("row")
-    )
-    return merged.select(*[F.col("place").alias(c) if c == "position" else F.col(f"row.{c}").alias(c) for c in COLUMNS])
+    kept = as_catalog(old)
+    rows = kept.unionByName(_after(kept, as_catalog(new))).withColumn("place", catalog_order())
+    merged = rows.groupBy("id").agg(F.min("place").alias("place"), F.max_by(F.struct(*COLUMNS), "place").alias("row"))
+    placed = ("position", "generation")
+    return merged.select(*[F.col(f"place.{c}").alias(c) if c in placed else F.col(f"row.{c}").alias(c) for c in COLUMNS])
 
 
 def replace_catalog(old: DataFrame, new: DataFrame, profile: Profile = UNIX) -> DataFrame:
@@ -50,21 +56,22 @@ def replace_catalog(old: DataFrame, new: DataFrame, profile: Profile = UNIX) ->
     In the windows dialect names are compared first and of equal ids the last stays.
     """
     kept_types = ["File"] if profile.name == "windows" else ["File", "Command"]
-    kept = as_catalog(old).where(F.col("entry_type").isin(*kept_types))
-    fresh = _after(old, as_catalog(new))
+    whole = as_catalog(old)
+    kept = whole.where(F.col("entry_type").isin(*kept_types))
+    fresh = _after(whole, as_catalog(new))
     by_name = [F.col("entry_type"), F.lower("name")]
     if profile.name == "windows":
-        fresh = first_by(fresh, by_name, ["position"])
-        return first_by(kept.unionByName(fresh), ["id"], [F.desc(F.coalesce("position", "id"))])
-    fresh = first_by(fresh.join(kept.select("id"), "id", "left_anti"), ["id"], ["position"])
-    return kept.unionByName(first_by(fresh, by_name, ["position"]).select(*COLUMNS))
+        fresh = first_by(fresh, by_name, [catalog_order()])
+        return first_by(kept.unionByName(fresh), ["id"], [F.desc(catalog_order())])
+    fresh = first_by(fresh.join(kept.select("id"), "id", "left_anti"), ["id"], [catalog_order()])
+    return kept.unionByName(first_by(fresh, by_name, [catalog_order()]).select(*COLUMNS))
 
 
 def replace_files(old: DataFrame, files: DataFrame) -> DataFrame:
     """All file rows come from ``files``, the others stay; equal ids keep the later row."""
-    kept = as_catalog(old).where("entry_type <> 'File'")
-    rows = kept.unionByName(_after(old, as_catalog(files)))
-    return first_by(rows, ["id"], [F.desc(F.coalesce("position", "id"))])
+    whole = as_catalog(old)
+    rows = whole.where("entry_type <> 'File'").unionByName(_after(whole, as_catalog(files)))
+    return first_by(rows, ["id"], [F.desc(catalog_order())])
 
 
 def carry_usage(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -96,8 +103,14 @@ def distinct_roots(roots: DataFrame, home: str | None = None, caseless: bool = F
     return known.join(inner, "key", "left_anti").select("path")
 
 
+def _path_key(column: str, profile: Profile) -> Column:
+    """A path as compared: clean, and in the windows dialect with "/" between components and without case."""
+    path = F.col(column)
+    return paths.clean(F.lower(F.translate(path, "\\", "/")) if profile.caseless_paths else path)
+
+
 def _subtree_ids(catalog: DataFrame, removed: DataFrame, profile: Profile) -> DataFrame:
-    key = lambda c: paths.clean(F.col(c), profile.caseless_paths)
+    key = lambda c: _path_key(c, profile)
     gone = removed.select(key("path").alias("key")).distinct()
     whole = catalog.select("id", key("path").alias("path"), "entry_type")
     above = paths.ancestors(F.col("path"))
@@ -148,9 +161,9 @@ def file_rows(listing: DataFrame, profile: Profile = UNIX) -> DataFrame:
     return as_catalog(rows)
 
 
-def coalesce_changes(changes: DataFrame) -> DataFrame:
+def coalesce_changes(changes: DataFrame, profile: Profile = UNIX) -> DataFrame:
     """Latest change of each path in a batch."""
-    return first_by(changes, ["path"], [F.desc("seq")])
+    return first_by(changes, [_path_key("path", profile) if profile.caseless_paths else F.col("path")], [F.desc("seq")])
 
 
 def apply_changes(
@@ -166,46 +179,47 @@ def apply_changes(
     Removed drops the whole subtree. Created drops it too, then adds the path's row and, from
     ``listing``, what lies below it. Modified replaces the path's own row. A path counts as there
     unless it or a directory above it is removed later in the batch. Rows of desktop files come
-    from ``desktop_files`` ``(path, value)``.
+    from ``desktop_files`` ``(path, value)``; without it a created or modified one is an error, except
+    in the windows dialect, where it is a file like others. There paths are compared without case and with either slash.
     """
     from trigrove.sources.desktop import desktop_entries
 
+    key = _path_key("path", profile)
     clear = drop_subtrees(catalog, changes.where("kind in ('Removed', 'Created')").select("path"), profile)
-    touched = changes.select(paths.clean(F.col("path"), profile.caseless_paths).alias("key")).distinct()
-    kept = (
-        clear.withColumn("key", paths.clean(F.col("path"), profile.caseless_paths))
-        .join(touched, "key", "left_anti")
-        .select(*COLUMNS)
-    )
-    removed = changes.where("kind = 'Removed'").groupBy(F.col("path").alias("above")).agg(F.max("seq").alias("gone_at"))
+    keyed = changes.withColumn("key", key)
+    kept = clear.withColumn("key", key).join(keyed.select("key").distinct(), "key", "left_anti").select(*COLUMNS)
+    removed = keyed.where("kind = 'Removed'").groupBy(F.col("key").alias("above")).agg(F.max("seq").alias("gone_at"))
 
     def there(rows: DataFrame) -> DataFrame:
         lost = (
-            rows.select("path", "seq", F.explode(paths.ancestors(F.col("path"))).alias("above"))
+            rows.select("key", "seq", F.explode(paths.ancestors(F.col("key"))).alias("above"))
             .join(removed, "above")
             .where("gone_at > seq")
-            .select("path")
+            .select("key")
             .distinct()
         )
-        return rows.join(lost, "path", "left_anti")
+        return rows.join(lost, "key", "left_anti")
 
-    latest = coalesce_changes(changes).where("kind <> 'Removed'").select("path", "seq", "is_dir", "size", "kind")
-    added = there(latest)
-    rows = added.select("path", "seq", "is_dir", "size", F.lit(0).alias("listed"))
+    latest = first_by(keyed, ["key"], [F.desc("seq")]).where("kind <> 'Removed'")
+    added = there(latest.select("key", "path", "seq", "is_dir", "size", "kind"))
+    rows = added.select("key", "path", "seq", "is_dir", "size", F.lit(0).alias("listed"))
     if listing is not None:
-        new_dirs = added.where("kind = 'Created' and is_dir").select(F.col("path").alias("above"), "seq")
+        new_dirs = added.where("kind = 'Created' and is_dir").select(F.col("key").alias("above"), "seq")
         below = (
-            listing.select("path", "is_dir", "size", F.explode(paths.ancestors(F.col("path"))).alias("above"))
-            .where("above <> path")
+            listing.select(key.alias("key"), "path", "is_dir", "size")
+            .select("*", F.explode(paths.ancestors(F.col("key"))).alias("above"))
+            .where("above <> key")
             .join(new_dirs, "above")
-            .groupBy("path")
-            .agg(F.max("seq").alias("seq"), F.first("is_dir").alias("is_dir"), F.first("size").alias("size"))
+            .groupBy("key")
+            .agg(F.max("seq").alias("seq"), F.min("path").alias("path"), F.first("is_dir").alias("is_dir"), F.first("size").alias("size"))
         )
         rows = rows.unionByName(there(below).withColumn("listed", F.lit(1)))
-    rows = first_by(rows, ["path"], ["listed"]).withColumn("position", F.col("seq"))
+    rows = first_by(rows, ["key"], ["listed"]).withColumn("position", F.col("seq"))
+    if profile.name == "windows":  # a desktop file is a file like others
+        return merge_last(kept, file_rows(rows, profile))
     is_desktop = F.col("path").endswith(".desktop")
-    fresh = file_rows(rows.where(~is_desktop), profile)
-    if desktop_files is not None:
-        texts = desktop_files.join(rows.where(is_desktop).select("path", "position"), "path")
-        fresh = fresh.unionByName(as_catalog(desktop_entries(texts)))
-    return merge_last(kept, fresh)
+    if desktop_files is None:
+        lost = F.raise_error(F.concat(F.lit("desktop_files is needed for the change of "), F.col("path")))
+        return merge_last(kept, file_rows(rows.where(F.when(is_desktop, lost.cast("boolean")).otherwise(True)), profile))
+    texts = desktop_files.join(rows.where(is_desktop).select("path", "position"), "path")
+    return merge_last(kept, file_rows(rows.where(~is_desktop), profile).unionByName(as_catalog(desktop_entries(texts))))

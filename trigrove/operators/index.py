@@ -7,7 +7,7 @@ row in every table below, and never one big group in a task.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +16,9 @@ from trigrove.functions import text
 from trigrove.model import Profile, UNIX
 
 
+ROWS_PER_FILE = 500_000
+
+
 def entry_class(entry_type: Column) -> Column:
     return F.when(entry_type == "Command", F.lit("Setting")).otherwise(entry_type)
 
@@ -23,6 +26,7 @@ def entry_class(entry_type: Column) -> Column:
 def entry_terms(catalog: DataFrame) -> DataFrame:
     """Entries with their class, their set of lower-cased terms and their own counters."""
     terms = text.lower_terms(F.col("name"), F.col("metadata.tags"))
+    generation = F.coalesce("generation", F.lit(0)) if "generation" in catalog.columns else F.lit(0).cast("long")
     return catalog.select(
         entry_class(F.col("entry_type")).alias("entry_class"),
         "id",
@@ -31,7 +35,7 @@ def entry_terms(catalog: DataFrame) -> DataFrame:
         F.coalesce("access_count", F.lit(0)).cast("long").alias("access_count"),
         F.coalesce("last_accessed", F.lit(0)).cast("long").alias("last_accessed"),
         F.coalesce("frecency_score", F.lit(0.0)).cast("double").alias("frecency_score"),
-        F.coalesce("position", "id").alias("position"),
+        F.struct(generation.alias("generation"), F.coalesce("position", "id").alias("position")).alias("position"),
     )
 
 
@@ -117,6 +121,7 @@ class LookupTables:
     setting_words: DataFrame
     extensions: DataFrame
     max_candidates: int
+    profile: str = UNIX.name
     NAMES = ("catalog", "shapes", "gram_counts", "exact_terms", "app_terms", "setting_words", "extensions")
 
     @classmethod
@@ -134,8 +139,19 @@ class LookupTables:
             setting_words=setting_words(catalog),
             extensions=extensions(catalog),
             max_candidates=most,
+            profile=profile.name,
         )
 
+    def limited(self, max_candidates: int) -> LookupTables:
+        """The tables for searches of at most ``max_candidates``; they must hold as many."""
+        if max_candidates > self.max_candidates:
+            raise ValueError(f"the lookup tables hold {self.max_candidates} candidates of a shape, {max_candidates} are asked for")
+        return replace(self, max_candidates=max_candidates)
+
+    def check_profile(self, profile: Profile) -> None:
+        if profile.name != self.profile:
+            raise ValueError(f"the lookup tables are of the {self.profile} dialect, the search is of {profile.name}")
+
     def write(self, path: str) -> None:
         """Store the tables, split by class so that a search reads only the classes it is routed to."""
         split = {"shapes", "gram_counts", "exact_terms"}
@@ -145,14 +161,20 @@ class LookupTables:
             table = getattr(self, name)
             if name == "gram_counts":  # from the written shapes, not from the catalog again
                 table = gram_counts(spark.read.parquet(shape_path))
-            if name == "shapes":  # searching a shape costs far more than reading it: one file per core and class
-                table = table.repartition(spark.sparkContext.defaultParallelism, "shape_id")
+            if name == "shapes":  # one file per core and class at least, more as the table grows
+                table = table.repartition(max(spark.sparkContext.defaultParallelism, 1 + self.shapes.count() // ROWS_PER_FILE), "shape_id")
             writer = table.write.mode("overwrite")
             if name in split:
                 writer = writer.partitionBy("entry_class")
             writer.parquet(f"{path}/{name}")
+        about = spark.createDataFrame([(self.max_candidates, self.profile)], "max_candidates int, profile string")
+        about.coalesce(1).write.mode("overwrite").json(f"{path}/about")
 
     @classmethod
-    def read(cls, spark, path: str, max_candidates: int = 100, profile: Profile = UNIX) -> LookupTables:
-        tables = {name: spark.read.parquet(f"{path}/{name}") for name in cls.NAMES}
-        return cls(max_candidates=profile.max_candidates(max_candidates), **tables)
+    def read(cls, spark, path: str, max_candidates: int | None = None, profile: Profile | None = None) -> LookupTables:
+        """Stored tables with the cap and the dialect they were made with; asking for more, or for the other, is an error."""
+        about = spark.read.schema("max_candidates int, profile string").json(f"{path}/about").first()
+        tables = cls(**{name: spark.read.parquet(f"{path}/{name}") for name in cls.NAMES}, **about.asDict())
+        if profile is not None:
+            tables.check_profile(profile)
+        return tables if max_candidates is None else tables.limited(max_candidates)

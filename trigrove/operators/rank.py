@@ -39,11 +39,11 @@ def stage1_order(candidates: DataFrame, now: int, most: int, profile: Profile =
 
 
 def empty_query_top(
-    catalog: DataFrame, usage: DataFrame | None, now: int, profile: Profile = UNIX, class_filter: str = "All"
+    catalog: DataFrame, usage: DataFrame | None, now: int, profile: Profile = UNIX, class_filter: str = "All", most: int = TOP
 ) -> DataFrame:
-    """What an empty query shows: the ten most used entries, then by name and id.
+    """What an empty query shows: the ``most`` most used entries, then by name and id.
 
-    A limit over an order keeps ten rows per task, so nothing is sorted whole.
+    A limit over an order keeps as many rows per task, so nothing is sorted whole.
     """
     rows = catalog.select(
         "id", "name", "entry_type", text.lower_terms(F.col("name"), F.col("metadata.tags")).alias("terms"),
@@ -52,7 +52,7 @@ def empty_query_top(
     if profile.class_filter_stage == "pre":
         rows = rows.where(F.col("entry_type").isin(*CLASS_TYPES[class_filter]))
     rows = with_usage(rows, usage).withColumn("daily", daily_frecency(now, profile.zero_count_uses_score))
-    best = rows.orderBy(F.desc("daily"), _name_order(profile), F.asc("id")).limit(TOP)
+    best = rows.orderBy(F.desc("daily"), _name_order(profile), F.asc("id")).limit(most)
     return best.withColumns({"text": F.lit(""), "quality": F.lit(0)})
 
 

@@ -9,27 +9,37 @@ from trigrove.functions import paths
 
 DAY = 86_400
 DECAY = 0.8
-COUNT_CAP = 4_294_967_295
 
 
-def access_counts(accesses: DataFrame) -> DataFrame:
+def _capped(count: Column, cap: int | None) -> Column:
+    return count if cap is None else F.least(count, F.lit(cap))
+
+
+def access_counts(accesses: DataFrame, cap: int | None = None) -> DataFrame:
     """One row per picked entry from rows ``(entry_id, ts, seq)``: number of picks and time of the last one.
 
-    Partial aggregation runs before the shuffle, so a much-picked entry costs one row per task.
+    Partial aggregation runs before the shuffle, so a much-picked entry costs one row per task. ``cap``: the
+    largest count of a store that has one.
     """
     return accesses.groupBy("entry_id").agg(
-        F.least(F.count("*"), F.lit(COUNT_CAP)).alias("access_count"),
+        _capped(F.count("*"), cap).alias("access_count"),
         F.max_by("ts", F.coalesce("seq", "ts")).alias("last_accessed"),
     )
 
 
-def merge_usage(old: DataFrame, new: DataFrame) -> DataFrame:
+def first_usage(entries: DataFrame, usage: DataFrame, picked: DataFrame) -> DataFrame:
+    """Usage rows of ``picked`` entries that have none yet, with the counters that the entries came with."""
+    own = entries.select(F.col("id").alias("entry_id"), F.coalesce("access_count", F.lit(0)).alias("access_count"), F.coalesce("last_accessed", F.lit(0)).alias("last_accessed"))
+    return own.join(picked.select("entry_id"), "entry_id", "left_semi").join(usage.select("entry_id"), "entry_id", "left_anti").where("access_count > 0")
+
+
+def merge_usage(old: DataFrame, new: DataFrame, cap: int | None = None) -> DataFrame:
     """Add newly counted picks to known counters; the later batch sets the time."""
     rows = old.select("entry_id", "access_count", "last_accessed", F.lit(0).alias("batch")).unionByName(
         new.select("entry_id", "access_count", "last_accessed", F.lit(1).alias("batch"))
     )
     return rows.groupBy("entry_id").agg(
-        F.least(F.sum("access_count"), F.lit(COUNT_CAP)).alias("access_count"),
+        _capped(F.sum("access_count"), cap).alias("access_count"),
         F.max_by("last_accessed", "batch").alias("last_accessed"),
     )
 

@@ -49,6 +49,7 @@ def retrieve(
     *,
     now: int,
     stage1_limit: int | None = None,
+    top_k: int = R.TOP,
     profile: str | Profile = "default",
     class_filter: str = "All",
     broadcast: bool | None = None,
@@ -61,7 +62,7 @@ def retrieve(
     """
     p = profile_of(profile)
     most = tables.max_candidates
-    limit = stage1_limit or p.stage1_limit or most
+    limit = stage1_limit or max(p.stage1_limit or most, top_k)
     pre_filter = class_filter if p.class_filter_stage == "pre" else "All"
     texts = distinct_texts(queries).where("text <> ''")
     if broadcast is None:
@@ -129,13 +130,16 @@ def ranked_rows(
     """Results with features; see :func:`search`."""
     p = profile_of(profile)
     pre_filter = class_filter if p.class_filter_stage == "pre" else "All"
+    if top_k > min(stage1_limit or tables.max_candidates, tables.max_candidates):
+        raise ValueError(f"top_k is {top_k}, more than the candidates that are kept")
+    tables.check_profile(p)
     asked = with_context(queries)
     steps = retrieve(
-        queries, tables, usage, now=now, stage1_limit=stage1_limit, profile=p, class_filter=class_filter,
+        queries, tables, usage, now=now, stage1_limit=stage1_limit, top_k=top_k, profile=p, class_filter=class_filter,
         broadcast=broadcast,
     )
     kept = ["text", "id", "name", "terms", "access_count", "last_accessed", "frecency_score"]
-    empty = R.empty_query_top(tables.catalog, usage, now, p, pre_filter)
+    empty = R.empty_query_top(tables.catalog, usage, now, p, pre_filter, max(R.TOP, top_k))
     found = R.match_features(steps.stage1.select(*kept).unionByName(empty.select(*kept))).drop("terms")
     popularity = file_type_popularity(tables.catalog, usage, p.name == "windows")
     found = _described(found, tables.catalog, popularity, p)
@@ -163,7 +167,7 @@ def search(
     usage: DataFrame | None = None,
     *,
     now: int,
-    max_candidates: int = 100,
+    max_candidates: int | None = None,
     stage1_limit: int | None = None,
     top_k: int = R.TOP,
     profile: str | Profile = "default",
@@ -175,10 +179,14 @@ def search(
 
     ``queries`` has ``query_id`` and ``query`` and may have the context columns; ``catalog``
     and ``usage`` are laid out as in :mod:`trigrove.model`. ``now`` is the time in epoch seconds
-    at which usage is judged. Give ``tables`` to search stored lookup tables.
+    at which usage is judged. Give ``tables`` to search stored lookup tables; they must have been made
+    for the profile and hold ``max_candidates`` (100 unless given) entries of a shape.
     """
     p = profile_of(profile)
-    tables = tables or LookupTables.of(catalog, max_candidates, p)
+    if tables is None:
+        tables = LookupTables.of(catalog, 100 if max_candidates is None else max_candidates, p)
+    elif max_candidates is not None:
+        tables = tables.limited(max_candidates)
     return ranked_rows(
         queries, tables, usage, now=now, top_k=top_k, stage1_limit=stage1_limit, profile=p,
         class_filter=class_filter, model=model,

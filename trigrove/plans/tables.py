@@ -47,6 +47,7 @@ def _entry(rows: DataFrame, source: str, key: str, entry_type: str, name, path,
         F.lit(0).cast("long").alias("access_count"),
         metadata.alias("metadata"),
         F.lit(None).cast("long").alias("position"),
+        F.lit(None).cast("long").alias("generation"),
     )
 
 

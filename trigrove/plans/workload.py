@@ -500,7 +500,7 @@ def settings_catalog(spark, sf):
 
 
 def clicks(events: DataFrame, part: DataFrame) -> DataFrame:
-    """Every click event as the pick of a part that was looked for by its name."""
+    """Every click event as the pick of a part that was looked for by its name; of a part that is not there, by nothing."""
     picked = events.where("event_type = 'click'").select(
         F.col("event_id"),
         T.seconds(F.col("ts")).alias("timestamp"),
@@ -509,9 +509,10 @@ def clicks(events: DataFrame, part: DataFrame) -> DataFrame:
         F.weekday("ts").alias("day_of_week"),
         F.col("user_id"),
     )
-    return picked.join(part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("query")), "k").select(
+    named = part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("query"))
+    return picked.join(named, "k", "left").select(
         F.concat(F.lit("click "), F.col("event_id").cast("string")).alias("query_id"),
-        "query",
+        F.coalesce("query", F.lit("")).alias("query"),
         F.col("k").cast("string").alias("selected_id"),
         F.col("query").alias("selected_name"),
         "timestamp",
@@ -561,11 +562,15 @@ def click_log_round_trip(spark, sf):
 
 @registered
 def gbt_train(spark, sf):
-    """Scores of all shown results by a ranker fitted to the clicks (few rounds)."""
+    """All shown results: whether a ranker fitted to the clicks and its text form, written and read, give the same score in [0, 1]."""
     p = prepared(spark, sf)
-    fitted = L.train_ranker(written(_logged(spark, sf), "clicks"), rounds=5)
-    scored = p.ranked(model=L.FittedRanker(fitted))
-    return scored.select("query_id", F.col("rank").cast("long").alias("rank"), "id", six("score").alias("score"))
+    fitted = L.train_ranker(written(_logged(spark, sf), "clicks"))
+    folder = new_folder(spark, "ranker")
+    treemodel.write_tree_model(spark, fitted.stages[-1], folder)
+    scored = L.FittedRanker(fitted).score(p.ranked()).withColumnRenamed("score", "fitted")
+    both = treemodel.read_tree_model(spark, folder).score(scored)
+    agree = (F.abs(F.col("score") - F.col("fitted")) < 1e-6) & F.col("score").between(0, 1)
+    return both.select("query_id", "id", agree.alias("agree"))
 
 
 def _event_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -664,9 +669,7 @@ def watcher_events(spark, sf):
     return translate_events(events, ["/web"], ("de", "fr")).select("seq", "kind", "path")
 
 
-@registered
-def stream_clicks_usage(spark, sf):
-    """Usage after all clicks have come in as a stream."""
+def _click_stream(spark: SparkSession, sf: str) -> ClickStores:
     p = prepared(spark, sf)
     stores = ClickStores(
         snapshot.VersionedTable(spark, new_folder(spark, "usage"), USAGE, partition_by=None),
@@ -675,7 +678,19 @@ def stream_clicks_usage(spark, sf):
     feed = clicks(_stream(spark, sf, "events"), T.read(spark, sf, "part")).drop("selected_name")
     run = stream_clicks(feed, p.tables, stores, new_folder(spark, "progress"), available_now=True, now=lambda: T.NOW)
     run.awaitTermination()
-    return stores.usage.read()
+    return stores
+
+
+@registered
+def stream_clicks_usage(spark, sf):
+    """Usage after all clicks have come in as a stream."""
+    return _click_stream(spark, sf).usage.read()
+
+
+@registered
+def click_rejects(spark, sf):
+    """Clicks of the stream on entries that are not in the catalog."""
+    return spark.read.json(_click_stream(spark, sf).rejects).select("query_id", "selected_id")
 
 
 @registered

@@ -234,9 +234,9 @@ PARTS["w_features"] = _features("w_", "queries")
 PARTS["w_ranked"] = _ranked("w_features", "upper(name)")
 
 PARTS["clicks"] = """
-SELECT 'click ' || event_id AS query_id, p_name AS query, p_name AS text, p_partkey AS k, user_id::INT AS user_id, NULL::VARCHAR AS active_app, NULL::VARCHAR AS cwd,
+SELECT 'click ' || event_id AS query_id, coalesce(p_name, '') AS query, coalesce(p_name, '') AS text, regexp_extract(props, '"k": ([0-9]+)', 1)::BIGINT AS k, user_id::INT AS user_id, NULL::VARCHAR AS active_app, NULL::VARCHAR AS cwd,
        floor(epoch_us(ts) / 1000000)::BIGINT AS timestamp, hour(ts) AS hour_of_day, isodow(ts) - 1 AS day_of_week
-  FROM events JOIN part ON p_partkey = regexp_extract(props, '"k": ([0-9]+)', 1)::BIGINT WHERE event_type = 'click'
+  FROM events LEFT JOIN part ON p_partkey = regexp_extract(props, '"k": ([0-9]+)', 1)::BIGINT WHERE event_type = 'click'
 """
 PARTS["click_features"] = _features("", "clicks")
 PARTS["click_ranked"] = _ranked("click_features")
@@ -407,7 +407,9 @@ SQL: dict[str, str] = {
         UNION ALL SELECT page_id * 2, CASE WHEN contains(url, '?') THEN 'Modified' WHEN ends_with(url, '/') THEN 'Removed' ELSE 'Created' END, path FROM pages_
          WHERE NOT contains(url, '#') AND (contains(url, '?') OR NOT ends_with(url, '.html')))
       SELECT * FROM made WHERE NOT list_has_any(string_split(path, '/'), ['de', 'fr'])""",
-    "stream_clicks_usage": "SELECT k AS entry_id, count(*) AS access_count, max(timestamp) AS last_accessed FROM clicks GROUP BY k",
+    "stream_clicks_usage": "SELECT k AS entry_id, count(*) AS access_count, max(timestamp) AS last_accessed FROM clicks WHERE k IN (SELECT id FROM catalog) GROUP BY k",
+    "click_rejects": "SELECT query_id, k::VARCHAR AS selected_id FROM clicks WHERE k NOT IN (SELECT id FROM catalog)",
+    "gbt_train": "SELECT query_id, id, true AS agree FROM ranked",
 }
 PARTS["part_queries"] = f"""
 SELECT 'part ' || p_partkey AS query_id, lower(trim({typo('p_name')})) AS text, NULL::VARCHAR AS active_app, NULL::VARCHAR AS cwd, {NOW} AS timestamp, 0 AS hour_of_day, 0 AS day_of_week FROM part

@@ -103,4 +103,5 @@ def desktop_entries(files: DataFrame) -> DataFrame:
         F.lit(0).cast("long").alias("access_count"),
         metadata.alias("metadata"),
         position.cast("long").alias("position"),
+        F.lit(None).cast("long").alias("generation"),
     )

@@ -12,10 +12,11 @@ from pyspark.sql.streaming import StreamingQuery
 from trigrove.functions import paths
 from trigrove.model import Profile, UNIX, UNIX_EXCLUDES
 from trigrove.operators.catalog import apply_changes, replace_catalog, replace_files
-from trigrove.sources.snapshot import VersionedTable
+from trigrove.sources.snapshot import VersionConflict, VersionedTable
 
 FEED = "changes"
 SHORTEST_MS, LONGEST_MS = 50, 5000
+ATTEMPTS = 5
 
 
 def translate_events(
@@ -61,7 +62,9 @@ def apply_batch(
     """One catalog version from one batch; a batch already applied, or empty, changes nothing.
 
     An overflow row means events were lost: all files are read again with ``rescan``. Any row of the
-    source ``catalog`` makes ``rebuild`` deliver the applications and settings anew, once.
+    source ``catalog`` makes ``rebuild`` deliver the applications and settings anew, once. Without the function
+    that a row asks for the batch fails, and no version is published as if nothing were lost. If another
+    writer publishes meanwhile, the batch is applied again to what it left.
     """
     if store.applied(FEED, batch_id):
         return False
@@ -72,18 +75,28 @@ def apply_batch(
     ).first()
     if not seen["rows"]:
         return False
-    catalog = store.read()
+    if seen["overflow"] and rescan is None:
+        raise ValueError("events were lost: rescan is needed to read the files again")
+    if seen["dirty"] and rebuild is None:
+        raise ValueError("applications or settings have changed: rebuild is needed to read them again")
     files = changes.where("coalesce(source, 'files') = 'files' and kind <> 'Overflow'")
-    if seen["overflow"] and rescan is not None:
-        catalog = replace_files(catalog, rescan())
-    else:
-        catalog = apply_changes(
-            catalog, files, listing=listing, desktop_files=desktop_files, profile=profile
-        )
-    if seen["dirty"] and rebuild is not None:
-        catalog = replace_catalog(catalog, rebuild(), profile)
-    store.publish(catalog, now(), FEED, batch_id)
-    return True
+    for attempt in range(ATTEMPTS):
+        number = store.number()
+        catalog = store.read()
+        if seen["overflow"]:
+            catalog = replace_files(catalog, rescan())
+        else:
+            catalog = apply_changes(catalog, files, listing=listing, desktop_files=desktop_files, profile=profile)
+        if seen["dirty"]:
+            catalog = replace_catalog(catalog, rebuild(), profile)
+        try:
+            store.publish(catalog, now(), FEED, batch_id, after=number)
+        except VersionConflict:
+            if attempt + 1 == ATTEMPTS:
+                raise
+            continue
+        return True
+    return False
 
 
 def stream_changes(

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from trigrove.model import Profile, UNIX
 from trigrove.operators.index import LookupTables
 from trigrove.operators.training import click_rows
-from trigrove.operators.usage import access_counts, merge_usage
+from trigrove.operators.usage import access_counts, first_usage, merge_usage
 from trigrove.plans.search import ranked_rows
 from trigrove.sources.clicklog import click_lines
 from trigrove.sources.snapshot import VersionedTable
@@ -66,7 +66,8 @@ def record_batch(
     click_lines(shown.withColumn("context", context)).write.mode("overwrite").text(f"{stores.log}/batch_id={batch_id}")
     unknown.write.mode("overwrite").json(f"{stores.rejects}/batch_id={batch_id}")
     counted = access_counts(known.select("entry_id", F.col("timestamp").alias("ts"), F.col("timestamp").alias("seq")))
-    stores.usage.publish(merge_usage(usage, counted), at, FEED, batch_id)
+    start = first_usage(tables.catalog, usage, counted)
+    stores.usage.publish(merge_usage(usage.select("entry_id", "access_count", "last_accessed").unionByName(start), counted), at, FEED, batch_id)
     return True
 
 
