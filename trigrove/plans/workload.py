@@ -18,10 +18,11 @@ from trigrove.operators import training as L
 from trigrove.operators import usage as U
 from trigrove.operators.index import LookupTables
 from trigrove.plans import tables as T
+from trigrove.plans.build import build_catalog
 from trigrove.plans.search import Steps, ranked_rows, retrieve
 from trigrove.plans.shared import new_folder, written
 from trigrove.sources import clicklog, desktop, files, fixed, requests, snapshot, treemodel
-from trigrove.streaming.changes import stream_changes, translate_events
+from trigrove.streaming.changes import apply_batch, stream_changes, translate_events
 from trigrove.streaming.clicks import ClickStores, stream_clicks
 from trigrove.streaming.queries import stream_queries
 
@@ -441,6 +442,102 @@ def apply_changes(spark, sf):
     return _changed(K.apply_changes(T.catalog(spark, sf), page_changes(T.read(spark, sf, "pages"))))
 
 
+@registered
+def windows_apply_changes(spark, sf):
+    """The page changes in the windows dialect: addresses as paths with back slashes, changes in upper case."""
+    pages = T.read(spark, sf, "pages")
+    back = lambda c: F.concat(F.lit("C:\\"), F.translate(c, "/", "\\"))
+    listing = pages.select(back(T.page_path(F.col("url"))).alias("path"), F.lit(False).alias("is_dir"), F.length("html").alias("size"), F.col("page_id").alias("position"))
+    old = K.first_by(K.file_rows(listing, WINDOWS), ["id"], [F.desc("position")])
+    changes = page_changes(pages).withColumn("path", F.upper(back(F.col("path"))))
+    changed = K.apply_changes(old, changes, profile=WINDOWS)
+    return changed.select(F.lower("path").alias("path"), "metadata.file_size")
+
+
+# --- start-up and rescans, with ids made from what entries are ------------------------------------------
+
+
+def _scanned(pages: DataFrame) -> DataFrame:
+    """Pages as scanned files; of pages with one address the last stands."""
+    listing = pages.select(
+        T.page_path(F.col("url")).alias("path"), F.lit(False).alias("is_dir"), F.length("html").alias("size"), F.col("page_id").alias("position")
+    )
+    return K.first_by(K.file_rows(listing), ["id"], [F.desc("position")])
+
+
+def _parts(part: DataFrame, kind: str = "App") -> DataFrame:
+    """Parts as applications, in key order."""
+    source = F.concat(F.lit("part/"), F.col("p_partkey").cast("string"))
+    return K.as_catalog(
+        part.select(
+            paths.stable_id(F.lit(kind), source).alias("id"), F.lit(kind).alias("entry_type"), F.col("p_name").alias("name"), source.alias("path"),
+            F.col("p_partkey").alias("position"),
+        )
+    )
+
+
+def _started(spark: SparkSession, sf: str) -> snapshot.VersionedTable:
+    store = snapshot.VersionedTable(spark, new_folder(spark, "store"))
+    pages, part = T.read(spark, sf, "pages"), T.read(spark, sf, "part")
+    build_catalog(store, lambda: _scanned(pages), _parts(part), now=T.NOW)
+    return store
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    return rows.select("entry_type", "name", "path", "metadata.file_size")
+
+
+@registered
+def startup_catalog(spark, sf):
+    """Scanned first, then started from the store with other parts, then scanned in full again over what is there."""
+    store = _started(spark, sf)
+    pages, part = T.read(spark, sf, "pages"), T.read(spark, sf, "part")
+
+    def no_scan() -> DataFrame:
+        raise AssertionError("a stored catalog needs no scan")
+
+    build_catalog(store, no_scan, _parts(part.where("p_type <> 'PROMO'")), now=T.NOW + 1)
+    longer = pages.withColumn("html", F.concat("html", F.lit("!")))
+    return _entries(build_catalog(store, lambda: _scanned(longer), _parts(part.where("p_type <> 'SMALL'")), now=T.NOW + 2, mode="full"))
+
+
+@registered
+def rescan_overflow(spark, sf):
+    """Events of some pages were lost: all files come from a new scan, of pages without a fragment."""
+    store, pages = _started(spark, sf), T.read(spark, sf, "pages")
+    kind = F.when(F.col("url").contains("#"), "Overflow").otherwise("Modified")
+    changes = pages.select(
+        F.col("page_id").alias("seq"), kind.alias("kind"), T.page_path(F.col("url")).alias("path"), F.lit(False).alias("is_dir"),
+        F.lit(0).cast("long").alias("size"), F.lit("files").alias("source"),
+    )
+    apply_batch(store, changes, 0, rescan=lambda: _scanned(pages.where(~F.col("url").contains("#"))), now=lambda: T.NOW)
+    return _entries(store.read())
+
+
+@registered
+def dirty_rebuild(spark, sf):
+    """Changed menu files make the applications come anew, from parts as settings of one type only."""
+    store, part = _started(spark, sf), T.read(spark, sf, "part")
+    changes = part.select(
+        F.col("p_partkey").alias("seq"), F.lit("Modified").alias("kind"), F.concat(F.lit("/menu/"), "p_name").alias("path"), F.lit(False).alias("is_dir"),
+        F.lit(0).cast("long").alias("size"), F.lit("catalog").alias("source"),
+    )
+    apply_batch(store, changes, 0, rebuild=lambda: _parts(part.where("p_type = 'PROMO'"), "Setting"), now=lambda: T.NOW)
+    return _entries(store.read())
+
+
+@registered
+def carry_usage(spark, sf):
+    """Counters of the catalog go over to rows with the same ids."""
+    old = U.with_usage(T.catalog(spark, sf), T.usage(spark, sf))
+    return K.carry_usage(old, T.catalog(spark, sf)).select("id", "access_count", "last_accessed")
+
+
+@registered
+def catalog_count(spark, sf):
+    return T.catalog(spark, sf).agg(F.count("*").alias("entries"))
+
+
 @registered
 def shortcut_catalog(spark, sf):
     """Parts as shortcut files in folders named after their types and brands."""
@@ -669,13 +766,20 @@ def watcher_events(spark, sf):
     return translate_events(events, ["/web"], ("de", "fr")).select("seq", "kind", "path")
 
 
-def _click_stream(spark: SparkSession, sf: str) -> ClickStores:
+def _strays(events: DataFrame) -> DataFrame:
+    """Events in which every view is a click on something that is not in the catalog."""
+    view = F.col("event_type") == "view"
+    props = F.concat(F.lit('{"k": 9000'), F.get_json_object("props", "$.k"), F.lit("}"))
+    return events.withColumn("props", F.when(view, props).otherwise(F.col("props"))).withColumn("event_type", F.when(view, "click").otherwise(F.col("event_type")))
+
+
+def _click_stream(spark: SparkSession, sf: str, change=lambda events: events) -> ClickStores:
     p = prepared(spark, sf)
     stores = ClickStores(
         snapshot.VersionedTable(spark, new_folder(spark, "usage"), USAGE, partition_by=None),
         new_folder(spark, "log"), new_folder(spark, "rejects"),
     )
-    feed = clicks(_stream(spark, sf, "events"), T.read(spark, sf, "part")).drop("selected_name")
+    feed = clicks(change(_stream(spark, sf, "events")), T.read(spark, sf, "part")).drop("selected_name")
     run = stream_clicks(feed, p.tables, stores, new_folder(spark, "progress"), available_now=True, now=lambda: T.NOW)
     run.awaitTermination()
     return stores
@@ -690,7 +794,8 @@ def stream_clicks_usage(spark, sf):
 @registered
 def click_rejects(spark, sf):
     """Clicks of the stream on entries that are not in the catalog."""
-    return spark.read.json(_click_stream(spark, sf).rejects).select("query_id", "selected_id")
+    rejects = spark.read.schema("query_id string, selected_id string").json(_click_stream(spark, sf, _strays).rejects)
+    return rejects.select("query_id", "selected_id")
 
 
 @registered

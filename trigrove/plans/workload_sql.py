@@ -408,7 +408,8 @@ SQL: dict[str, str] = {
          WHERE NOT contains(url, '#') AND (contains(url, '?') OR NOT ends_with(url, '.html')))
       SELECT * FROM made WHERE NOT list_has_any(string_split(path, '/'), ['de', 'fr'])""",
     "stream_clicks_usage": "SELECT k AS entry_id, count(*) AS access_count, max(timestamp) AS last_accessed FROM clicks WHERE k IN (SELECT id FROM catalog) GROUP BY k",
-    "click_rejects": "SELECT query_id, k::VARCHAR AS selected_id FROM clicks WHERE k NOT IN (SELECT id FROM catalog)",
+    "click_rejects": """SELECT query_id, k::VARCHAR AS selected_id FROM clicks WHERE k NOT IN (SELECT id FROM catalog)
+      UNION ALL SELECT 'click ' || event_id, '9000' || regexp_extract(props, '"k": ([0-9]+)', 1) FROM events WHERE event_type = 'view'""",
     "gbt_train": "SELECT query_id, id, true AS agree FROM ranked",
 }
 PARTS["part_queries"] = f"""
@@ -419,6 +420,33 @@ PARTS["part_ranked"] = _ranked("part_features")
 SQL["stream_queries_top10"] = _TOP + "part_ranked"
 
 
+PARTS["page_files"] = f"""
+SELECT 'File' AS entry_type, {base('path')} AS name, path, arg_max(size, page_id) AS file_size
+  FROM (SELECT page_id, url, {PAGE_PATH} AS path, length(html)::BIGINT AS size FROM pages) GROUP BY path
+"""
+PARTS["page_files_left"] = PARTS["page_files"].replace("FROM pages)", "FROM pages WHERE NOT contains(url, '#'))")
+PARTS["part_apps"] = "SELECT 'App' AS entry_type, arg_min(p_name, p_partkey) AS name, 'part/' || min(p_partkey) AS path, NULL::BIGINT AS file_size FROM part GROUP BY lower(p_name)"
+SQL["startup_catalog"] = f"""
+SELECT entry_type, name, path, file_size + 1 AS file_size FROM page_files
+UNION ALL SELECT * FROM ({PARTS["part_apps"].replace("FROM part", "FROM part WHERE p_type <> 'SMALL'")})
+"""
+SQL["rescan_overflow"] = "SELECT * FROM page_files_left UNION ALL SELECT * FROM part_apps"
+SQL["dirty_rebuild"] = f"""
+SELECT * FROM page_files
+UNION ALL SELECT * REPLACE ('Setting' AS entry_type) FROM ({PARTS["part_apps"].replace("FROM part", "FROM part WHERE p_type = 'PROMO'")})
+"""
+SQL["windows_apply_changes"] = f"""
+SELECT lower('C:\\' || replace(path, '/', '\\')) AS path, file_size FROM page_files c
+ WHERE NOT EXISTS (SELECT 1 FROM changes x WHERE kind IN ('Removed', 'Created') AND {under('c.path', 'x.path')})
+   AND NOT EXISTS (SELECT 1 FROM changes x WHERE x.path = c.path)
+UNION ALL
+SELECT lower('C:\\' || replace(path, '/', '\\')), size FROM latest l
+ WHERE kind <> 'Removed' AND NOT EXISTS (SELECT 1 FROM changes x WHERE x.kind = 'Removed' AND x.seq > l.seq AND {under('l.path', 'x.path')})
+"""
+SQL["carry_usage"] = "SELECT id, coalesce(access_count, 0) AS access_count, coalesce(last_accessed, 0) AS last_accessed FROM catalog LEFT JOIN usage ON entry_id = id"
+SQL["catalog_count"] = "SELECT count(*) AS entries FROM catalog"
+
+
 def _known() -> str:
     rows = []
     for table, kind in ((UNIX_SETTINGS, "Setting"), (WINDOWS_SETTINGS, "Setting"), (WINDOWS_COMMANDS, "Command")):
