@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,6 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {KEY} to a folder that every executor can reach")
     made = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)  # ours alone, and gone with this process
     spark.sparkContext.setCheckpointDir(f"file://{made}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
