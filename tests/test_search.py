@@ -201,7 +201,7 @@ def test_hot_keys_are_spread_without_changing_results(spark, data, monkeypatch):
     few = p.queries.where("query_id like 'as is%'")
     key = ["query_id", "rank", "id"]
     plain = sorted(map(tuple, ranked_rows(few, p.tables, p.usage, now=NOW, broadcast=True).select(*key).collect()))
-    monkeypatch.setattr(C, "ROWS_PER_SALT", 5)
+    monkeypatch.setattr(C, "MEETINGS_PER_SALT", 5)
     monkeypatch.setattr(C, "TEXTS_PER_SALT", 3)
     spread = sorted(map(tuple, ranked_rows(few, p.tables, p.usage, now=NOW, broadcast=False).select(*key).collect()))
     assert plain == spread and plain

@@ -6,7 +6,7 @@ queries lead to it, and per distinct shape, however many entries share it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trigrove.functions import text
@@ -18,8 +18,8 @@ SEARCH = ["entry_class", "search_text", "least"]
 
 OVERLAP, FUZZY, EXACT = "overlap", "fuzzy", "exact"
 
-# Postings of one gram that one task of a shuffled lookup should meet at most.
-ROWS_PER_SALT = 1_000_000
+# Meetings of shapes and lookups over one gram that one task should make at most.
+MEETINGS_PER_SALT = 20_000_000
 # Texts that one task joins with the hits of their common search at most.
 TEXTS_PER_SALT = 2_000
 # A batch whose lookup rows are at most this big is sent to every task instead.
@@ -107,12 +107,34 @@ def _graded(met: DataFrame, kept: list[str]) -> DataFrame:
     )
 
 
+def met_by_gram(shape_rows: DataFrame, lookups: DataFrame, *carried: str) -> DataFrame:
+    """Shapes and lookups that have a gram in common, shuffled by gram.
+
+    The meetings over a gram are its shapes times its lookups. Where they are more than
+    ``MEETINGS_PER_SALT``, the longer side is dealt to several tasks and the shorter one repeated for each.
+    """
+    key = ["entry_class", "gram"]
+    counted = lookups.groupBy(*key).agg(F.count("*").alias("asked"), F.max("n_shapes").alias("n_shapes"))
+    meetings = F.col("asked").cast("double") * F.col("n_shapes")
+    hot = counted.where(meetings > MEETINGS_PER_SALT).select(
+        *key, F.ceil(meetings / MEETINGS_PER_SALT).alias("salts"), (F.col("n_shapes") >= F.col("asked")).alias("deal_shapes")
+    )
+
+    def salted(rows: DataFrame, dealt: Column, *by: str) -> DataFrame:
+        every = F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)
+        salts = F.when(F.coalesce(dealt, F.lit(False)), F.array(F.pmod(F.xxhash64(*by), F.col("salts")))).otherwise(every)
+        return rows.join(hot, key, "left").withColumn("salt", F.explode(salts)).drop("salts", "deal_shapes")
+
+    shapes = salted(postings(shape_rows, *carried), F.col("deal_shapes"), "shape_id")
+    asked = salted(lookups.drop("n_shapes"), ~F.col("deal_shapes"), *SEARCH)
+    return shapes.join(asked, [*key, "salt"]).drop("salt")
+
+
 def search_shapes(tables: LookupTables, search_grams: DataFrame, most: int, broadcast: bool) -> DataFrame:
     """The ``most`` best shapes per search and role, with their members.
 
     With a lookup side known to be small, one pass over the shapes meets it in a broadcast join.
-    Otherwise both sides are shuffled by gram; a gram in more than ``ROWS_PER_SALT`` shapes is
-    spread over several tasks, the lookup side being repeated for each.
+    Otherwise both sides are shuffled by gram.
     """
     lookups = _lookups(search_grams)
     if broadcast:
@@ -120,17 +142,7 @@ def search_shapes(tables: LookupTables, search_grams: DataFrame, most: int, broa
             F.broadcast(lookups.drop("n_shapes")), ["entry_class", "gram"]
         )
     else:
-        salts = (F.floor(F.col("n_shapes") / ROWS_PER_SALT) + 1).cast("int")
-        hot = tables.gram_counts.where(F.col("n_shapes") >= ROWS_PER_SALT).select(
-            "entry_class", "gram", salts.alias("salts")
-        )
-        spread = postings(tables.shapes, "grams").join(hot, ["entry_class", "gram"], "left").withColumn(
-            "salt", F.pmod(F.xxhash64("shape_id"), F.coalesce("salts", F.lit(1)))
-        )
-        repeated = lookups.withColumn(
-            "salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1))
-        ).drop("n_shapes")
-        met = spread.join(repeated, ["entry_class", "gram", "salt"])
+        met = met_by_gram(tables.shapes, lookups, "grams")
     kept = ["terms", "members"] if broadcast else []
     best = _top(_graded(met, kept), [*SEARCH, "role"], "shape_id", most)
     if not broadcast:

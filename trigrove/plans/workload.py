@@ -94,8 +94,7 @@ def trigram_df(spark, sf):
 def overlap_pairs(spark, sf):
     """Every shape that reaches the least overlap of a search, without a limit per search."""
     p = prepared(spark, sf)
-    lookups = C._lookups(p.steps().search_grams).drop("n_shapes")
-    met = X.postings(p.tables.shapes, "grams", "n_entries").join(lookups, ["entry_class", "gram"])
+    met = C.met_by_gram(p.tables.shapes, C._lookups(p.steps().search_grams), "grams", "n_entries")
     pairs = C._graded(met, ["n_entries"]).where(F.col("role") == C.OVERLAP)
     return pairs.select(*C.SEARCH, "shape_id", "n_entries", six("score").alias("overlap"))
 
