@@ -101,7 +101,7 @@ def test_scores_are_mean_log_ratios_over_all_documents(spark):
         assert found[k] == pytest.approx(np.mean([ratio[buckets[g]] for g in grams(text)]))
 
 
-@pytest.mark.parametrize("name", ["op2_mix_sources", "op6_line_dedup", "op10_url_filter"])
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op2_mix_sources", "op3_near_duplicates", "op6_line_dedup", "op10_url_filter"])
 def test_same_as_sql(spark, data, name):
     assert compare(QUERIES[name](spark, data), connection(data), SQL[name]) == []
 

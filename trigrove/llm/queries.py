@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that occur in a window of a benchmark item."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
-    return decontaminate.digest(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
+    return decontaminate.digest(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 @registered
@@ -101,6 +101,35 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: DuckDB SQL for those that SQL can express.
 SQL: dict[str, str] = {
+    "op1_decontaminate": r"""
+        with docs as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+            from documents),
+        items as (
+            select cast(item_id as varchar) as id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+            from benchmark),
+        starts as (select id, w, least(len(w), 13) as n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as k from items where len(w) > 0),
+        phrases as (select distinct id, n, array_to_string(w[k:k + n - 1], ' ') as phrase from starts),
+        places as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from docs, (select distinct n from phrases) where len(w) >= n),
+        met as (select doc_id, k, n, id from (select doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') as phrase from places) join phrases using (n, phrase)),
+        hit as (select doc_id, count(distinct word) as n_hit from (select doc_id, unnest(range(k, k + n)) as word from met) group by doc_id),
+        named as (select doc_id, count(id) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, id from met) group by doc_id)
+        select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+               coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+        from docs left join hit using (doc_id) left join named using (doc_id)""",
+    "op3_near_duplicates": r"""
+        with recursive docs as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        starts as (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as k from docs where len(w) > 0),
+        shingles as (select distinct doc_id, array_to_string(w[k:k + 2], ' ') as shingle from starts),
+        sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+        pairs as (select a.doc_id as a, b.doc_id as b, count(*) as shared from shingles a join shingles b using (shingle) where a.doc_id < b.doc_id group by all),
+        links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared)),
+        ways as (select a, b from links union all select b, a from links),
+        reached(node, other) as (select doc_id, doc_id from docs union select node, b from reached join ways on a = other),
+        least_of as (select node, min(other) as component_id from reached group by node)
+        select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+        from docs d left join sizes using (doc_id) join least_of on node = d.doc_id""",
     "op2_mix_sources": r"""
         with sized as (
             select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as o,
