@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from trigrove.llm.batches import named, others
 
 SHARDS = 16
-ROWS_PER_CELL = 1 << 15
+ROWS_PER_CELL = 1 << 12
 MOST_CELLS = 1024
 SEED = 20
 
