@@ -5,6 +5,7 @@ import re
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 
@@ -160,6 +161,39 @@ def test_viterbi_is_the_best_of_all_tag_sequences():
         assert score(field.decode(chunk)) == pytest.approx(max(score(t) for t in itertools.product(range(3), repeat=n)))
 
 
+def test_field_may_begin_a_secret_at_any_token():
+    features = np.zeros((secrets.BUCKETS, 3))
+    for name in ("size:7", "size:9", "plain:$"):
+        features[secrets._bucket(name), secrets.B] = 9.0
+    features[secrets._bucket("size:3"), secrets.I] = 5.0
+    compute = secrets._scanning(secrets.Field(features, np.zeros((3, 3))))
+    texts = ["say hunter2 now", "é\u00a0battleaxe", None, "", "an $xY9!", "no"]
+    assert [[(s["kind"], s["start"], s["end"]) for s in row] for row in compute(pa.array(texts, pa.string()))[0].to_pylist()] == [
+        [("crf", 4, 11)], [("crf", 2, 11)], [], [], [("crf", 3, 7)], [],
+    ]
+
+
+def test_viterbi_of_many_stretches_is_that_of_each():
+    rng = np.random.default_rng(4)
+    field = secrets.Field(np.zeros((secrets.BUCKETS, 3)), rng.normal(size=(3, 3)))
+    sizes = [1, 3, 300, 2, 1, 7, secrets.LONG, 40]
+    emits, heads = rng.normal(size=(sum(sizes), 3)), np.cumsum([0, *sizes[:-1]])
+    alone = [t for a, n in zip(heads, sizes, strict=True) for t in field.best(emits[a : a + n].tolist())]
+    assert field.best_of_all(emits, heads).tolist() == alone
+
+
+def test_field_learns_from_values_of_letters(spark):
+    def secret(k):
+        return "".join("abcdefghijklmnopqrstuvwxyz"[k * p % 26] for p in (3, 5, 7, 11, 17, 19, 23, 29, 31, 37, 41, 43))
+
+    rows = [(k, f"some words before password=\"{secret(k)}\" and after it", "en", "s") for k in range(1, 60)]
+    rows += [(400 + k, f"nothing is hidden in these sentences number {k} at all", "en", "s") for k in range(60)]
+    compute = secrets._scanning(secrets.learned(brute.table(spark, rows)))
+    texts = [f"other words before phrase=\"{secret(70 + k)}\" and more" for k in range(5)] + ["nothing is hidden in these words"]
+    found = compute(pa.array(texts))[0].to_pylist()
+    assert [[(s["kind"], t[s["start"] : s["end"]]) for s in f] for t, f in zip(texts, found, strict=True)] == [[("crf", secret(70 + k))] for k in range(5)] + [[]]
+
+
 def test_spans_are_replaced(spark):
     docs = spark.createDataFrame([("é password=abcdefgh9 x 0123456789abcdef0123456789abcdef",), (None,), ("plain",)], "text string")
     found = secrets.scanned(docs)

@@ -1,15 +1,15 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that finds more of the kind.
 
-Tokens are runs of ``[A-Za-z0-9_+/-]`` and single other characters. A secret begins (B) at a token that looks unlike a
-word: eight characters or more with a digit, or twenty or more; it goes on (I) without a space. So the chain
-falls apart at spaces, stretches without such a token are outside (O) for certain, and Viterbi runs over the others only:
-the decoding is exact and the cost that of the few odd tokens. Features are a token's shape, the words beside it, and
-how a file looks as a whole.
+Tokens are runs of ``[A-Za-z0-9_+/-]`` and single other characters. A secret may begin (B) at any token; it goes on (I) without
+a space. So the chain falls apart at spaces, and Viterbi runs over each stretch between two spaces: the decoding is exact and covers
+every token of every text. Features are a token's shape (length, digits, case, entropy), the words beside it, and how a file looks
+as a whole. What a token adds to the scores of its own place and of those beside it is worked out once per distinct token.
 
-The field is fitted on at most ``SAMPLE`` texts with a pattern's match and as many others that have odd tokens (the smallest by a
-hash); patterns give the tags, but are no features, so what resembles their values in shape and company is found too. A
-stretch without a match whose outline is that of one with a match may be a secret that the patterns miss: it is not learned from.
-Every text is scanned whole, in its own task, without shuffle.
+The field is fitted on at most ``SAMPLE`` texts with a pattern's match, as many others that have odd tokens (eight characters or more with
+a digit, or twenty or more) and as many of the rest (the smallest by a hash); patterns give the tags, but are no features, so what resembles
+their values in shape and company is found too. Of each text stretches with a match, those with an odd token or a sign nearby and plain ones
+are drawn by a hash up to ``DRAWN`` tokens each, and weigh as much as all of their sort. An odd stretch without a match whose outline is that of
+one with a match, and what follows a keyword without a match, may be secrets that the patterns miss: they are not learned from. Every text is scanned whole, in its own task, without shuffle.
 
 Defined results: null and empty texts have no span; of a match and a span of the field that overlap the match stays;
 without any match to learn from the field finds nothing.
@@ -17,9 +17,13 @@ without any match to learn from the field finds nothing.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 import zlib
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +34,27 @@ from trigrove.llm import words as W
 from trigrove.llm.batches import add_columns, named
 
 SAMPLE = 1000
+DRAWN = 16
+LONG = 256
+REMEMBERED = 200_000
 BUCKETS = 1 << 12
 O, B, I = range(3)  # noqa: E741
 KINDS = ("assign", "access", "hex", "crf")
 
 #: Fixed patterns; group 2 of the first and the whole of the others need a least length.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
+#: What follows a keyword and a sign; without a match it may be a secret too short or too odd for the patterns.
+_FOLLOWS = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*(\S+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 _TOKEN = re.compile(r"[A-Za-z0-9_+/-]+|[^\sA-Za-z0-9_+/-]")
-_CHUNK_END = re.compile(r"\s")
-_TOKEN_BYTE = np.zeros(256, bool)
-_TOKEN_BYTE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-")] = True
-_DIGIT_BYTE = np.zeros(256, bool)
-_DIGIT_BYTE[list(b"0123456789")] = True
+_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-")
+_BESIDE = (-4, -3, -2, -1, 1, 2)
+_SIGNS = frozenset("=:\"'`")
+#: 0 for spaces, 1 for characters of runs, 2 for others; no space lies beyond the last place.
+_KIND = np.array([0 if chr(c).isspace() else 1 if chr(c) in _RUN else 2 for c in range(0x3002)], np.int8)
 
 
 def base_spans(text: str, longest: int) -> list[tuple[str, int, int, int]]:
@@ -71,15 +80,15 @@ def _entropy(token: str) -> float:
 
 def shape(token: str) -> list[str]:
     """What a token looks like."""
-    if not odd(token):
-        return [f"plain:{token if not token[0].isalnum() else 'digits' if token.isdigit() else 'letters'}"]
+    if token[0] not in _RUN:
+        return [f"plain:{'letters' if token.isalnum() else token}"]
     digits = sum(c.isdigit() for c in token)
     case = ("u" if any(c.isupper() for c in token) else "") + ("l" if any(c.islower() for c in token) else "")
     kind = "number" if digits == len(token) else "letters" if not digits else "hex" if re.fullmatch(r"[0-9a-fA-F]+", token) else "mixed"
     length = min(len(token) // 8, 6)
     return [
         f"kind:{kind}", f"length:{length}", f"kind-length:{kind}{length}", f"case:{case}{'d' if digits else ''}", f"entropy:{round(2 * _entropy(token))}",
-        f"digits:{round(5 * digits / len(token))}", f"marks:{sum(c in '_+/-' for c in token) > 0}",
+        f"digits:{round(5 * digits / len(token))}", f"marks:{sum(c in '_+/-' for c in token) > 0}", f"size:{min(len(token), 20)}", f"odd:{odd(token)}",
     ]
 
 
@@ -95,59 +104,103 @@ def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode()) % BUCKETS
 
 
+@dataclass
+class Tokens:
+    """Tokens of some texts: code point positions in all of them joined by spaces. Text ``i`` begins at ``offsets[i]`` and has the tokens ``of[i]`` to ``of[i + 1]``."""
+
+    joined: str
+    points: np.ndarray
+    offsets: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    of: np.ndarray
+
+    @staticmethod
+    def cut(texts: list[str]) -> Tokens:
+        joined = "\n".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = np.zeros(len(points) + 2, np.int8)
+        kind[1:-1] = _KIND[np.minimum(points, len(_KIND) - 1)]
+        own, single = kind[1:-1], kind[1:-1] == 2
+        start = np.flatnonzero(single | ((own == 1) & (kind[:-2] != 1)))
+        end = np.flatnonzero(single | ((own == 1) & (kind[2:] != 1))) + 1
+        offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        return Tokens(joined, points, offsets, start, end, np.searchsorted(start, offsets))
+
+    def name(self, k: int) -> str:
+        return self.joined[self.start[k] : self.end[k]]
+
+    def heads(self) -> np.ndarray:
+        """Tokens that begin a stretch without space."""
+        if not len(self.start):
+            return np.zeros(0, np.int64)
+        return np.flatnonzero(np.concatenate([[True], self.start[1:] != self.end[:-1]]))
+
+    def longest(self) -> list[int]:
+        """Letters of each text's longest token."""
+        size = self.end - self.start
+        return [int(size[a:b].max()) if a < b else 0 for a, b in itertools.pairwise(self.of.tolist())]
+
+    def odd(self) -> np.ndarray:
+        size = self.end - self.start
+        digits = np.concatenate([[0], np.cumsum((self.points >= 48) & (self.points <= 57))])
+        return (size >= 20) | ((size >= 8) & (digits[self.end] > digits[self.start]))
+
+
 class Chunk:
-    """Tokens of a text between two spaces, with the buckets of their features."""
+    """The tokens ``first`` to ``last`` of a text, between two spaces, with the buckets of their features."""
+
+    def __init__(self, cut: Tokens, first: int, last: int, file: list[int]):
+        self.tokens = [(int(cut.start[k]), int(cut.end[k])) for k in range(first, last)]
+        before, after = max(0, first - 4), min(len(cut.start), last + 2)
+        self.names = [cut.name(k) for k in range(before, after)]
+        self.own, self.file = slice(first - before, last - before), file
+        self.starts = [True] * len(self.tokens)
+
+    @cached_property
+    def features(self) -> list[list[int]]:
+        found = []
+        for k in range(self.own.start, self.own.stop):
+            beside = [beside_feature(d, self.names[k + d]) for d in _BESIDE if 0 <= k + d < len(self.names) and not odd(self.names[k + d])]
+            found.append([*self.file, *(_bucket(f) for f in (*shape(self.names[k]), *beside, "any"))])
+        return found
 
-    def __init__(self, tokens: list[re.Match], before: list[str], after: list[str], file: list[int]):
-        self.tokens = tokens
-        names = [*before, *(t[0].lower() for t in tokens), *after]
-        self.features = []
-        for i, t in enumerate(tokens):
-            k = len(before) + i
-            beside = [f"{d}:{names[k + d]}" for d in (-4, -3, -2, -1, 1, 2) if 0 <= k + d < len(names) and not odd(names[k + d])]
-            self.features.append([*file, *(_bucket(f) for f in (*shape(t[0]), *beside, "any"))])
-        self.starts = [odd(t[0]) for t in tokens]
+    def outline(self) -> str | None:
+        """Kinds and lengths of the odd tokens and the signs around them; null without an odd token."""
+        own = self.names[self.own]
+        if not any(map(odd, own)):
+            return None
+        return " ".join(":".join(shape(t)[:2]) if odd(t) else "w" if t[0].isalnum() else t for t in own)
 
+    def sort(self, tags: list[int]) -> int:
+        """0 with a match, 1 with an odd token or a sign in it or up to four tokens before, else 2."""
+        own = self.names[self.own]
+        return 0 if B in tags else 1 if any(map(odd, own)) or not _SIGNS.isdisjoint(self.names[: self.own.stop]) else 2
 
-    def outline(self) -> str:
-        """Kinds and lengths of the odd tokens and the signs around them."""
-        return " ".join(":".join(shape(t[0])[:2]) if starts else "w" if t[0][0].isalnum() else t[0] for t, starts in zip(self.tokens, self.starts, strict=True))
+
+def beside_feature(distance: int, name: str) -> str:
+    return f"{distance}:{name.lower()}"
+
+
+def stretches(cut: Tokens) -> list[tuple[int, int]]:
+    """First token and end of each stretch without space."""
+    return list(itertools.pairwise([*cut.heads().tolist(), len(cut.start)]))
 
 
 def chunks(text: str, at: list[int]) -> list[Chunk]:
-    """The stretches without space around the positions ``at`` (of odd tokens, rising)."""
-    found, done = [], -1
-    file = [_bucket(f) for f in _file(text)] if at else []
-    for position in at:
-        if position < done:
-            continue
-        first = position
-        while first > 0 and not text[first - 1].isspace():
-            first -= 1
-        end = _CHUNK_END.search(text, position)
-        done = end.start() if end else len(text)
-        tokens = list(_TOKEN.finditer(text, first, done))
-        before = [m[0].lower() for m in _TOKEN.finditer(text, max(0, first - 80), first)][-4:]
-        after = [m[0].lower() for m in _TOKEN.finditer(text, done, min(len(text), done + 40))][:2]
-        found.append(Chunk(tokens, before, after, file))
-    return found
+    """The stretches without space around the positions ``at`` (rising)."""
+    cut = Tokens.cut([text])
+    file = [_bucket(f) for f in _file(text)]
+    return [Chunk(cut, a, b, file) for a, b in stretches(cut) if any(cut.start[a] <= p < cut.end[b - 1] for p in at)]
 
 
-def _tags(chunk: Chunk, spans: list[tuple[str, int, int, int]]) -> list[int]:
-    """Tags that the fixed patterns give: a value begins at the first odd token within it."""
+def _tags(tokens: list[tuple[int, int]], spans: list[tuple[str, int, int, int]]) -> list[int]:
+    """Tags that the fixed patterns give: a value begins at the first token that holds any of it."""
     tags, open_ = [], None
-    for token, starts in zip(chunk.tokens, chunk.starts, strict=True):
-        span = next((s for s in spans if s[3] <= token.start() < s[2]), None)
-        if span is None:
-            open_ = None
-            tags.append(O)
-        elif open_ == span[3]:
-            tags.append(I)
-        elif starts:
-            open_ = span[3]
-            tags.append(B)
-        else:
-            tags.append(O)
+    for start, end in tokens:
+        span = next((s for s in spans if s[3] < end and start < s[2]), None)
+        tags.append(O if span is None else I if open_ == span[3] else B)
+        open_ = None if span is None else span[3]
     return tags
 
 
@@ -159,17 +212,20 @@ class Field:
 
     def decode(self, chunk: Chunk) -> list[int]:
         """The likeliest tags (Viterbi)."""
+        return self.best([self.features[own].sum(axis=0).tolist() for own in chunk.features])
+
+    def best(self, emits: list[list[float]]) -> list[int]:
+        """The likeliest tags of one stretch by the scores of its tokens."""
         never = -1e9
+        steps = self.steps.tolist()
         scores, back = None, []
-        for own, starts in zip(chunk.features, chunk.starts, strict=True):
-            emit = self.features[own].sum(axis=0)
-            emit = [float(emit[O]), float(emit[B]) if starts else never, float(emit[I])]
+        for emit in emits:
             if scores is None:
                 scores = [emit[O], emit[B], never]
                 continue
-            choices = [[scores[p] + float(self.steps[p, t]) for p in range(3)] for t in range(3)]
+            choices = [[scores[p] + steps[p][t] for p in range(3)] for t in range(3)]
             choices[I][O] = never
-            best = [max(range(3), key=lambda p, c=c: c[p]) for c in choices]
+            best = [max(range(3), key=c.__getitem__) for c in choices]
             back.append(best)
             scores = [choices[t][best[t]] + emit[t] for t in range(3)]
         tag = max(range(3), key=lambda t: scores[t])
@@ -179,12 +235,82 @@ class Field:
             tags.append(tag)
         return tags[::-1]
 
-
-def fit(examples: list[tuple[list[list[int]], list[bool], list[int]]], rounds: int = 150, penalty: float = 0.02, rate: float = 0.1) -> Field:
-    """Maximum likelihood by forward-backward sums over all chunks of about one length at once (Adam steps)."""
+    def best_of_all(self, emits: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """The likeliest tags of all stretches, which begin at ``heads``: those of up to ``LONG`` tokens step by step together."""
+        tags = np.zeros(len(emits), np.int8)
+        sizes = np.diff(heads, append=len(emits))
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            tags[heads[k] : heads[k] + sizes[k]] = self.best(emits[heads[k] : heads[k] + sizes[k]].tolist())
+        short = np.flatnonzero(sizes <= LONG)
+        short = short[np.argsort(-sizes[short], kind="stable")]
+        first, size = heads[short], sizes[short]
+        if not len(short):
+            return tags
+        scores = emits[first]
+        scores[:, I] = -1e9
+        step = self.steps.copy()
+        step[O, I] = -1e9
+        back, counts = [], [int(np.searchsorted(-size, -k, side="left")) for k in range(1, int(size[0]))]
+        for k, n in enumerate(counts, 1):
+            choices = scores[:n, :, None] + step
+            best = choices.argmax(axis=1)
+            scores[:n] = np.take_along_axis(choices, best[:, None, :], axis=1)[:, 0] + emits[first[:n] + k]
+            back.append(best)
+        tag = scores.argmax(axis=1)
+        tags[first + size - 1] = tag
+        for k in range(int(size[0]) - 1, 0, -1):
+            n = counts[k - 1]
+            tag[:n] = back[k - 1][np.arange(n), tag[:n]]
+            tags[first[:n] + k - 1] = tag[:n]
+        return tags
+
+
+class Scores:
+    """Scores of the tags of every token; what a distinct token adds at its place and beside it is remembered, for ``REMEMBERED`` tokens."""
+
+    def __init__(self, field: Field):
+        self.field = field
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[int, int] = {}
+        self.own, self.side = np.zeros((1, 3)), np.zeros((1, len(_BESIDE), 3))  # row 0: no token
+
+    def learn(self, hashes: list[int], names: list[str]) -> None:
+        w = self.field.features
+        shapes = [[_bucket(f) for f in (*shape(t), "any")] for t in names]
+        at = np.cumsum([0, *(len(s) for s in shapes[:-1])])
+        own = np.add.reduceat(w[np.fromiter(itertools.chain.from_iterable(shapes), np.int64)], at, axis=0)
+        side = w[np.array([[_bucket(beside_feature(d, t)) for d in _BESIDE] for t in names])]
+        side[[odd(t) for t in names]] = 0
+        self.rows.update(zip(hashes, range(len(self.own), len(self.own) + len(names)), strict=True))
+        self.own, self.side = np.concatenate([self.own, own]), np.concatenate([self.side, side])
+
+    def emits(self, cut: Tokens, texts: list[str]) -> np.ndarray:
+        if len(self.rows) > REMEMBERED:
+            self.clear()
+        hashes = W.Words(cut.points, cut.offsets, cut.start, cut.end, cut.of).hashes()
+        values, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = values.tolist()
+        new = [k for k, h in enumerate(keys) if h not in self.rows]
+        if new:
+            self.learn([keys[k] for k in new], [cut.name(first[k]) for k in new])
+        row = np.array([self.rows[h] for h in keys], np.int64)[which]
+        text = np.repeat(np.arange(len(texts)), np.diff(cut.of))
+        place = np.arange(len(row)) + 4 * (text + 1)
+        padded = np.zeros(len(row) + 4 * (len(texts) + 1), np.int64)
+        padded[place] = row
+        emits = self.own[row] + np.array([self.field.features[[_bucket(f) for f in _file(t)]].sum(axis=0) for t in texts])[text]
+        for k, d in enumerate(_BESIDE):
+            emits += self.side[padded[place + d], k]
+        return emits
+
+
+def fit(examples: list[tuple[list[list[int]], list[int], float]], rounds: int = 150, penalty: float = 0.02, rate: float = 0.1) -> Field:
+    """Maximum likelihood of weighted chunks (features, tags, weight) by forward-backward sums over all of about one length at once (Adam steps)."""
     groups: dict[int, list] = {}
     for example in examples:
-        groups.setdefault(1 << (len(example[2]) - 1).bit_length(), []).append(example)
+        groups.setdefault(1 << (len(example[1]) - 1).bit_length(), []).append(example)
     packed = []
     for length, group in groups.items():
         n = len(group)
@@ -192,15 +318,15 @@ def fit(examples: list[tuple[list[list[int]], list[bool], list[int]]], rounds: i
         allowed = np.zeros((n, length, 3))
         gold = np.full((n, length), O)
         where, which = [], []
-        for k, (features, starts, tags) in enumerate(group):
+        weights = np.array([weight for _, _, weight in group])
+        for k, (features, tags, _) in enumerate(group):
             real[k, : len(tags)] = True
             gold[k, : len(tags)] = tags
             for t, own in enumerate(features):
                 where += [k * length + t] * len(own)
                 which += own
-                allowed[k, t, B] = 0 if starts[t] else -1e9
         allowed[:, 0, I] = -1e9
-        packed.append((real, allowed, gold, np.array(where), np.array(which)))
+        packed.append((real, allowed, gold, weights, np.array(where), np.array(which)))
     w, s = np.zeros((BUCKETS, 3)), np.zeros((3, 3))
     closed = np.zeros((3, 3))
     closed[O, I] = -1e9
@@ -208,7 +334,7 @@ def fit(examples: list[tuple[list[list[int]], list[bool], list[int]]], rounds: i
     total = len(examples)
     for round_ in range(1, rounds + 1):
         dw, ds = penalty * w / 100, penalty * s / 100
-        for real, allowed, gold, where, which in packed:
+        for real, allowed, gold, weights, where, which in packed:
             n, length = real.shape
             emit = np.stack([np.bincount(where, w[which, t], n * length) for t in range(3)], axis=1).reshape(n, length, 3) + allowed
             step = s + closed
@@ -223,14 +349,15 @@ def fit(examples: list[tuple[list[list[int]], list[bool], list[int]]], rounds: i
             norm = np.logaddexp.reduce(alpha[:, -1], axis=1)
             node = np.exp(np.minimum(0, alpha + beta - norm[:, None, None])) * real[:, :, None]
             node -= np.eye(3)[gold] * real[:, :, None]
+            node *= weights[:, None, None]
             flat = node.reshape(-1, 3)
             for t in range(3):
                 dw[:, t] += np.bincount(which, flat[where, t], BUCKETS) / total
             for t in range(1, length):
                 both = np.exp(np.minimum(0, alpha[:, t - 1, :, None] + step + (emit[:, t] + beta[:, t])[:, None, :] - norm[:, None, None]))
-                both *= real[:, t, None, None]
+                both *= (real[:, t] * weights)[:, None, None]
                 ds += both.sum(axis=0) / total
-                np.subtract.at(ds, (gold[real[:, t], t - 1], gold[real[:, t], t]), 1 / total)
+                np.subtract.at(ds, (gold[real[:, t], t - 1], gold[real[:, t], t]), weights[real[:, t]] / total)
         for x, d, m, v in ((w, dw, moments[0], moments[1]), (s, ds, moments[2], moments[3])):
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
@@ -238,85 +365,100 @@ def fit(examples: list[tuple[list[list[int]], list[bool], list[int]]], rounds: i
     return Field(w, s)
 
 
-def _odd_tokens(texts: pa.Array):
-    """For each text: letters of its longest token, and code point positions of its odd ones."""
-    data, offsets = W.utf8(texts)
-    for a, b in W.slices(offsets):
-        cut = W.words(data, offsets[a : b + 1], _TOKEN_BYTE, lower=False)
-        size = cut.end - cut.start
-        digits = np.concatenate([[0], np.cumsum(_DIGIT_BYTE[cut.data])])
-        strange = (size >= 20) | ((size >= 8) & (digits[cut.end] > digits[cut.start]))
-        text = cut.text_of()
-        longest = np.zeros(b - a, np.int64)
-        np.maximum.at(longest, text, size)
-        points = np.concatenate([[0], np.cumsum((cut.data & 0xC0) != 0x80)])
-        own = text[strange]
-        position = points[cut.start[strange]] - points[cut.offsets[own]]
-        edges = np.searchsorted(own, np.arange(b - a + 1))
-        for i in range(b - a):
-            yield int(longest[i]), position[edges[i] : edges[i + 1]].tolist()
+def _cuts(column: pa.Array):
+    """Tokens of the texts of a column, in slices of about a megabyte of whole texts; null texts are empty."""
+    texts = [t or "" for t in column.to_pylist()]
+    for a, b in W.slices(W.utf8(column)[1]):
+        yield texts[a:b], Tokens.cut(texts[a:b])
+
+
+def drawn(text: str) -> list[tuple[Chunk, list[int], float]]:
+    """Stretches of a text to learn from, with tags and weights: of each sort the smallest by a hash, up to ``DRAWN`` tokens."""
+    cut = Tokens.cut([text])
+    spans = base_spans(text, max(cut.longest()))
+    unsure = [m.start(1) for m in _FOLLOWS.finditer(text)]
+    file = [_bucket(f) for f in _file(text)]
+    sorts: dict[int, list] = {}
+    for a, b in stretches(cut):
+        chunk = Chunk(cut, a, b, file)
+        tags = _tags(chunk.tokens, spans)
+        if B not in tags and bisect.bisect_left(unsure, chunk.tokens[-1][1]) > bisect.bisect_left(unsure, chunk.tokens[0][0]):
+            continue
+        sorts.setdefault(chunk.sort(tags), []).append((zlib.crc32("\0".join(chunk.names).encode("utf-8", "surrogatepass")), chunk.tokens[0], chunk, tags))
+    found = []
+    for _, members in sorted(sorts.items()):
+        members.sort(key=lambda m: m[:2])
+        taken = []
+        for member in members:
+            if taken and sum(len(m[3]) for m in taken) + len(member[3]) > DRAWN:
+                break
+            taken.append(member)
+        found += [(chunk, tags, len(members) / len(taken)) for _, _, chunk, tags in taken]
+    return found
 
 
 def _example_rows(batches):
     """Chunks of the texts with the tags that the fixed patterns give."""
     for batch in batches:
-        texts = batch.column(0)
-        features, starts, tags, outlines = [], [], [], []
-        for text, (longest, at) in zip(texts.to_pylist(), _odd_tokens(texts), strict=True):
-            spans = base_spans(text or "", longest)
-            for chunk in chunks(text or "", at):
-                features.append(chunk.features)
-                starts.append(chunk.starts)
-                tags.append(_tags(chunk, spans))
-                outlines.append(chunk.outline())
+        found = [x for text in batch.column(0).to_pylist() for x in drawn(text or "")]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(features, pa.list_(pa.list_(pa.int32()))), pa.array(starts, pa.list_(pa.bool_())), pa.array(tags, pa.list_(pa.int32())), pa.array(outlines, pa.string())],
-            names=["features", "starts", "tags", "outline"],
+            [
+                pa.array([c.features for c, _, _ in found], pa.list_(pa.list_(pa.int32()))), pa.array([t for _, t, _ in found], pa.list_(pa.int32())),
+                pa.array([w for _, _, w in found], pa.float64()), pa.array([c.outline() for c, _, _ in found], pa.string()),
+            ],
+            names=["features", "tags", "weight", "outline"],
         )
 
 
 def _kinds():
-    """1 for texts with a match of the fixed patterns, 0 for others with odd tokens, else null."""
-
-    def compute(texts: pa.Array) -> list[pa.Array]:
-        kinds = [1 if base_spans(t or "", longest) else 0 if at else None for t, (longest, at) in zip(texts.to_pylist(), _odd_tokens(texts), strict=True)]
+    """2 for texts with a match of the fixed patterns, 1 for others with odd tokens, 0 for others with tokens, else null."""
+
+    def compute(column: pa.Array) -> list[pa.Array]:
+        kinds = []
+        for texts, cut in _cuts(column):
+            strange = np.concatenate([[0], np.cumsum(cut.odd())])[cut.of]
+            for text, longest, n in zip(texts, cut.longest(), np.diff(strange).tolist(), strict=True):
+                kinds.append(None if not longest else 2 if base_spans(text, longest) else int(n > 0))
         return [pa.array(kinds, pa.int32())]
 
     return compute
 
 
 def learned(docs: DataFrame, *, text: str = "text", most: int = SAMPLE) -> Field | None:
-    """A field from at most ``most`` texts with a match and as many others."""
+    """A field from at most ``most`` texts with a match, as many others with odd tokens and as many of the rest."""
     rows = docs.select(named(text).cast("string").alias("text")).where("text is not null")
     marked = add_columns(rows.withColumn("mark", F.xxhash64("text")), [F.col("text")], "kind int", _kinds, ["mark"]).where("kind is not null").distinct()
-    picked = marked.where("kind = 1").orderBy("mark").limit(most).union(marked.where("kind = 0").orderBy("mark").limit(most))
+    picked = marked.where("kind = 2").orderBy("mark").limit(most)
+    for kind in (1, 0):
+        picked = picked.union(marked.where(f"kind = {kind}").orderBy("mark").limit(most))
     sample = rows.withColumn("mark", F.xxhash64("text")).join(F.broadcast(picked.select("mark")), "mark").dropDuplicates(["mark"]).select("text")
-    found = sample.mapInArrow(_example_rows, "features array<array<int>>, starts array<boolean>, tags array<int>, outline string").distinct().collect()
-    secret = {r["outline"] for r in found if B in r["tags"]}
-    examples = sorted((r["features"], r["starts"], r["tags"]) for r in found if B in r["tags"] or r["outline"] not in secret)
-    return fit(examples) if any(B in tags for _, _, tags in examples) else None
+    made = sample.mapInArrow(_example_rows, "features array<array<int>>, tags array<int>, weight double, outline string")
+    found = made.groupBy("features", "tags", "outline").agg(F.max("weight").alias("weight")).collect()
+    secret = {r["outline"] for r in found if B in r["tags"]} - {None}
+    examples = sorted((r["features"], r["tags"], r["weight"]) for r in found if B in r["tags"] or r["outline"] not in secret)
+    return fit(examples) if any(B in tags for _, tags, _ in examples) else None
 
 
 def _scanning(field: Field | None):
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+    scores = Scores(field) if field is not None else None
 
-    def compute(texts: pa.Array) -> list[pa.Array]:
+    def compute(column: pa.Array) -> list[pa.Array]:
         out = []
-        for text, (longest, at) in zip(texts.to_pylist(), _odd_tokens(texts), strict=True):
-            spans = base_spans(text or "", longest)
-            found = [s[:3] for s in spans]
-            for chunk in chunks(text, at) if field is not None and at else ():
-                tags = field.decode(chunk)
-                for k, tag in enumerate(tags):
-                    if tag == B:
-                        last = k
-                        while last + 1 < len(tags) and tags[last + 1] == I:
-                            last += 1
-                        start, end = chunk.tokens[k].start(), chunk.tokens[last].end()
-                        if not any(s[1] < end and start < s[2] for s in spans):
-                            found.append(("crf", start, end))
-            found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-            out.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
+        for texts, cut in _cuts(column):
+            added = [[] for _ in texts]
+            if scores is not None and len(cut.start):
+                tags = field.best_of_all(scores.emits(cut, texts), cut.heads())
+                inside = np.flatnonzero(np.concatenate([tags, [O]]) != I)
+                for k in np.flatnonzero(tags == B).tolist():
+                    last = int(inside[np.searchsorted(inside, k, side="right")]) - 1
+                    i = int(np.searchsorted(cut.of, k, side="right")) - 1
+                    added[i].append((int(cut.start[k] - cut.offsets[i]), int(cut.end[last] - cut.offsets[i])))
+            for text, longest, more in zip(texts, cut.longest(), added, strict=True):
+                spans = base_spans(text, longest)
+                found = [s[:3] for s in spans] + [("crf", a, b) for a, b in more if not any(s[1] < b and a < s[2] for s in spans)]
+                found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
+                out.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
         return [pa.array(out, pa.list_(span))]
 
     return compute
