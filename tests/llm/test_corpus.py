@@ -4,6 +4,7 @@ import math
 import random
 
 import brute
+import numpy as np
 import pytest
 from comparing import compare, connection
 from pyspark.sql import functions as F
@@ -193,3 +194,13 @@ def test_stages_over_a_small_table(spark, data):
     assert sorted((r["doc_id"], r["text"]) for r in final) == taken
     for s in range(16):
         assert sorted(r["slot"] for r in final if r["shard"] == s) == list(range(len(taken) // 16 + (s < len(taken) % 16)))
+
+
+def test_sets_of_up_to_150_shingles_enter_every_run():
+    values = 2 * np.arange(150, dtype=np.uint64) + np.uint64(1)  # none is divisible by four
+    lengths = neardup.run_lengths(85)
+    assert lengths[0] == 5
+    for n in (97, 110, 129, 150):
+        assert len(neardup._runs(values[:n], n, lengths)) == n - 4
+        one, other = values[:n], np.delete(values[:n], np.arange(3, n, 6)[: 15 * n // 100])
+        assert np.intersect1d(neardup._runs(one, n, lengths), neardup._runs(other, len(other), lengths)).size

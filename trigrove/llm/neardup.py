@@ -39,7 +39,7 @@ from trigrove.plans.shared import written
 SKETCH = 256
 PLACES = 128
 SHORT_SET = 16
-ALL_PLACES = 96
+ALL_PLACES = 150
 DEVIATIONS = 6
 BLOCK = 1024
 _OPEN = np.iinfo(np.int32).max
@@ -86,6 +86,7 @@ def _runs(kept: np.ndarray, n: int, lengths: tuple[int, int]) -> np.ndarray:
     """Keys of the inverted lists: runs of neighbouring retained values."""
     keys = []
     if n >= lengths[0]:
+        kept = kept[: ALL_PLACES if n <= ALL_PLACES else PLACES]
         whole = W.windows(kept, np.array([0, len(kept)]), lengths[0], 50)[0]
         keys.append(whole if n <= ALL_PLACES else whole[(kept[: len(whole)] & np.uint64(3)) == 0])
     if lengths[1] <= n <= SHORT_SET:
@@ -115,7 +116,7 @@ def _sketching(width: int, lengths: tuple[int, int]):
                         seen.add(name)
                         kept = values[:SKETCH]
                         sketches.append(((kept >> np.uint64(32)).astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32))
-                        keys.append(np.unique(_runs(kept[:PLACES], n, lengths)).view(np.int64))
+                        keys.append(np.unique(_runs(kept, n, lengths)).view(np.int64))
                     else:
                         sketches.append(None)
                         keys.append(None)
