@@ -194,6 +194,15 @@ def test_field_learns_from_values_of_letters(spark):
     assert [[(s["kind"], t[s["start"] : s["end"]]) for s in f] for t, f in zip(texts, found, strict=True)] == [[("crf", secret(70 + k))] for k in range(5)] + [[]]
 
 
+def test_learning_from_a_long_stretch_is_bounded():
+    code = "f(a1b2c3d4e5,9);" * 5000
+    found = secrets.drawn(f'{code}token="{"0123456789abcdef" * 3}";{code} x=1')
+    assert sum(len(tags) for _, tags, _ in found) <= 3 * secrets.WINDOW and any(secrets.B in tags for _, tags, _ in found)
+    assert all(len(chunk.features) == len(tags) and tags[0] != secrets.I for chunk, tags, _ in found)
+    tags = [secrets.B] + [secrets.I] * 9 + [secrets.O] * 3
+    assert secrets.pieces(tags, 4) == [(0, 4), (10, 13)]
+
+
 def test_spans_are_replaced(spark):
     docs = spark.createDataFrame([("é password=abcdefgh9 x 0123456789abcdef0123456789abcdef",), (None,), ("plain",)], "text string")
     found = secrets.scanned(docs)

@@ -8,7 +8,7 @@ as a whole. What a token adds to the scores of its own place and of those beside
 The field is fitted on at most ``SAMPLE`` texts with a pattern's match, as many others that have odd tokens (eight characters or more with
 a digit, or twenty or more) and as many of the rest (the smallest by a hash); patterns give the tags, but are no features, so what resembles
 their values in shape and company is found too. Of each text stretches with a match, those with an odd token or a sign nearby and plain ones
-are drawn by a hash up to ``DRAWN`` tokens each, and weigh as much as all of their sort. An odd stretch without a match whose outline is that of
+are drawn by a hash up to ``DRAWN`` tokens each (one at least), and weigh as much as all of their sort; long ones are cut to pieces of ``WINDOW`` tokens. An odd stretch without a match whose outline is that of
 one with a match, and what follows a keyword without a match, may be secrets that the patterns miss: they are not learned from. Every text is scanned whole, in its own task, without shuffle.
 
 Defined results: null and empty texts have no span; of a match and a span of the field that overlap the match stays;
@@ -35,6 +35,7 @@ from trigrove.llm.batches import add_columns, named
 
 SAMPLE = 1000
 DRAWN = 16
+WINDOW = 64
 LONG = 256
 REMEMBERED = 200_000
 BUCKETS = 1 << 12
@@ -196,14 +197,25 @@ def chunks(text: str, at: list[int]) -> list[Chunk]:
 
 def _tags(tokens: list[tuple[int, int]], spans: list[tuple[str, int, int, int]]) -> list[int]:
     """Tags that the fixed patterns give: a value begins at the first token that holds any of it."""
-    tags, open_ = [], None
+    tags, open_, ended = [], None, 0
     for start, end in tokens:
-        span = next((s for s in spans if s[3] < end and start < s[2]), None)
+        while ended < len(spans) and spans[ended][2] <= start:
+            ended += 1
+        span = next((s for s in itertools.takewhile(lambda s: s[1] < end, itertools.islice(spans, ended, None)) if s[3] < end and start < s[2]), None)
         tags.append(O if span is None else I if open_ == span[3] else B)
         open_ = None if span is None else span[3]
     return tags
 
 
+def pieces(tags: list[int], most: int = WINDOW) -> list[tuple[int, int]]:
+    """A stretch cut into pieces of at most ``most`` tokens to learn from; none begins inside a value, so what a value has beyond a piece is left out."""
+    found, first = [], 0
+    while first < len(tags):
+        found.append((first, min(first + most, len(tags))))
+        first = next((k for k in range(found[-1][1], len(tags)) if tags[k] != I), len(tags))
+    return found
+
+
 class Field:
     """Weights of the conditional random field: features by tag, and steps from tag to tag within a chunk."""
 
@@ -379,12 +391,13 @@ def drawn(text: str) -> list[tuple[Chunk, list[int], float]]:
     unsure = [m.start(1) for m in _FOLLOWS.finditer(text)]
     file = [_bucket(f) for f in _file(text)]
     sorts: dict[int, list] = {}
+    every = _tags(list(zip(cut.start.tolist(), cut.end.tolist(), strict=True)), spans)
     for a, b in stretches(cut):
-        chunk = Chunk(cut, a, b, file)
-        tags = _tags(chunk.tokens, spans)
-        if B not in tags and bisect.bisect_left(unsure, chunk.tokens[-1][1]) > bisect.bisect_left(unsure, chunk.tokens[0][0]):
+        if B not in every[a:b] and bisect.bisect_left(unsure, cut.end[b - 1]) > bisect.bisect_left(unsure, cut.start[a]):
             continue
-        sorts.setdefault(chunk.sort(tags), []).append((zlib.crc32("\0".join(chunk.names).encode("utf-8", "surrogatepass")), chunk.tokens[0], chunk, tags))
+        for first, last in pieces(every[a:b]):
+            chunk, tags = Chunk(cut, a + first, a + last, file), every[a + first : a + last]
+            sorts.setdefault(chunk.sort(tags), []).append((zlib.crc32("\0".join(chunk.names).encode("utf-8", "surrogatepass")), chunk.tokens[0], chunk, tags))
     found = []
     for _, members in sorted(sorts.items()):
         members.sort(key=lambda m: m[:2])
