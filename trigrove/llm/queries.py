@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigrove.llm import decontaminate, language, lines, mixture, neardup, quality, secrets, sharding, toxicity, urls
+from trigrove.llm import conversations, decontaminate, language, lines, mixture, neardup, quality, secrets, sharding, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,6 +99,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+@registered
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and the cheapest repair."""
+    rows = table(spark, sf_dir, "conversations")
+    repaired, counted = conversations.repaired(conversations.damaged(rows), copies=F.col("copies"))
+    digest = conversations.digest(repaired)
+    counts = [F.coalesce(F.col(f"counted.{c}"), F.lit(0).cast("long")).alias(c) for c in conversations.COUNTS]
+    return (
+        rows.select("conv_id").distinct().alias("all")
+        .join(counted.alias("counted"), F.col("all.conv_id").eqNullSafe(F.col("counted.conv_id")), "left")
+        .join(digest.alias("digest"), F.col("all.conv_id").eqNullSafe(F.col("digest.conv_id")), "left")
+        .select("all.conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+    )
+
+
 #: DuckDB SQL for those that SQL can express.
 SQL: dict[str, str] = {
     "op1_decontaminate": r"""
