@@ -176,6 +176,49 @@ SQL: dict[str, str] = {
                    coalesce(string_agg(line, chr(10) order by position) filter (where not removed), '') as clean from judged group by doc_id)
         select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, md5(coalesce(clean, '')) as clean_md5
         from documents d left join cleaned c using (doc_id)""",
+    "op11_conversation_repair": r"""
+        with spaced as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations),
+        bits as (select list(list_reduce(range(8), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i) order by i) as t from range(256) r(i)),
+        faulty as (select conv_id, turn, role, text, xor(list_reduce(list_transform(string_split(key, ''), lambda c: cast(ascii(c) as bigint)),
+                lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295), 4294967295) % 20 as fault from spaced, bits),
+        damaged as (
+            select conv_id, turn, case fault when 4 then 'user' else role end as role, case fault when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+                   unnest(range(case fault when 0 then 0 when 3 then 2 else 1 end)) as copy from faulty),
+        placed as (
+            select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i,
+                   right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as final, left(role, 1) as initial from damaged),
+        marked as (
+            select *, final = '' as blank, final <> '' and row_number() over (partition by conv_id, role, text order by i) > 1 as again,
+                   initial || lead(initial) over (partition by conv_id order by i) not in ('su', 'ua', 'au') as clash from placed),
+        rows as (select *, not blank and not again and final not in ('.', '!', '?') as cut from marked),
+        held as (
+            select conv_id, count(*) filter (where blank) as blank, count(*) filter (where again) as duplicate, count(*) filter (where cut) as truncated,
+                   count(*) filter (where clash) as illegal, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+                   list({'gone': blank or again, 'more': case when cut then 1 else 0 end, 'initial': initial, 'role': role, 'text': text} order by i) as turns
+            from rows group by conv_id),
+        far as (select {'c': 1000000000, 'a': '', 't': ''} as x),
+        paid as (
+            select h.*, list_reduce(turns, lambda s, r: list_transform([{
+                'n': {'c': s.n.c + 3, 'a': s.n.a || 'D', 't': s.n.t},
+                's': least({'c': s.s.c + 3, 'a': s.s.a || 'D', 't': s.s.t},
+                    case when r.initial = 's' and not r.gone then {'c': s.n.c + r.more, 'a': s.n.a || 'K', 't': s.n.t || chr(10) || r.role || ':' || r.text} else x end),
+                'u': least({'c': s.u.c + 3, 'a': s.u.a || 'D', 't': s.u.t},
+                    case when r.gone then x else list_min(list_transform([s.n, s.s, s.a], lambda b: least(
+                        {'c': b.c + r.more + 2, 'a': b.a || 'R', 't': b.t || chr(10) || 'user:' || r.text},
+                        case when r.initial = 'u' then {'c': b.c + r.more, 'a': b.a || 'K', 't': b.t || chr(10) || r.role || ':' || r.text} else x end))) end),
+                'a': least({'c': s.a.c + 3, 'a': s.a.a || 'D', 't': s.a.t},
+                    case when r.gone then x else least(
+                        {'c': s.u.c + r.more + 2, 'a': s.u.a || 'R', 't': s.u.t || chr(10) || 'assistant:' || r.text},
+                        case when r.initial = 'a' then {'c': s.u.c + r.more, 'a': s.u.a || 'K', 't': s.u.t || chr(10) || r.role || ':' || r.text} else x end) end)
+                }], lambda p: list_transform([list_min(list_concat([p.u], list_transform([p.n, p.s, p.a], lambda b: {'c': b.c + 2, 'a': b.a || 'I', 't': b.t || chr(10) || 'user:'})))],
+                    lambda u: {'n': p.n, 's': p.s, 'u': u, 'a': least(p.a, {'c': u.c + 2, 'a': u.a || 'I', 't': u.t || chr(10) || 'assistant:'})})[1])[1],
+                {'n': {'c': 0, 'a': '', 't': ''}, 's': x, 'u': {'c': 2, 'a': 'I', 't': chr(10) || 'user:'}, 'a': {'c': 4, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}}) as s
+            from held h, far),
+        done as (select *, least(s.n, s.a) as best from paid)
+        select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+               cast(coalesce(best.c, 0) as bigint) as cost, coalesce(best.a, '') as audit, sha256(coalesce(substr(best.t, 2), '')) as repaired_sha256
+        from (select distinct conv_id from conversations) o left join done d on o.conv_id is not distinct from d.conv_id""",
     "op10_url_filter": r"""
         with parts as (
             select page_id, coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') as raw_host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
