@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigrove.llm import conversations, decontaminate, language, lines, mixture, neardup, quality, secrets, sharding, toxicity, urls
+from trigrove.llm import conversations, decontaminate, importance, language, lines, mixture, neardup, quality, secrets, sharding, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,6 +114,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every document towards the benchmark's n-grams, and the rank of those drawn."""
+    found = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 #: DuckDB SQL for those that SQL can express.
 SQL: dict[str, str] = {
     "op1_decontaminate": r"""
@@ -219,6 +226,29 @@ SQL: dict[str, str] = {
         select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
                cast(coalesce(best.c, 0) as bigint) as cost, coalesce(best.a, '') as audit, sha256(coalesce(substr(best.t, 2), '')) as repaired_sha256
         from (select distinct conv_id from conversations) o left join done d on o.conv_id is not distinct from d.conv_id""",
+    "op13_importance": r"""
+        with words as (
+            select true as doc, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+            union all
+            select false, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+        starts as (select doc, id, w, unnest(range(1, len(w) + 1)) as k from words),
+        grams as (select doc, id, array_to_string(w[k:k + n - 1], ' ') as gram from starts, (select unnest([1, 2, 3]) as n) where k + n - 1 <= len(w)),
+        bits as (select list(list_reduce(range(8), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i) order by i) as t from range(256) r(i)),
+        hashed as (
+            select gram, xor(list_reduce(list_transform(range(octet_length(encode(gram))), lambda p: cast('0x' || hex(gram)[2 * p + 1:2 * p + 2] as bigint)),
+                lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295), 4294967295) % 10000 as bucket
+            from (select distinct gram from grams), bits),
+        held as (select doc, id, bucket from grams join hashed using (gram)),
+        counts as (select bucket, count(*) filter (where doc) as s, count(*) filter (where not doc) as t from held group by bucket),
+        sums as (select cast(sum(s) as double) as s_all, cast(sum(t) as double) as t_all from counts),
+        gains as (select bucket, cast(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) as bigint) as gain from counts, sums),
+        weights as (select id, count(*) as n_features, cast(sum(gain) as bigint) as weight from held join gains using (bucket) where doc group by id),
+        scored as (
+            select id as doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+                   coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || sha256('42:' || coalesce(cast(id as varchar), ''))[1:8] as bigint) + 0.5::double) / 4294967296))) as bigint) as score
+            from words left join weights using (id) where doc),
+        placed as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls last) as place, count(*) filter (where n_words >= 20) over () as able from scored)
+        select doc_id, n_features, weight, score, case when n_words >= 20 and place <= able * 5 // 100 then place end as rank from placed""",
     "op10_url_filter": r"""
         with parts as (
             select page_id, coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') as raw_host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
