@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigrove.llm import conversations, decontaminate, importance, language, lines, mixture, neardup, quality, secrets, sharding, toxicity, urls
+from trigrove.llm import conversations, decontaminate, importance, language, lines, mixture, neardup, quality, secrets, sharding, tokens, toxicity, urls
+from trigrove.plans.shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,6 +115,17 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's token ids, as read back from the written files."""
+    import public_tokenizers
+
+    folder = new_folder(spark, "tokens")
+    tokens.write_ids(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    found = tokens.read_ids(spark, folder)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @registered
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight of every document towards the benchmark's n-grams, and the rank of those drawn."""
