@@ -1,6 +1,7 @@
 """Token files: exact round trips, and the tokenizer's ids of whole texts."""
 
 import random
+import re
 import zlib
 
 import brute
@@ -28,11 +29,16 @@ def encoded(texts, path=PATH):
 def test_pieces_give_the_ids_of_whole_texts():
     rng = random.Random(2)
     letters = "abcXYZ 0123  .,!'\n\t\r_é漢½  ​\x1f-"
-    texts = TEXTS + ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)] + [brute.sentence(500, 1)] * 2
+    texts = TEXTS + ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += ["".join(rng.choice("abcXYZ 01  .,!'\n\t_é漢½ł-") for _ in range(rng.randrange(60))) for _ in range(5000)] + [brute.sentence(500, 1)] * 2
     encoder = tokens.Encoder(PATH)
     assert encoder.in_pieces
     for part in (texts[:1000], texts[1000:], texts):
         assert [np.frombuffer(b, encoder.kind).tolist() for b in encoder(part)] == [ids[:-1] for ids in encoded(part)]
+    for text in texts:
+        assert "".join(tokens._PIECES.findall(text)) == text
+    rare = [c for c in map(chr, range(0x3100)) if re.match(r"\s", c) and not tokens._RARE_SPACE.match(c)]
+    assert "".join(rare) == "\t\n\v\f\r "
     assert 50256 in encoded(["<|endoftext|>"])[0] and 50256 not in np.frombuffer(tokens.Encoder(PATH, True)(["<|endoftext|>"])[0], "<u2")
 
 
@@ -40,10 +46,10 @@ def test_numbers_of_every_length_come_back():
     rng = np.random.default_rng(1)
     for counts in ([0], [1], [4, 0, 5, 1, 3], [1000]):
         numbers = [rng.choice([0, 255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24, (1 << 32) - 1], n).astype(np.uint32) for n in counts]
-        parts = [tokens.packed(x) for x in numbers]
-        found = tokens.unpacked(np.frombuffer(b"".join(c for c, _ in parts), np.uint8), np.frombuffer(b"".join(d for _, d in parts), np.uint8), np.array(counts))
+        control, data = tokens.packed(np.concatenate(numbers), np.array(counts))
+        found = tokens.unpacked(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), np.array(counts))
         assert found.tolist() == np.concatenate(numbers).tolist()
-    assert [len(x) for x in tokens.packed(np.array([1, 300, 70_000, 1 << 30, 5]))] == [2, 11]
+    assert [len(x) for x in tokens.packed(np.array([1, 300, 70_000, 1 << 30, 5]), np.array([5]))] == [2, 11]
 
 
 @pytest.mark.parametrize("ids_per_file", [1 << 24, 5000])

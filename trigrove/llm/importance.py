@@ -1,6 +1,6 @@
 """Target-distribution importance resampling over hashed n-grams.
 
-A text becomes its words with single spaces between them. A regular expression goes over that with overlapped
+A text becomes its words with single spaces between them. A regular expression goes over the lines of a slice of texts with overlapped
 matches: at every space a lookahead takes the next word and the two after it, so that the spans of the n-grams
 that begin there come out of one match. Their bytes are counted by CRC-32. A bucket's gain is the logarithm of how
 much likelier it is in the target than in the raw texts; a document's weight is the sum over its n-grams, its score adds
@@ -24,15 +24,18 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Sequence
 from itertools import chain, islice
+from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trigrove.llm.batches import add_columns, named, others
 from trigrove.llm.ordering import numbered
+from trigrove.llm.words import slices
 from trigrove.plans.shared import new_folder
 
 BUCKETS = 10_000
@@ -40,12 +43,14 @@ LEAST_WORDS = 20
 PERCENT = 5
 SEED = 42
 AT_ONCE = 1 << 15
+SLICE = 1 << 19
 LONG = 64
 
 _WORD = frozenset([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 #: Bytes of words, A-Z in lower case; all others are a space.
 _PLAIN = bytes(c + 32 * (0x41 <= c <= 0x5A) if c in _WORD else 0x20 for c in range(256))
-_GRAMS = regex.compile(rb" (?=([^ ]+)(?: ([^ ]+)(?: ([^ ]+))?)?)")
+_GRAMS = regex.compile(rb" (?=([^ \n]+)(?: ([^ \n]+)(?: ([^ \n]+))?)?)")
+_ENDS = methodcaller("end", 0, 1, 2, 3)  # of the space, which is where the grams begin, and of each gram
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -82,41 +87,49 @@ def _word_crcs(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndar
     return out
 
 
-def spans(line: bytes) -> Iterator[np.ndarray]:
-    """Spans of a word and of the two after it (-1 where there is none), for every word of a line that begins with a space."""
-    found = _GRAMS.finditer(line, overlapped=True)
-    while part := [m.regs for m in islice(found, AT_ONCE)]:
-        flat = np.fromiter(chain.from_iterable(chain.from_iterable(part)), np.int64, 8 * len(part))
-        yield flat.reshape(-1, 4, 2)[:, 1:]
+def spans(lines: bytes) -> Iterator[np.ndarray]:
+    """(start, end of a word, end with the next word, end with the next two), -1 where there is none, for every word of lines that begin with a space."""
+    found = map(_ENDS, _GRAMS.finditer(lines, overlapped=True))
+    while len(part := np.fromiter(chain.from_iterable(islice(found, AT_ONCE)), np.int64)):
+        yield part.reshape(-1, 4)
 
 
-def gram_crcs(text: bytes) -> tuple[int, np.ndarray]:
-    """Number of words, and the CRC-32 of every run of one to three of them."""
-    line = b" " + b" ".join(text.translate(_PLAIN).split())
+def gram_crcs(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of words of each text, CRC-32 of every run of one to three words, and which text each is of."""
+    lines = [b" " + b" ".join(t.translate(_PLAIN).split()) for t in texts]
+    line = b"\n".join(lines)
+    begins = np.cumsum([0, *(len(x) + 1 for x in lines[:-1])])
     data = np.frombuffer(line, np.uint8)
-    n_words, out = 0, []
+    n_words, crcs, owners = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
     for at in spans(line):
-        n_words += len(at)
-        start, size = at[:, :, 0], at[:, :, 1] - at[:, :, 0]
-        there = at[:, :, 1] >= 0
-        whole = np.zeros(size.shape, np.uint32)
+        owner = np.searchsorted(begins, at[:, 0], side="right") - 1
+        n_words += np.bincount(owner, minlength=len(texts))
+        start = at[:, :1] + np.where(np.arange(3) > 0, at[:, :3] - at[:, :1] + 1, 0)  # of the last word of each run
+        there = at[:, 1:] >= 0
+        size = np.where(there, at[:, 1:] - start, 0)
         usual = there & (size <= LONG)
-        whole[usual] = _word_crcs(data, start[usual], size[usual])
+        whole = np.zeros(size.shape, np.uint32)
+        whole[:, 0] = _word_crcs(data, start[:, 0], np.where(usual[:, 0], size[:, 0], 0))
+        # The other words of a run are the first words of the next runs, but for those that the following part begins with.
+        for k in (1, 2):
+            whole[:-k, k] = whole[k:, 0]
+            whole[-k:, k] = _word_crcs(data, start[-k:, k], np.where(usual[-k:, k], size[-k:, k], 0))
         grams = [whole[:, 0]]
         for k in (1, 2):
             n = np.where(usual[:, k], size[:, k], 0)
             grams.append(_longer(_longer(grams[-1], np.ones_like(n)) ^ _SPACE, n) ^ whole[:, k])
-        crcs = np.stack(grams, 1)
+        found = np.stack(grams, 1)
         odd = there & np.logical_or.accumulate(size > LONG, axis=1)
         for i, k in zip(*np.nonzero(odd), strict=True):
-            crcs[i, k] = zlib.crc32(line[start[i, 0] : at[i, k, 1]])
-        out.append(crcs[there])
-    return n_words, np.concatenate(out) if out else np.zeros(0, np.uint32)
+            found[i, k] = zlib.crc32(line[at[i, 0] : at[i, k + 1]])
+        crcs.append(found[there])
+        owners.append(np.repeat(owner, there.sum(1)))
+    return n_words, np.concatenate(crcs), np.concatenate(owners)
 
 
 def packed(buckets: np.ndarray) -> bytes:
     """Bucket numbers in order, as differences: all low bytes, then all high ones, which hardly take room when compressed."""
-    return np.diff(np.sort(buckets), prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+    return np.diff(buckets, prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
 
 
 def unpacked(blob: bytes) -> np.ndarray:
@@ -125,12 +138,16 @@ def unpacked(blob: bytes) -> np.ndarray:
 
 def _scanning(texts: pa.Array) -> list[pa.Array]:
     words, sizes, blobs = [], [], []
-    for text in texts:
-        n, crcs = gram_crcs(text.as_py() or b"")
+    sums = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))])
+    for a, b in slices(sums, SLICE):
+        n, crcs, owner = gram_crcs([t or b"" for t in texts.slice(a, b - a).to_pylist()])
+        held = np.sort(owner << 14 | crcs % BUCKETS)  # a bucket takes 14 bits
+        ends = np.searchsorted(held >> 14, np.arange(b - a), side="right")
+        buckets = held & (1 << 14) - 1
+        blobs += [packed(buckets[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=True)]
         words.append(n)
-        sizes.append(len(crcs))
-        blobs.append(packed(crcs % BUCKETS))
-    return [pa.array(words, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())]
+        sizes.append(np.diff(ends, prepend=0))
+    return [pa.array(np.concatenate(words), pa.int64()), pa.array(np.concatenate(sizes), pa.int64()), pa.array(blobs, pa.binary())]
 
 
 def scanned(df: DataFrame, text: Column, keep: Sequence[str]) -> DataFrame:

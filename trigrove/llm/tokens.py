@@ -13,9 +13,9 @@ Numbers are little-endian, those of the footer big-endian. Control bytes of a do
 id of each rank as a table. Files are written by Spark's own writer, so a lost task leaves none behind, and read as whole binary files.
 ``IDS_PER_FILE`` bounds them, and ``MOST_FILES`` their number.
 
-A text is encoded in pieces where the tokenizer's own splitting cannot reach across: before a space that follows something else than a
-space, for byte-level BPE with its usual pattern. Pieces met before are remembered (``MEMO`` of them in a worker). Other tokenizers get
-whole texts.
+A text is encoded in pieces where the tokenizer's own splitting cannot reach across, for byte-level BPE with its usual pattern: before white space that
+follows something else, after a single line feed, and between a Latin letter and a mark. Pieces met before are remembered (the first ``MEMO`` of them in a
+worker), new ones are encoded many at a time with line feeds between them. Other tokenizers, and texts with special tokens or rare white space, are encoded whole.
 
 Defined results: a null or empty text is the end id alone. Documents without an id come first; those of one id by the CRC-32 of their ids.
 Repeated rows are documents of their own. Extra columns are not read. An empty table gives a file without documents and an empty result.
@@ -23,29 +23,42 @@ Repeated rows are documents of their own. Extra columns are not read. An empty t
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections.abc import Callable, Sequence
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from trigrove.llm.batches import named
+from trigrove.llm.words import slices
 from trigrove.plans.shared import new_folder
 
 IDS_PER_FILE = 1 << 24
 MOST_FILES = 1 << 18
 IDS_PER_BLOCK = 1 << 18
-MEMO = 150_000
-LONGEST_REMEMBERED = 48
-AT_ONCE = 1 << 20
+MEMO = 300_000
+LONGEST_REMEMBERED = 24
+AT_ONCE = 1 << 22
+TOGETHER = 1000
 END_ID = 0
 
-_BEFORE_SPACE = re.compile(r"(?<=\S) ")
+#: Letters in every version of Unicode that has them.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ʯ"
+_PIECES = re.compile(rf" ?[{_LATIN}]+(?![^\s.,;:!?])|\n(?=\S)|\s*\S+|\s+")
+#: What only some call white space, and white space beyond ASCII.
+_RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: A piece that can stand between line feeds.
+_PLAIN = re.compile(r" ?\S+")
 
 #: Lengths of the four numbers of each control byte, and what is kept of four bytes for each length.
 SIZES = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
@@ -56,86 +69,99 @@ class Encoder:
     """Ids of texts, as little-endian bytes of ``kind``."""
 
     def __init__(self, path: str, specials_are_text: bool = False):
-        from tokenizers import Tokenizer
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = specials_are_text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        described = json.loads(self.tokenizer.to_str())
-        before = described.get("pre_tokenizer") or {}
-        self.in_pieces = (before.get("type"), before.get("use_regex"), before.get("add_prefix_space")) == ("ByteLevel", True, False) and not any(
-            described.get(k) for k in ("normalizer", "truncation", "padding"))
+        split, others = self.tokenizer.pre_tokenizer, (self.tokenizer.normalizer, self.tokenizer.truncation, self.tokenizer.padding)
+        self.in_pieces = isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space and others == (None, None, None)
+        feed = self._encoded(["\n"])[0]
+        self.feed = np.frombuffer(feed, self.kind)[0] if len(feed) == np.dtype(self.kind).itemsize else None
         # A special token may hold a space and is found in whole texts only.
-        self.specials = [] if specials_are_text else [t["content"] for t in described["added_tokens"]]
+        self.specials = [] if specials_are_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
 
     def _encoded(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, encoded as one text with line feeds between them, which have an id of their own."""
+        ids = np.array(self.tokenizer.encode("\n".join(pieces), add_special_tokens=False).ids, self.kind)
+        ends = [*np.flatnonzero(ids == self.feed).tolist(), len(ids)]
+        raw, width = ids.tobytes(), ids.itemsize
+        return [raw[width * (s + 1) : width * e] for s, e in zip([-1, *ends[:-1]], ends, strict=True)]
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        plain = [p for p in pieces if _PLAIN.fullmatch(p)] if self.feed is not None else []
+        made = {}
+        for k in range(0, len(plain), TOGETHER):
+            made.update(zip(part := plain[k : k + TOGETHER], self._together(part), strict=True))
+        rest = [p for p in pieces if p not in made]
+        return made | dict(zip(rest, self._encoded(rest), strict=True))
+
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
-        whole = [not self.in_pieces or any(s in t for s in self.specials) for t in texts]
-        cut = [[t] if w else _BEFORE_SPACE.split(t) for t, w in zip(texts, whole, strict=True)]
-        firsts = self._encoded([pieces[0] for pieces in cut])
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = list(set().union(*(pieces[1:] for pieces in cut)).difference(self.memo))
-        made = dict(zip(new, self._encoded([f" {p}" for p in new]), strict=True))
-        self.memo.update((p, ids) for p, ids in made.items() if len(p) <= LONGEST_REMEMBERED)
+        whole = [not self.in_pieces or any(s in t for s in self.specials) or _RARE_SPACE.search(t) is not None for t in texts]
+        alone = iter(self._encoded([t for t, w in zip(texts, whole, strict=True) if w]))
+        cut = [[] if w else _PIECES.findall(t) for t, w in zip(texts, whole, strict=True)]
+        made = self._learn(list(set(chain.from_iterable(cut)).difference(self.memo)))
+        room = MEMO - len(self.memo)
+        if room > 0:  # common pieces come early
+            self.memo.update(islice(((p, ids) for p, ids in made.items() if len(p) <= LONGEST_REMEMBERED), room))
         out = []
-        for first, pieces in zip(firsts, cut, strict=True):
-            known = list(map(self.memo.get, pieces[1:]))
+        for pieces, w in zip(cut, whole, strict=True):
+            known = list(map(self.memo.get, pieces))
             if None in known:
-                known = [made[p] if k is None else k for k, p in zip(known, pieces[1:], strict=True)]
-            out.append(first + b"".join(known))
+                known = [made[p] if k is None else k for k, p in zip(known, pieces, strict=True)]
+            out.append(next(alone) if w else b"".join(known))
         return out
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def _encoding(path: str, specials_are_text: bool, end_id: int) -> Callable:
+def _encoding(path: str, specials_are_text: bool, end_id: int, kind: pa.DataType) -> Callable:
     def run(batches):
         key = (path, specials_are_text)
         encoder = _encoders.get(key) or _encoders.setdefault(key, Encoder(*key))  # kept by workers that take further tasks
         end = np.array([end_id], encoder.kind).tobytes()
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            first, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= AT_ONCE or i + 1 == len(texts):
-                    ids = [e + end for e in encoder(texts[first : i + 1])]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(ids)), pa.array(ids, pa.binary())], names=["name", "ids"])
-                    first, size = i + 1, 0
-
-    return run
-
-
-def _counting(kind: str) -> Callable:
-    def run(batches):
         counts = np.zeros(1, np.int64)
         for batch in batches:
-            for blob in batch.column(0):
-                found = np.bincount(np.frombuffer(blob.as_py(), kind))
+            sums = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))])
+            for a, b in slices(sums, AT_ONCE):
+                ids = [e + end for e in encoder([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])]
+                found = np.bincount(np.frombuffer(b"".join(ids), encoder.kind))
                 if len(found) > len(counts):
                     counts, found = found, counts
                 counts[: len(found)] += found
-        held = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], names=["id", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.nulls(b - a, pa.binary())], names=["name", "ids", "counts"])
+        if counts.any():  # of all ids of this task, in a row of their own
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["name", "ids", "counts"])
 
     return run
 
 
-def packed(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of some numbers below 2^32."""
-    ranks = ranks.astype("<u4")
-    more = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    fours = np.zeros(-len(ranks) % 4 + len(ranks), np.uint8)
-    fours[: len(ranks)] = more
-    control = (fours.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    held = np.arange(4) <= more[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[held].tobytes()
+def _adding(batches):
+    """The sum of counts, an id and its count in a row."""
+    sums = np.zeros(1, np.int64)
+    for batch in batches:
+        for blob in batch.column(0):
+            found = np.frombuffer(blob.as_py(), np.int64).copy()
+            if len(found) > len(sums):
+                sums, found = found, sums
+            sums[: len(found)] += found
+    held = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(sums[held])], names=["id", "n"])
+
+
+def packed(numbers: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Control bytes and data bytes of numbers below 2^32, ``counts`` of each document."""
+    numbers = numbers.astype("<u4")
+    more = (numbers > 0xFF).astype(np.uint8) + (numbers > 0xFFFF) + (numbers > 0xFFFFFF)
+    fours = (counts + 3) // 4
+    lengths = np.zeros(4 * fours.sum(), np.uint8)
+    lengths[np.arange(len(numbers)) + np.repeat(4 * (np.cumsum(fours) - fours) - (np.cumsum(counts) - counts), counts)] = more
+    control = (lengths.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
+    return control.tobytes(), numbers.view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]].tobytes()
 
 
 def unpacked(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -151,23 +177,12 @@ def unpacked(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.nd
     return value & KEPT_BITS[size]
 
 
-def _ranking(ranks: np.ndarray, kind: str) -> Callable:
-    def run(batches):
-        for batch in batches:
-            ids = [np.frombuffer(b.as_py(), kind) for b in batch.column(1)]
-            made = [packed(ranks[i]) for i in ids]
-            columns = [pa.array([len(i) for i in ids], pa.int64()), *(pa.array([m[k] for m in made], pa.binary()) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *columns], names=["name", "tie", "row", "n", "control", "data"])
-
-    return run
-
-
-def block(names: Sequence[str | None], counts: Sequence[int], control: bytes, data: bytes, before: int) -> bytes:
+def block(names: Sequence[str | None], counts: np.ndarray, control: bytes, data: bytes, before: int) -> bytes:
     raw = [b"" if n is None else n.encode() for n in names]
     text = b"".join(raw)
     sizes = np.array([-1 if n is None else len(r) for n, r in zip(names, raw, strict=True)], "<i4")
     head = b"TIDB" + np.array([len(names)], "<u4").tobytes() + np.array([before, len(text), len(control), len(data)], "<u8").tobytes()
-    return b"".join([head, sizes.tobytes(), np.array(counts, "<u8").tobytes(), text, control, data])
+    return b"".join([head, sizes.tobytes(), counts.astype("<u8").tobytes(), text, control, data])
 
 
 def blocks(content: memoryview):
@@ -187,27 +202,30 @@ def blocks(content: memoryview):
         yield before, names, counts, control, data
 
 
-def _filing(batches):
-    """Blocks of the documents of a partition, in order, and the footer."""
-    names, counts, parts = [], [], []
-    done = held = 0
+def _filing(ranks: np.ndarray, kind: str) -> Callable:
+    def run(batches):
+        """Blocks of the documents of a partition, in order, and the footer."""
+        names, ids = [], []
+        done = held = 0
 
-    def made():
-        return block(names, counts, b"".join(c for c, _ in parts), b"".join(d for _, d in parts), done)
+        def made():
+            counts = np.array([len(i) for i in ids], np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([block(names, counts, *packed(ranks[np.concatenate(ids)], counts), done)], pa.binary())], names=["block"])
 
-    for batch in batches:
-        for name, n, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            names.append(name)
-            counts.append(n)
-            parts.append((control, data))
-            held += n
-            if held >= IDS_PER_BLOCK:
-                yield pa.RecordBatch.from_arrays([pa.array([made()], pa.binary())], names=["block"])
-                done, held, names, counts, parts = done + held, 0, [], [], []
-    if names:
-        yield pa.RecordBatch.from_arrays([pa.array([made()], pa.binary())], names=["block"])
-    footer = b"TIDF" + TaskContext.get().partitionId().to_bytes(4, "big") + (done + held).to_bytes(8, "big")
-    yield pa.RecordBatch.from_arrays([pa.array([footer], pa.binary())], names=["block"])
+        for batch in batches:
+            for name, raw in zip(batch.column(0), batch.column(1), strict=True):
+                names.append(name.as_py())
+                ids.append(np.frombuffer(raw.as_py(), kind))
+                held += len(ids[-1])
+                if held >= IDS_PER_BLOCK:
+                    yield made()
+                    done, held, names, ids = done + held, 0, [], []
+        if names:
+            yield made()
+        footer = b"TIDF" + TaskContext.get().partitionId().to_bytes(4, "big") + (done + held).to_bytes(8, "big")
+        yield pa.RecordBatch.from_arrays([pa.array([footer], pa.binary())], names=["block"])
+
+    return run
 
 
 def write_ids(
@@ -219,21 +237,20 @@ def write_ids(
     kind = Encoder(tokenizer).kind
     texts = docs.select(named(doc_id).alias("name"), named(text).cast("string").alias("text"))
     kept = new_folder(spark, "token-ids")
-    id_type = texts.schema["name"].dataType.simpleString()
-    encoded = texts.mapInArrow(_encoding(tokenizer, specials_are_text, end_id), f"name {id_type}, ids binary")
+    schema = StructType([StructField("name", texts.schema["name"].dataType, True), *StructType.fromDDL("ids binary, counts binary").fields])
+    encoded = texts.mapInArrow(_encoding(tokenizer, specials_are_text, end_id, to_arrow_schema(schema).field("name").type), schema)
     encoded.write.option("compression", "zstd").parquet(kept)
-    ids = spark.read.parquet(kept)
-    counted = ids.select("ids").mapInArrow(_counting(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").toPandas()
-    order = counted["id"].to_numpy(np.int64)  # a row for each id in use: no more than the vocabulary
+    found = spark.read.parquet(kept)
+    sums = found.where("counts is not null").select("counts").mapInArrow(_adding, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = sums.orderBy(F.desc("n"), "id").toPandas()  # a row for each id in use: no more than the vocabulary
+    order = counted["id"].to_numpy(np.int64)
     ranks = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
     ranks[order] = np.arange(len(order))
     spark.createDataFrame([(list(map(int, order)),)], "ids array<int>").write.parquet(f"{folder}/ranks")
-    n_ids = int(counted["n"].sum())
-    n_files = min(MOST_FILES, n_ids // ids_per_file + 1)
-    rows = ids.select("name", "ids", F.crc32("ids").alias("tie"), F.monotonically_increasing_id().alias("row"))
-    coded = rows.mapInArrow(_ranking(ranks, kind), f"name {id_type}, tie long, row long, n long, control binary, data binary")
-    ordered = coded.repartitionByRange(n_files, "name", "tie", "row").sortWithinPartitions("name", "tie", "row")
-    filed = ordered.select(F.col("name").cast("string"), "n", "control", "data").mapInArrow(_filing, "block binary")
+    n_files = min(MOST_FILES, int(counted["n"].sum()) // ids_per_file + 1)
+    rows = found.where("ids is not null").select("name", "ids", F.crc32("ids").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange(n_files, "name", "tie", "row").sortWithinPartitions("name", "tie", "row")
+    filed = ordered.select(F.col("name").cast("string"), "ids").mapInArrow(_filing(ranks, kind), "block binary")
     filed.select(F.col("block").cast("string").alias("value")).write.text(f"{folder}/files")
 
 
