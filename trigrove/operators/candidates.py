@@ -107,8 +107,8 @@ def _graded(met: DataFrame, kept: list[str]) -> DataFrame:
     )
 
 
-def met_by_gram(shape_rows: DataFrame, lookups: DataFrame, *carried: str) -> DataFrame:
-    """Shapes and lookups that have a gram in common, shuffled by gram.
+def met_by_gram(posting_rows: DataFrame, lookups: DataFrame) -> DataFrame:
+    """Postings and lookups that have a gram in common, shuffled by gram.
 
     The meetings over a gram are its shapes times its lookups. Where they are more than
     ``MEETINGS_PER_SALT``, the longer side is dealt to several tasks and the shorter one repeated for each.
@@ -125,7 +125,7 @@ def met_by_gram(shape_rows: DataFrame, lookups: DataFrame, *carried: str) -> Dat
         salts = F.when(F.coalesce(dealt, F.lit(False)), F.array(F.pmod(F.xxhash64(*by), F.col("salts")))).otherwise(every)
         return rows.join(hot, key, "left").withColumn("salt", F.explode(salts)).drop("salts", "deal_shapes")
 
-    shapes = salted(postings(shape_rows, *carried), F.col("deal_shapes"), "shape_id")
+    shapes = salted(posting_rows, F.col("deal_shapes"), "shape_id")
     asked = salted(lookups.drop("n_shapes"), ~F.col("deal_shapes"), *SEARCH)
     return shapes.join(asked, [*key, "salt"]).drop("salt")
 
@@ -134,15 +134,20 @@ def search_shapes(tables: LookupTables, search_grams: DataFrame, most: int, broa
     """The ``most`` best shapes per search and role, with their members.
 
     With a lookup side known to be small, one pass over the shapes meets it in a broadcast join.
-    Otherwise both sides are shuffled by gram.
+    Otherwise both sides are shuffled by gram. Stored postings are met as they lie, without a pass over the shapes, and
+    members are read for the best shapes only.
     """
     lookups = _lookups(search_grams)
+    stored = tables.posting_rows()
+    if stored is not None:
+        met = stored.join(F.broadcast(lookups.drop("n_shapes")), ["entry_class", "gram"]) if broadcast else met_by_gram(stored, lookups)
+        return tables.members(_top(_graded(met, ["bucket"]), [*SEARCH, "role"], "shape_id", most))
     if broadcast:
         met = postings(tables.shapes, "grams", "terms", "members").join(
             F.broadcast(lookups.drop("n_shapes")), ["entry_class", "gram"]
         )
     else:
-        met = met_by_gram(tables.shapes, lookups, "grams")
+        met = met_by_gram(postings(tables.shapes, "grams"), lookups)
     kept = ["terms", "members"] if broadcast else []
     best = _top(_graded(met, kept), [*SEARCH, "role"], "shape_id", most)
     if not broadcast:

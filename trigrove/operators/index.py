@@ -148,6 +148,14 @@ class LookupTables:
             raise ValueError(f"the lookup tables hold {self.max_candidates} candidates of a shape, {max_candidates} are asked for")
         return replace(self, max_candidates=max_candidates)
 
+    def for_searches(self, searches: DataFrame) -> LookupTables:
+        """The tables for some searches; those that can tell read less."""
+        return self
+
+    def posting_rows(self) -> DataFrame | None:
+        """Stored rows of each gram's shapes, where there are any."""
+        return None
+
     def check_profile(self, profile: Profile) -> None:
         if profile.name != self.profile:
             raise ValueError(f"the lookup tables are of the {self.profile} dialect, the search is of {profile.name}")

@@ -72,6 +72,7 @@ def retrieve(
     # written once instead of being worked out from the queries for each use.
     routes = written(I.route(intents, p, pre_filter), "routes")
     search_rows = C.searches(routes)
+    tables = tables.for_searches(search_rows)
     search_grams = C.ranked_grams(search_rows, tables.gram_counts)
     found = C.search_hits(tables, search_grams, most, broadcast)
     hits = C.text_hits(routes, found, search_rows)

@@ -118,11 +118,13 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query per distinct entry name, one more with its second letter left out, and the empty query.
+    return queries_of(catalog(spark, sf_dir))
 
-    The context of a query follows from its text.
-    """
-    names = catalog(spark, sf_dir).select("name").distinct()
+
+def queries_of(entries: DataFrame) -> DataFrame:
+    """One query per distinct entry name, one more with its second letter left out, and the empty query."""
+    spark = entries.sparkSession
+    names = entries.select("name").distinct()
     asked = names.select(
         F.explode(
             F.array(
@@ -135,8 +137,13 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("q")
     ).select("q.*")
     empty = spark.range(1).select(F.lit("empty").alias("query_id"), F.lit("  ").alias("query"))
+    return in_context(asked.unionByName(empty))
+
+
+def in_context(asked: DataFrame) -> DataFrame:
+    """``(query_id, query)`` with a context that follows from the text."""
     size = F.length("query")
-    return asked.unionByName(empty).select(
+    return asked.select(
         "query_id",
         "query",
         F.when(size % 2 == 0, F.concat(F.lit("In "), F.col("query"))).alias("active_app"),

@@ -21,6 +21,7 @@ from trigrove.plans import tables as T
 from trigrove.plans.build import build_catalog
 from trigrove.plans.search import Steps, ranked_rows, retrieve
 from trigrove.plans.shared import new_folder, written
+from trigrove.plans.stored import StoredIndex
 from trigrove.sources import clicklog, desktop, files, fixed, requests, snapshot, treemodel
 from trigrove.streaming.changes import apply_batch, stream_changes, translate_events
 from trigrove.streaming.clicks import ClickStores, stream_clicks
@@ -94,7 +95,7 @@ def trigram_df(spark, sf):
 def overlap_pairs(spark, sf):
     """Every shape that reaches the least overlap of a search, without a limit per search."""
     p = prepared(spark, sf)
-    met = C.met_by_gram(p.tables.shapes, C._lookups(p.steps().search_grams), "grams", "n_entries")
+    met = C.met_by_gram(X.postings(p.tables.shapes, "grams", "n_entries"), C._lookups(p.steps().search_grams))
     pairs = C._graded(met, ["n_entries"]).where(F.col("role") == C.OVERLAP)
     return pairs.select(*C.SEARCH, "shape_id", "n_entries", six("score").alias("overlap"))
 
@@ -453,6 +454,48 @@ def windows_apply_changes(spark, sf):
     return changed.select(F.lower("path").alias("path"), "metadata.file_size")
 
 
+# --- stored postings ---------------------------------------------------------------------------------
+
+
+def moved_entries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A change of the catalog, as rows removed and added: pages with a fragment move, those that end in "/" go; promoted parts get
+    a tag and Asian nations another name."""
+    catalog = T.catalog(spark, sf)
+    urls = T.read(spark, sf, "pages").select((F.col("page_id") + F.lit(T.SOURCES.index("pages") * T.ID_RANGE)).alias("id"), "url")
+    pages = catalog.where("entry_type = 'File'").join(urls, "id").where(F.col("url").contains("#") | F.col("url").endswith("/"))
+    promoted = catalog.where("entry_type = 'App' and metadata.category = 'PROMO'")
+    renamed = catalog.where("entry_type = 'Setting' and metadata.category = 'ASIA'")
+    moved = pages.where(F.col("url").contains("#")).withColumns({
+        "id": F.col("id") + F.lit(T.ID_RANGE // 2), "name": F.concat("name", F.lit(".moved")), "path": F.concat("path", F.lit(".moved")),
+        "metadata": F.col("metadata").withField("file_type", F.lit("moved")),
+    })
+    tagged = promoted.withColumn("metadata", F.col("metadata").withField("tags", F.concat("metadata.tags", F.array(F.lit("Promotion")))))
+    named = renamed.withColumn("name", F.concat(F.lit("Far "), "name"))
+    return pages.drop("url").unionByName(promoted).unionByName(renamed), moved.drop("url").unionByName(tagged).unionByName(named)
+
+
+@registered
+def search_after_changes(spark, sf):
+    """The ranking of all queries from stored postings that have followed a change of the catalog."""
+    removed, added = moved_entries(spark, sf)
+    catalog = prepared(spark, sf).catalog
+    index = StoredIndex.build(catalog, new_folder(spark, "index"))
+    index.apply(removed, added)
+    now = written(catalog.join(removed.select("id"), "id", "left_anti").select(*catalog.columns).unionByName(added.select(*catalog.columns)), "catalog")
+    ranked = ranked_rows(T.queries_of(now), index.tables(now), prepared(spark, sf).usage, now=T.NOW)
+    return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "id", six("score").alias("score"))
+
+
+@registered
+def postings_one_query(spark, sf):
+    """One query from stored postings: its grams' pages are read, not the shapes."""
+    p = prepared(spark, sf)
+    index = StoredIndex.build(p.catalog, new_folder(spark, "index"))
+    asked = T.in_context(spark.createDataFrame([("one", "smal widget")], "query_id string, query string"))
+    ranked = ranked_rows(asked, index.tables(p.catalog), p.usage, now=T.NOW)
+    return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "id", six("score").alias("score"))
+
+
 # --- start-up and rescans, with ids made from what entries are ------------------------------------------
 
 

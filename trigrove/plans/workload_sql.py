@@ -345,6 +345,8 @@ SQL: dict[str, str] = {
     "active_app_match": f"SELECT id, file_type, active_app, ({_by_group}) AS matched FROM in_use",
     "same_directory": f"SELECT id, cwd, path = cwd OR {parent('path')} = cwd AS matched FROM in_use",
     "fallback_rank_top10": _TOP + "ranked",
+    "postings_one_query": _TOP + "ranked",
+    "search_after_changes": _TOP + "ranked",
     "class_filtered_top10": """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, id, round(score, 6) AS score
       FROM ranked WHERE entry_type IN ('Setting', 'Command')""",
     "class_counts": """SELECT query_id, apps, files, settings, (apps > 0)::INT + (files > 0)::INT + (settings > 0)::INT AS filled_classes
@@ -461,14 +463,33 @@ SELECT entry_type, substring(name, 1, 1) AS letter, count(*) AS n FROM (
 """
 
 
+#: Parts that stand for others in some queries.
+INSTEAD: dict[str, dict[str, str]] = {
+    "postings_one_query": {"asked": "SELECT 'one' AS query_id, 'smal widget' AS query"},
+    "search_after_changes": {
+        "catalog_before": PARTS["catalog"],
+        "catalog": f"""
+        SELECT c.id + CASE WHEN coalesce(contains(url, '#'), false) THEN {ID_RANGE // 2} ELSE 0 END AS id, entry_type,
+               CASE WHEN contains(url, '#') THEN name || '.moved' WHEN entry_type = 'Setting' AND category = 'ASIA' THEN 'Far ' || name ELSE name END AS name,
+               CASE WHEN contains(url, '#') THEN path || '.moved' ELSE path END AS path,
+               CASE WHEN contains(url, '#') THEN 'moved' ELSE file_type END AS file_type, file_size,
+               CASE WHEN entry_type = 'App' AND category = 'PROMO' THEN list_append(tags, 'Promotion') ELSE tags END AS tags, category
+          FROM catalog_before c LEFT JOIN (SELECT {_id('pages', 'page_id')} AS id, url FROM pages) USING (id)
+         WHERE url IS NULL OR contains(url, '#') OR NOT ends_with(url, '/')
+        """,
+    },
+}
+
+
 def assembled(name: str) -> str:
     """The query's SQL with the parts it refers to, in order."""
     needed: list[str] = []
+    parts_of = PARTS | INSTEAD.get(name, {})
 
     def visit(sql: str) -> None:
         for word in dict.fromkeys(re.findall(r"[a-z_0-9]+", sql)):
-            if word in PARTS and word not in needed and re.search(rf"(FROM|JOIN|,)\s+\(?{word}\b|FROM {word}\b", sql):
-                visit(PARTS[word])
+            if word in parts_of and word not in needed and re.search(rf"(FROM|JOIN|,)\s+\(?{word}\b|FROM {word}\b", sql):
+                visit(parts_of[word])
                 needed.append(word)
 
     visit(SQL[name])
@@ -478,8 +499,8 @@ def assembled(name: str) -> str:
         own = own[4:].strip()
         if own.startswith("RECURSIVE"):
             recursive, own = "RECURSIVE ", own[9:].strip()
-        parts = [f"{n} AS MATERIALIZED ({PARTS[n].strip()})" for n in needed]
+        parts = [f"{n} AS MATERIALIZED ({parts_of[n].strip()})" for n in needed]
         return f"WITH {recursive}" + ",\n".join(parts + [own])
     if not needed:
         return own
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({PARTS[n].strip()})" for n in needed) + "\n" + own
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({parts_of[n].strip()})" for n in needed) + "\n" + own
