@@ -153,3 +153,12 @@ def test_apply_changes(spark):
     listing = spark.createDataFrame([("/d/in", 5, False), ("/d/sub/x", 6, False), ("/f/y", 1, False)], "path string, size long, is_dir boolean")
     assert after((1, "Created", "/d", True, None), listing=listing) == ["/d", "/d/in", "/d/sub/x", "/e/keep"]
     assert after((1, "Created", "/apps/code.desktop", False, 9), desktop_files=texts(spark, code=CODE)) == ["/d", "/d/old", "/e/keep", "code"]
+
+
+def test_windows_replacing_keeps_counters(spark):
+    old = catalog(spark, entry(1, "a.txt", count=42, last=7), entry(2, "App", "App", count=9, last=5), entry(3, "gone.txt", count=1))
+    files = catalog(spark, entry(1, "a.txt"), entry(4, "new.txt"))
+    counts = lambda rows: {r["id"]: (r["access_count"], r["last_accessed"]) for r in rows.collect()}
+    assert counts(K.replace_files(old, files, WINDOWS)) == {1: (42, 7), 2: (9, 5), 4: (0, 0)}
+    assert counts(K.replace_files(old, files))[1] == (0, 0)
+    assert counts(K.replace_catalog(old, catalog(spark, entry(2, "App", "App"), entry(5, "Other", "App")), WINDOWS)) == {1: (42, 7), 2: (9, 5), 3: (1, 0), 5: (0, 0)}

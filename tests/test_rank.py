@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -131,3 +132,44 @@ def test_display_and_types(spark):
     assert R.class_counts(results).first().asDict() == {"query_id": "q", "apps": 1, "files": 1, "settings": 1, "filled_classes": 3}
     folders = R.containing_folder(catalog(spark, entry(1, "d", path="/x/d", is_dir=True), entry(2, "f", path="/x/f"), entry(3, "a", "App")))
     assert {r["id"]: r["folder"] for r in folders.collect()} == {1: "/x/d", 2: "/x"}
+
+
+def test_masks_give_the_leaves_of_a_walk(spark):
+    """Random trees of up to 64 leaves, with categories, missing values and features that are not there."""
+    rng = random.Random(5)
+
+    def grown(n_leaves):
+        tree = {k: [] for k in treemodel.ARRAYS}
+
+        def grow(n):
+            if n == 1:
+                tree["leaf_value"].append(rng.uniform(-2, 2))
+                return -len(tree["leaf_value"])
+            node = len(tree["split_feature"])
+            tree["split_feature"].append(rng.randrange(-1, 14))
+            tree["threshold"].append(rng.choice([0.0, 0.25, 0.5, 1.0]))
+            tree["decision_type"].append(rng.randrange(4))
+            tree["left_child"].append(0)
+            tree["right_child"].append(0)
+            left = rng.randrange(1, n)
+            tree["left_child"][node] = grow(left)
+            tree["right_child"][node] = grow(n - left)
+            return node
+
+        grow(n_leaves)
+        if rng.random() < 0.3:
+            tree["decision_type"] = tree["decision_type"][: n_leaves // 2]
+        return {k: np.array(v, dtype=np.float32 if treemodel.ARRAYS[k] == "float" else np.int64) for k, v in tree.items()}
+
+    rows = [tuple(rng.choice([0.0, 0.25, 0.3, 0.5, 1.0, float("nan"), None]) for _ in FEATURES) for _ in range(200)]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in FEATURES)).select(F.struct(*FEATURES).alias("features"))
+    inputs = np.array([[np.nan if v is None else v for v in r] for r in rows], dtype=np.float32)
+    for averaged, left in ((False, True), (True, False)):
+        model = treemodel.TreeModel([grown(n) for n in (1, 2, 3, 17, 63, 64)], averaged, 0.3, left)
+        scored = model.score(frame)
+        assert "Python" not in scored._jdf.queryExecution().toString()
+        assert np.allclose([r["score"] for r in scored.collect()], model.predict(inputs), atol=1e-12)
+    large = treemodel.TreeModel([grown(65)])
+    assert np.allclose([r["score"] for r in large.score(frame).collect()], large.predict(inputs))
+    looped = {k: np.array(v) for k, v in zip(treemodel.ARRAYS, ([0, 0], [0.5, 0.5], [1, 0], [-1, -1], [0, 0], [1.0]), strict=True)}
+    assert treemodel.leaf_masks(looped, True) is None

@@ -205,3 +205,19 @@ def test_hot_keys_are_spread_without_changing_results(spark, data, monkeypatch):
     monkeypatch.setattr(C, "TEXTS_PER_SALT", 3)
     spread = sorted(map(tuple, ranked_rows(few, p.tables, p.usage, now=NOW, broadcast=False).select(*key).collect()))
     assert plain == spread and plain
+
+
+def test_queries_under_one_id_are_ranked_apart(spark):
+    entries = catalog(spark, *[entry(k, f"document {k}") for k in range(1, 15)], *[entry(k, f"picture {k}") for k in range(20, 33)])
+    asked = spark.createDataFrame([("q", "document"), ("q", "picture"), ("q", "picture")], "query_id string, query string")
+    rows = search(asked, entries, now=NOW).collect()
+    ranks = {}
+    for r in rows:
+        ranks.setdefault(r["query"], []).append(r["rank"])
+    assert sorted(ranks["document"]) == list(range(1, 11)) and sorted(ranks["picture"]) == sorted([*range(1, 11)] * 2)
+
+
+def test_one_query_without_an_empty_one_skips_the_catalogs_best(spark):
+    entries = catalog(spark, entry(1, "document", count=3, last=NOW))
+    assert found(search(queries(spark, "documnt", "nothing like it"), entries, now=NOW)) == {"0": [1]}
+    assert found(search(queries(spark, "documnt", " "), entries, now=NOW)) == {"0": [1], "1": [1]}

@@ -144,3 +144,29 @@ def test_query_stream(spark, tmp_path):
     stream_queries(stream, lambda: tables, lambda: None, str(tmp_path / "sink"), str(tmp_path / "progress"), now=lambda: NOW, available_now=True).awaitTermination()
     got = {(r["query_id"], r["id"]) for r in spark.read.parquet(str(tmp_path / "sink")).collect()}
     assert got == {("a", 1), ("c", 2)}
+
+
+def test_feeds_number_their_own_batches(spark, tmp_path):
+    store = VersionedTable(spark, str(tmp_path / "store"))
+    row = lambda path: spark.createDataFrame([(1, "Created", path, False, 1, "files")], "seq long, kind string, path string, is_dir boolean, size long, source string")
+    assert apply_batch(store, row("/a"), 0, feed="one", now=lambda: NOW) and apply_batch(store, row("/b"), 0, feed="two", now=lambda: NOW)
+    assert not apply_batch(store, row("/c"), 0, feed="two", now=lambda: NOW)
+    assert {r["path"] for r in store.read().collect()} == {"/a", "/b"}
+
+
+def test_counts_of_another_writer_stay(spark, tmp_path, monkeypatch):
+    tables = LookupTables.of(catalog(spark, entry(1, "alpha document")))
+    stores = ClickStores(VersionedTable(spark, str(tmp_path / "usage"), USAGE, None), str(tmp_path / "log"), str(tmp_path / "rejects"))
+    schema = "query_id string, query string, selected_id string, timestamp long, rank_position int"
+    click = lambda name: spark.createDataFrame([(name, "document", "1", NOW, 1)], schema)
+    publish, late = VersionedTable.publish, []
+
+    def interrupted(self, *args, **options):
+        if not late:
+            late.append(True)
+            record_batch(click("b"), 0, tables, stores, feed="other", now=lambda: NOW)
+        return publish(self, *args, **options)
+
+    monkeypatch.setattr(VersionedTable, "publish", interrupted)
+    assert record_batch(click("a"), 0, tables, stores, feed="one", now=lambda: NOW)
+    assert [tuple(r) for r in stores.usage.read().collect()] == [(1, 2, NOW)]

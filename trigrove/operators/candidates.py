@@ -137,7 +137,7 @@ def search_shapes(tables: LookupTables, search_grams: DataFrame, most: int, broa
     Otherwise both sides are shuffled by gram. Stored postings are met as they lie, without a pass over the shapes, and
     members are read for the best shapes only.
     """
-    lookups = _lookups(search_grams)
+    tables, lookups = tables.looked_up(_lookups(search_grams))
     stored = tables.posting_rows()
     if stored is not None:
         met = stored.join(F.broadcast(lookups.drop("n_shapes")), ["entry_class", "gram"]) if broadcast else met_by_gram(stored, lookups)
@@ -236,12 +236,19 @@ def candidate_union(hits: DataFrame) -> DataFrame:
     )
 
 
-def fits_broadcast(texts: DataFrame) -> bool:
-    """Whether the lookup rows of these texts are sure to be small enough to send to every task.
+def look_at(texts: DataFrame) -> tuple[bool, bool]:
+    """Whether the lookup rows of these texts are sure to be small enough to send to every task, and whether there may be an
+    empty one among them.
 
     Reads at most ``BROADCAST_TEXTS`` + 1 rows. A text of ``c`` characters makes at most three
-    searches with under ``c + 3`` lookups, each holding under ``c + 3`` grams of 16 bytes.
+    searches with under ``c + 3`` lookups, each holding under ``c + 3`` grams of 24 bytes (8 for its place, up to 12 for its letters).
     """
-    size = F.sum(F.lit(48.0) * (F.length("text") + 6) * (F.length("text") + 3) * 0.5)
-    seen = texts.limit(BROADCAST_TEXTS + 1).agg(F.count("*").alias("n"), size.alias("bytes")).first()
-    return seen["n"] <= BROADCAST_TEXTS and (seen["bytes"] or 0) <= BROADCAST_BYTES
+    size = F.sum(F.lit(72.0) * (F.length("text") + 6) * (F.length("text") + 3) * 0.5)
+    blank = F.bool_or(text.normalise(F.col("text")) == "")
+    seen = texts.limit(BROADCAST_TEXTS + 1).agg(F.count("*").alias("n"), size.alias("bytes"), blank.alias("blank")).first()
+    whole = seen["n"] <= BROADCAST_TEXTS
+    return whole and (seen["bytes"] or 0) <= BROADCAST_BYTES, not whole or bool(seen["blank"])
+
+
+def fits_broadcast(texts: DataFrame) -> bool:
+    return look_at(texts)[0]

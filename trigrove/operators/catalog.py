@@ -53,7 +53,7 @@ def replace_catalog(old: DataFrame, new: DataFrame, profile: Profile = UNIX) ->
     """Keep the files (and in the unix dialect the commands) of ``old``; the rest comes from ``new``.
 
     Of new rows the first with an id stays, then the first with a type and lower-cased name.
-    In the windows dialect names are compared first and of equal ids the last stays.
+    In the windows dialect names are compared first, of equal ids the last stays, and rows of known ids keep their counters.
     """
     kept_types = ["File"] if profile.name == "windows" else ["File", "Command"]
     whole = as_catalog(old)
@@ -61,16 +61,19 @@ def replace_catalog(old: DataFrame, new: DataFrame, profile: Profile = UNIX) ->
     fresh = _after(whole, as_catalog(new))
     by_name = [F.col("entry_type"), F.lower("name")]
     if profile.name == "windows":
-        fresh = first_by(fresh, by_name, [catalog_order()])
+        fresh = carry_usage(whole, first_by(fresh, by_name, [catalog_order()]))
         return first_by(kept.unionByName(fresh), ["id"], [F.desc(catalog_order())])
     fresh = first_by(fresh.join(kept.select("id"), "id", "left_anti"), ["id"], [catalog_order()])
     return kept.unionByName(first_by(fresh, by_name, [catalog_order()]).select(*COLUMNS))
 
 
-def replace_files(old: DataFrame, files: DataFrame) -> DataFrame:
-    """All file rows come from ``files``, the others stay; equal ids keep the later row."""
+def replace_files(old: DataFrame, files: DataFrame, profile: Profile = UNIX) -> DataFrame:
+    """All file rows come from ``files``, the others stay; equal ids keep the later row. In the windows dialect files of known ids
+    keep their counters."""
     whole = as_catalog(old)
-    rows = whole.where("entry_type <> 'File'").unionByName(_after(whole, as_catalog(files)))
+    fresh = _after(whole, as_catalog(files))
+    fresh = carry_usage(whole, fresh) if profile.name == "windows" else fresh
+    rows = whole.where("entry_type <> 'File'").unionByName(fresh)
     return first_by(rows, ["id"], [F.desc(catalog_order())])
 
 

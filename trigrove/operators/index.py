@@ -152,6 +152,10 @@ class LookupTables:
         """The tables for some searches; those that can tell read less."""
         return self
 
+    def looked_up(self, lookups: DataFrame) -> tuple[LookupTables, DataFrame]:
+        """The tables and the lookup rows of some searches, made ready to meet."""
+        return self, lookups
+
     def posting_rows(self) -> DataFrame | None:
         """Stored rows of each gram's shapes, where there are any."""
         return None

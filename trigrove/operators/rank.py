@@ -171,10 +171,16 @@ def fallback_score(features: str = "features") -> Column:
     return _unit(grade * 0.85 + of("frecency") * 0.15)
 
 
+#: What tells queries apart.
+ASKED = ("query_id", "query", "active_app", "cwd", "timestamp", "hour_of_day", "day_of_week")
+
+
 def final_order(scored: DataFrame, most: int = TOP, profile: Profile = UNIX) -> DataFrame:
-    """The ``most`` best rows of each query: score, name, id."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), _name_order(profile), F.asc("id"))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    """The ``most`` best rows of each query: score, name, id. Rows of ``queries`` under one id that differ in text or context are
+    queries of their own; rows that are alike get the same results, one rank for each."""
+    keys = [c for c in ASKED if c in scored.columns]
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), _name_order(profile), F.asc("id"))
+    return scored.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= most)
 
 
 def class_filter_rows(results: DataFrame, class_filter: str) -> DataFrame:

@@ -135,13 +135,17 @@ def ranked_rows(
         raise ValueError(f"top_k is {top_k}, more than the candidates that are kept")
     tables.check_profile(p)
     asked = with_context(queries)
+    fits, may_be_empty = C.look_at(queries.select(F.coalesce("query", F.lit("")).alias("text")))
+    broadcast = fits if broadcast is None else broadcast
     steps = retrieve(
         queries, tables, usage, now=now, stage1_limit=stage1_limit, top_k=top_k, profile=p, class_filter=class_filter,
         broadcast=broadcast,
     )
     kept = ["text", "id", "name", "terms", "access_count", "last_accessed", "frecency_score"]
-    empty = R.empty_query_top(tables.catalog, usage, now, p, pre_filter, max(R.TOP, top_k))
-    found = R.match_features(steps.stage1.select(*kept).unionByName(empty.select(*kept))).drop("terms")
+    shown = steps.stage1.select(*kept)
+    if may_be_empty:  # otherwise nobody asks for the best of the whole catalog
+        shown = shown.unionByName(R.empty_query_top(tables.catalog, usage, now, p, pre_filter, max(R.TOP, top_k)).select(*kept))
+    found = R.match_features(shown).drop("terms")
     popularity = file_type_popularity(tables.catalog, usage, p.name == "windows")
     found = _described(found, tables.catalog, popularity, p)
     rows = asked.join(found, "text").withColumn("features", R.features_struct(p, switches))

@@ -30,12 +30,13 @@ from trigrove.operators import index as X
 from trigrove.plans.shared import written
 
 BUCKETS = 64
-ROWS_PER_FILE = 1_000_000
+MOST_SEARCHES = 64
 MOST_LITERALS = 256
 
 TABLES = ("entries", "shapes", "postings", "counts", "owners", "words")
 SHAPE = ["entry_class", "terms"]
-_SORTED = {"parquet.page.row.count.limit": 1000, "parquet.block.size": 16 << 20}
+PAGE_ROWS = 500
+ROW_GROUP_BYTES = 16 << 20
 
 
 def bucket_of(n_buckets: int) -> Column:
@@ -90,15 +91,26 @@ class StoredTables(X.LookupTables):
 
     postings: DataFrame | None = None
     counts: DataFrame | None = None
+    few: bool = False
 
     def for_searches(self, searches: DataFrame) -> StoredTables:
-        """The tables for some searches. A few of them are looked at, and only the pages of their grams are read."""
-        cut = searches.select("entry_class", F.explode(text.trigrams(F.col("search_text"))).alias("gram")).distinct()
-        asked = cut.limit(MOST_LITERALS + 1).collect()
-        if len(asked) > MOST_LITERALS:
+        """The tables for some searches. If these are few, only the counts of their grams are read."""
+        some = searches.select("entry_class", "search_text").limit(MOST_SEARCHES + 1)
+        cut = some.groupBy().agg(F.count(F.lit(1)).alias("n"), F.collect_set("entry_class").alias("classes"), F.flatten(F.collect_set(text.trigrams(F.col("search_text")))).alias("grams"))
+        seen = cut.first()  # of MOST_SEARCHES texts and one more
+        if seen["n"] > MOST_SEARCHES:
             return self
-        few = _any_of([tuple(r) for r in asked], "gram")
-        return replace(self, postings=self.postings.where(few), gram_counts=_gram_counts(self.counts.where(few)))
+        asked = F.col("entry_class").isin(seen["classes"]) & F.col("gram").isin(sorted(set(seen["grams"])))
+        return replace(self, gram_counts=_gram_counts(self.counts.where(asked)), few=True)
+
+    def looked_up(self, lookups: DataFrame) -> tuple[StoredTables, DataFrame]:
+        """Of few searches the lookups are taken to the driver, and of the postings the pages of their grams are read only."""
+        if not self.few:
+            return self, lookups
+        rows = lookups.collect()  # the grams of MOST_SEARCHES texts at most
+        pairs = sorted({(r["entry_class"], r["gram"]) for r in rows})
+        held = lookups.sparkSession.createDataFrame(rows, lookups.schema)
+        return (replace(self, postings=self.postings.where(_any_of(pairs, "gram"))) if len(pairs) <= MOST_LITERALS else self), held
 
     def posting_rows(self) -> DataFrame:
         return net(self.postings, ["entry_class", "gram", "shape_id", "bucket", "grams"]).drop("sign")
@@ -170,7 +182,7 @@ class StoredIndex:
         def keep(table: str, rows: DataFrame, by: str | None = None, order: Sequence[str] = ()) -> None:
             if order:
                 rows = rows.repartitionByRange(spread, *order).sortWithinPartitions(*order)
-            writer = rows.write.mode("overwrite").options(**{k: str(v) for k, v in _SORTED.items()})
+            writer = rows.write.mode("overwrite").options(**{"parquet.page.row.count.limit": PAGE_ROWS, "parquet.block.size": ROW_GROUP_BYTES})
             (writer.partitionBy(by) if by else writer).parquet(place(table))
 
         by_bucket = lambda rows: rows.withColumn("bucket", bucket_of(self.n_buckets)).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8)))

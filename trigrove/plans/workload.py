@@ -291,6 +291,49 @@ def tree_score(spark, sf):
     return scored.select("query_id", "id", six("score").alias("score"))
 
 
+#: Averaged, with its own slope: numbers, a category, missing values to either side, a tree that is one leaf.
+FOUR_TREES = f"""tree
+average_output
+sigmoid:0.7
+feature_names={" ".join(FEATURES)}
+
+Tree=0
+split_feature=5 7 6
+threshold=0.2 0 0.002
+left_child=1 -1 -3
+right_child=2 -2 -4
+decision_type=2 1 0
+leaf_value=0.3 -1.25 2 -0.5
+
+Tree=1
+split_feature=12 12 11
+threshold=0.5 0.5 0.1
+left_child=1 -1 -3
+right_child=-4 2 -2
+decision_type=2 0 2
+leaf_value=9 0.75 -2 9
+
+Tree=2
+leaf_value=0.125
+
+Tree=3
+split_feature=10
+threshold=1
+left_child=-1
+right_child=-2
+decision_type=1
+leaf_value=1.5 -1
+"""
+
+
+@registered
+def tree_ensemble_score(spark, sf):
+    """The shown results of all queries by a model of several trees."""
+    model = treemodel.tree_model(spark.createDataFrame([(FOUR_TREES,)], "value string"))
+    scored = model.score(prepared(spark, sf).ranked().drop("score"))
+    return scored.select("query_id", "id", six("score").alias("score"))
+
+
 @registered
 def windows_rank_top10(spark, sf):
     p = prepared(spark, sf)
@@ -789,6 +832,25 @@ def stream_changes_catalog(spark, sf):
     return _changed(store.read())
 
 
+@registered
+def feed_restarted(spark, sf):
+    """Two runs of the change feed on one store, each with a checkpoint folder of its own, so that both number their batches from 0."""
+    store = snapshot.VersionedTable(spark, new_folder(spark, "store"))
+    for suffix in ("", ".copy"):
+        pages = _stream(spark, sf, "pages").select("page_id", F.concat(T.page_path(F.col("url")), F.lit(suffix)).alias("path"), F.length("html").alias("size"))
+        feed = pages.select(F.col("page_id").alias("seq"), F.lit("Created").alias("kind"), "path", F.lit(False).alias("is_dir"), F.col("size").cast("long").alias("size"), F.lit("files").alias("source"))
+        stream_changes(feed, store, new_folder(spark, "progress"), available_now=True, now=lambda: T.NOW).awaitTermination()
+    return _changed(store.read())
+
+
+@registered
+def windows_replace_carries(spark, sf):
+    """Counters of the catalog after all its files have been read again without any, in the windows dialect."""
+    catalog = T.catalog(spark, sf)
+    used = K.carry_usage(prepared(spark, sf).usage.withColumnRenamed("entry_id", "id").withColumn("frecency_score", F.col("access_count").cast("double")), catalog)
+    return K.replace_files(used, catalog.where("entry_type = 'File'"), WINDOWS).select("id", "access_count", "last_accessed")
+
+
 @registered
 def watcher_events(spark, sf):
     """Page changes as watcher events, translated and filtered by root and exclusion."""

@@ -356,6 +356,10 @@ SQL: dict[str, str] = {
       CASE WHEN entry_type IN ('App', 'Setting') THEN coalesce(category, path) ELSE coalesce({parent('path')}, path) END AS subtitle, category FROM ranked""",
     "tree_score": """SELECT query_id, id, round(1 / (1 + exp(CASE WHEN is_exact_prefix <= 0.5 THEN 2 ELSE -2 END)), 6) AS score FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY is_exact_prefix <= 0.5, name, id) AS r FROM features) WHERE r <= 10""",
+    "tree_ensemble_score": """SELECT query_id, id, round(1 / (1 + exp(-0.7::FLOAT::DOUBLE * (
+        CASE WHEN access_count::FLOAT <= 0.2::FLOAT THEN CASE WHEN abs(time_hour_bucket) < 1.1920929e-7 THEN 0.3::FLOAT::DOUBLE ELSE -1.25 END
+             WHEN edit_distance::FLOAT <= 0.002::FLOAT THEN 2 ELSE -0.5 END
+        + CASE WHEN file_type_popularity::FLOAT <= 0.1::FLOAT THEN -2 ELSE 0.75 END + 0.125 + CASE WHEN same_directory = 1 THEN 1.5 ELSE -1 END) / 4)), 6) AS score FROM ranked""",
     "windows_rank_top10": _TOP + "w_ranked",
     "alias_tags": f"""SELECT id, unnest({_aliases('long_name')}) AS alias
       FROM (SELECT id, CASE WHEN entry_type = 'App' THEN concat_ws(' ', name, category) ELSE name END AS long_name FROM catalog)""",
@@ -403,6 +407,10 @@ SQL: dict[str, str] = {
       CASE event_type WHEN 'error' THEN cut WHEN 'purchase' THEN event_type ELSE big_id END AS value FROM lines WHERE event_type <> 'signup'""",
     "tree_text_read": """SELECT s_nationkey::INT AS split_feature, (s_suppkey + 0.25)::DOUBLE AS threshold, s_suppkey::DOUBLE AS leaf_value, 2 AS n_nodes FROM supplier""",
     "stream_changes_catalog": "SELECT * FROM changed",
+    "feed_restarted": f"""WITH copies AS (SELECT page_id, {PAGE_PATH} || unnest(['', '.copy']) AS path, length(html) AS size FROM pages)
+      SELECT 'File' AS entry_type, {base('path')} AS name, path, lower({ext(base('path'))}) AS file_type, arg_max(size, page_id) AS file_size FROM copies GROUP BY path""",
+    "windows_replace_carries": """SELECT c.id, coalesce(access_count, 0) AS access_count, coalesce(last_accessed, 0) AS last_accessed
+      FROM catalog c LEFT JOIN usage ON entry_id = c.id""",
     "watcher_events": f"""WITH pages_ AS (SELECT page_id, url, '/web/' || {PAGE_PATH} AS path FROM pages),
       made AS (SELECT page_id * 2 AS seq, 'Removed' AS kind, path FROM pages_ WHERE contains(url, '#')
         UNION ALL SELECT page_id * 2 + 1, 'Created', path || '.moved' FROM pages_ WHERE contains(url, '#')

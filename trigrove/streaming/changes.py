@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trigrove.functions import paths
 from trigrove.model import Profile, UNIX, UNIX_EXCLUDES
-from trigrove.operators.catalog import apply_changes, replace_catalog, replace_files
+from trigrove.operators.catalog import apply_changes, carry_usage, replace_catalog, replace_files
+from trigrove.plans.shared import written
 from trigrove.sources.snapshot import VersionConflict, VersionedTable
 
 FEED = "changes"
@@ -47,6 +48,12 @@ def translate_events(
     return changes.where((F.coalesce("source", F.lit("files")) != "files") | (F.col("kind") == "Overflow") | kept)
 
 
+def feed_name(kind: str, batch: DataFrame) -> str:
+    """The name of the stream that a micro-batch belongs to, the same after every restart from its checkpoint."""
+    run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return kind if run is None else f"{kind}-{run}"
+
+
 def apply_batch(
     store: VersionedTable,
     changes: DataFrame,
@@ -58,16 +65,20 @@ def apply_batch(
     rescan: Callable[[], DataFrame] | None = None,
     profile: Profile = UNIX,
     now: Callable[[], int] = lambda: int(time.time()),
+    feed: str = FEED,
 ) -> bool:
     """One catalog version from one batch; a batch already applied, or empty, changes nothing.
 
+    Batches are numbered within ``feed``: feeds that number their own batches need names of their own.
+
     An overflow row means events were lost: all files are read again with ``rescan``. Any row of the
     source ``catalog`` makes ``rebuild`` deliver the applications and settings anew, once. Without the function
     that a row asks for the batch fails, and no version is published as if nothing were lost. If another
     writer publishes meanwhile, the batch is applied again to what it left.
     """
-    if store.applied(FEED, batch_id):
+    if store.applied(feed, batch_id):
         return False
+    changes = written(changes, "changes")  # worked out once for all that follows
     seen = changes.agg(
         F.count("*").alias("rows"),
         F.count_if(F.col("kind") == "Overflow").alias("overflow"),
@@ -84,13 +95,13 @@ def apply_batch(
         number = store.number()
         catalog = store.read()
         if seen["overflow"]:
-            catalog = replace_files(catalog, rescan())
+            catalog = replace_files(catalog, rescan(), profile)
         else:
             catalog = apply_changes(catalog, files, listing=listing, desktop_files=desktop_files, profile=profile)
         if seen["dirty"]:
             catalog = replace_catalog(catalog, rebuild(), profile)
         try:
-            store.publish(catalog, now(), FEED, batch_id, after=number)
+            store.publish(catalog, now(), feed, batch_id, after=number)
         except VersionConflict:
             if attempt + 1 == ATTEMPTS:
                 raise
@@ -106,10 +117,11 @@ def stream_changes(
     """Apply a stream of changes as it arrives.
 
     The catalog and not the stream holds all state; with the batch id kept beside each version,
-    a batch that is run again after a failure is recognised.
+    a batch that is run again after a failure is recognised. Batches are numbered from 0 in every new checkpoint folder, so
+    the feed goes by the id of the streaming query, which that folder keeps.
     """
     def one(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(store, batch, batch_id, profile=profile, **batch_options)
+        apply_batch(store, batch, batch_id, profile=profile, feed=feed_name(FEED, batch), **batch_options)
 
     writer = changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     if available_now:

@@ -16,7 +16,9 @@ from trigrove.operators.training import click_rows
 from trigrove.operators.usage import access_counts, first_usage, merge_usage
 from trigrove.plans.search import ranked_rows
 from trigrove.sources.clicklog import click_lines
-from trigrove.sources.snapshot import VersionedTable
+from trigrove.plans.shared import written
+from trigrove.sources.snapshot import VersionConflict, VersionedTable
+from trigrove.streaming.changes import ATTEMPTS, feed_name
 
 FEED = "clicks"
 
@@ -39,14 +41,19 @@ def record_batch(
     model=None,
     profile: Profile = UNIX,
     now: Callable[[], int] = lambda: int(time.time()),
+    feed: str = FEED,
 ) -> bool:
     """Log a batch of clicks with all that was shown for each, and count them.
 
     Clicks have ``query_id, query, selected_id, timestamp, rank_position`` and may have the context
     columns. One on an entry that is not in the catalog goes to the rejects. Log and rejects are
-    written to a folder of the batch, so a repeated batch overwrites its own rows only.
+    written to a folder of the feed and batch, so a repeated batch overwrites its own rows only. If another writer publishes counters
+    meanwhile, the batch is counted again on top of what it left.
     """
-    if stores.usage.applied(FEED, batch_id) or clicks.isEmpty():
+    if stores.usage.applied(feed, batch_id):
+        return False
+    clicks = written(clicks, "clicks")  # worked out once for all that follows
+    if clicks.isEmpty():
         return False
     usage = stores.usage.read()
     keyed = clicks.withColumn("entry_id", F.col("selected_id").try_cast("long"))
@@ -63,12 +70,21 @@ def record_batch(
                             ("hour_of_day", "int"), ("day_of_week", "int"))
         ]
     )
-    click_lines(shown.withColumn("context", context)).write.mode("overwrite").text(f"{stores.log}/batch_id={batch_id}")
-    unknown.write.mode("overwrite").json(f"{stores.rejects}/batch_id={batch_id}")
+    click_lines(shown.withColumn("context", context)).write.mode("overwrite").text(f"{stores.log}/feed={feed}/batch_id={batch_id}")
+    unknown.write.mode("overwrite").json(f"{stores.rejects}/feed={feed}/batch_id={batch_id}")
     counted = access_counts(known.select("entry_id", F.col("timestamp").alias("ts"), F.col("timestamp").alias("seq")))
-    start = first_usage(tables.catalog, usage, counted)
-    stores.usage.publish(merge_usage(usage.select("entry_id", "access_count", "last_accessed").unionByName(start), counted), at, FEED, batch_id)
-    return True
+    for attempt in range(ATTEMPTS):
+        number = stores.usage.number()
+        usage = stores.usage.read()
+        start = first_usage(tables.catalog, usage, counted)
+        merged = merge_usage(usage.select("entry_id", "access_count", "last_accessed").unionByName(start), counted)
+        try:
+            stores.usage.publish(merged, at, feed, batch_id, after=number)
+            return True
+        except VersionConflict:
+            if attempt + 1 == ATTEMPTS:
+                raise
+    return False
 
 
 def stream_clicks(
@@ -76,7 +92,7 @@ def stream_clicks(
     available_now: bool = False, interval: str = "500 milliseconds", **batch_options,
 ) -> StreamingQuery:
     def one(batch: DataFrame, batch_id: int) -> None:
-        record_batch(batch, batch_id, tables, stores, **batch_options)
+        record_batch(batch, batch_id, tables, stores, feed=feed_name(FEED, batch), **batch_options)
 
     writer = clicks.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
