@@ -4,6 +4,7 @@ import itertools
 import re
 
 import brute
+import clean
 import numpy as np
 import pyarrow as pa
 import pandas as pd
@@ -84,6 +85,36 @@ def test_composed_grammar_is_the_four_in_turn():
         assert found == apart(classes)
 
 
+def test_clean_sentences_stay_clean(spark):
+    """Learned from the given labels, scored on sentences of four languages whose words begin like the learned ones."""
+    labels, docs = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("labels", "documents"))
+    ids = toxicity.labelled_sample(labels)
+    model = toxicity.learned(docs.join(ids, "doc_id").select("text", "toxic"))
+    assert {"pathetic$", "idiot$", "trash$"} <= model.stems.keys() and not {"path", "tra", "idi", "dis"} & model.stems.keys()
+    lexicon, machine = toxicity.Lexicon(model.stems), toxicity.grammar()
+    for sentences in clean.SENTENCES.values():
+        assert len(sentences) == 20
+        for text in sentences:
+            assert 1 / (1 + np.exp(-(np.array(toxicity.features(text, lexicon, machine)) @ model.weights + model.bias))) < 0.5, text
+
+
+def test_beginnings_do_not_inherit_from_words(spark):
+    """Weights against counts in plain Python; a fixed word keeps its class."""
+    toxic = [f"pathetic path number {k}" for k in range(12)] + [f"grumblex{c} here" for c in "abcdefghijkl"]
+    other = [f"path and pathway number {k}" for k in range(12)] + [f"grumpy said {k}" for k in range(12)]
+    rows = [(t, 1) for t in toxic] + [(t, 0) for t in other]
+    model = toxicity.learned(spark.createDataFrame(rows, "text string, toxic int"))
+
+    def weight(bad, good):
+        return np.log((bad + 0.5) / 25) - np.log((good + 0.5) / 25) - toxicity.CAUTION * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+
+    stems = {s for s in model.stems if s[:2] in ("pa", "gr")}
+    assert stems == {"pathetic$", "grumb", "grumbl", "grumble", "grumblex"}
+    assert model.stems["pathetic$"] == pytest.approx(weight(12, 0)) == pytest.approx(model.stems["grumble"])
+    lexicon = toxicity.Lexicon({"disai": 3.0, "kil": 3.0})
+    assert lexicon["disait"][0] == toxicity.REPORT and lexicon["killing"][0] == toxicity.THREAT and lexicon["kilt"][0] == toxicity.INSULT
+
+
 def test_toxicity_without_labels_and_of_awkward_rows(spark):
     docs = brute.table(spark, brute.awkward())
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

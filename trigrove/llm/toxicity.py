@@ -1,14 +1,16 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 A lexicon transducer, a trie over letters, turns words into classes with weights: insults, threats, targets,
-negations and reported speech. The longest stem that a word begins with counts. Four small transducers over
+negations and reported speech. Words of the fixed lists keep their class; of other words the longest learned stem that they begin
+with counts. Four small transducers over
 classes follow, composed to one automaton: targets near an insult raise its weight, a negation before it
 or a verb of saying in the clause lowers it, and a threat counts only with a target after it. A clause's score
 is the sum over its matches; a document's score is a logistic function of its best clause, the sum and the mean
 over its clauses, and how many different stems were met.
 
-Stems of insults and their weights are learned: log-odds of their document frequencies in toxic and other
-documents, lowered by ``CAUTION`` standard errors. At most ``SAMPLE`` labelled documents are learned from (the
+Insults and their weights are learned: log-odds of their document frequencies in toxic and other
+documents, lowered by ``CAUTION`` standard errors; first those of whole words, then those of beginnings of at least ``LEAST_STEM`` letters, counted
+over the words that are not learned themselves, so that no beginning inherits the weight of a word ("path" of "pathetic"). At most ``SAMPLE`` labelled documents are learned from (the
 smallest by a hash of the id), equal texts once; every document is scored, each in its own task, without shuffle.
 
 Defined results: null and empty texts have no clause and get the score of a text without match; without
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Container, Iterable
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,8 @@ from trigrove.plans.shared import written
 
 SAMPLE = 20_000
 STEMS = 20_000
-LEAST_STEM, LONGEST_STEM = 3, 16
+LEAST_STEM, LONGEST_STEM = 5, 16
+LONGEST_WORD = 40
 LEAST_TOXIC = 5
 LEAST_WEIGHT = 1.0
 CAUTION = 2.0
@@ -44,7 +47,10 @@ MET = 6  # written by the grammar where a threat has found its target
 
 #: Fixed word lists.
 WORDS = {
-    THREAT: "kill hurt destroy beat shoot stab töten umbringen schlagen tuer frapper détruire matar golpear destruir",
+    THREAT: "kill kills killed killing hurt hurts hurting destroy destroys destroyed destroying beat beats beating shoot shoots shooting stab stabs stabbed stabbing "
+            "murder murders murdered murdering töten töte tötet getötet umbringen umbringe umbringt ermorden ermorde ermordet schlagen schlage schlägt verprügeln verprügele "
+            "tuer tue tuerai tuera tuerons frapper frappe frapperai frappera détruire détruirai détruira assassiner assassine "
+            "matar mato mata mataré matará matamos golpear golpeo golpearé golpeará destruir destruyo destruiré destruirá asesinar asesinaré",
     TARGET: "you your yours he him his she her they them their du dich dir dein ihr euch tu te toi vous ton votre tú ti usted ustedes vosotros",
     NEGATION: "not no never nobody nicht kein keine nie pas jamais aucun nunca jamás ningún",
     REPORT: "said says say told quoted called claimed wrote sagte sagt nannte schrieb dit disait écrit dijo dice escribió",
@@ -110,13 +116,12 @@ class Lexicon(dict):
         self.fixed = {w: (c, THREAT_WEIGHT if c == THREAT else 0.0, w) for c, ws in WORDS.items() for w in ws.split()}
 
     def __missing__(self, word: str) -> tuple[int, float, str] | None:
-        node, found = self.trie, None
-        for letter in f"{word}$":
+        node, found = self.trie, self.fixed.get(word)
+        for letter in "" if found else f"{word}$":
             node = node.get(letter)
             if node is None:
                 break
             found = node.get("", found)
-        found = found or self.fixed.get(word)
         if len(self) >= MEMO:
             self.clear()
         self[word] = found
@@ -151,27 +156,40 @@ def features(text: str | None, lexicon: Lexicon, machine: Transducer) -> list[fl
     return [max(scores), float(np.log1p(total)), total / np.sqrt(len(words) + 10.0), float(np.log1p(len(stems)))]
 
 
-def stems_of(text: str) -> set[str]:
-    """Beginnings of the words of a text, and the words with an end mark."""
-    found = set()
-    for word in set(_WORDS.findall(text.lower())):
-        found.update(word[:k] for k in range(LEAST_STEM, min(len(word), LONGEST_STEM) + 1))
-        if len(word) <= LONGEST_STEM:
-            found.add(f"{word}$")
-    return found
+def whole_words(text: str) -> set[str]:
+    """The words of a text with an end mark."""
+    return {f"{w}$" for w in _WORDS.findall(text.lower()) if len(w) <= LONGEST_WORD}
 
 
-def _counting(batches):
-    """Document frequencies of stems in a task."""
-    toxic, other = Counter(), Counter()
-    for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            (toxic if label else other).update(stems_of(text))
-    names = list(toxic.keys() | other.keys())
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.string()), pa.array([toxic[n] for n in names], pa.int64()), pa.array([other[n] for n in names], pa.int64())],
-        names=["stem", "toxic", "other"],
-    )
+def beginnings(text: str, known: Container[str]) -> set[str]:
+    """Beginnings of the words of a text that are not known."""
+    words = {w for w in _WORDS.findall(text.lower()) if f"{w}$" not in known}
+    return {w[:k] for w in words for k in range(LEAST_STEM, min(len(w) - 1, LONGEST_STEM) + 1)}
+
+
+def _counting(stems_of: Callable[[str], set[str]]) -> Callable:
+    def run(batches):
+        """Document frequencies of stems in a task."""
+        toxic, other = Counter(), Counter()
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                (toxic if label else other).update(stems_of(text))
+        names = list(toxic.keys() | other.keys())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array([toxic[n] for n in names], pa.int64()), pa.array([other[n] for n in names], pa.int64())],
+            names=["stem", "toxic", "other"],
+        )
+
+    return run
+
+
+def _weighed(sample: DataFrame, stems_of: Callable[[str], set[str]], n_toxic: int, n_other: int) -> dict[str, float]:
+    """Stems that toxic documents hold more often than others by far: at most ``STEMS``."""
+    counted = sample.mapInArrow(_counting(stems_of), "stem string, toxic long, other long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("other") + 0.5) / (n_other + 1.0))
+    weight = odds - CAUTION * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
+    best = counted.where(F.col("toxic") >= LEAST_TOXIC).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
+    return {row["stem"]: row["weight"] for row in best.orderBy(F.desc("weight"), "stem").limit(STEMS).select("stem", "weight").collect()}
 
 
 class Model:
@@ -204,11 +222,8 @@ def learned(texts: DataFrame) -> Model:
     n = {row["toxic"]: row["count"] for row in sample.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return NOTHING_LEARNED
-    counted = sample.mapInArrow(_counting, "stem string, toxic long, other long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    odds = F.log((F.col("toxic") + 0.5) / (n[True] + 1.0)) - F.log((F.col("other") + 0.5) / (n[False] + 1.0))
-    weight = odds - CAUTION * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
-    best = counted.where(F.col("toxic") >= LEAST_TOXIC).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
-    stems = {row["stem"]: row["weight"] for row in best.orderBy(F.desc("weight"), "stem").limit(STEMS).select("stem", "weight").collect()}
+    words = _weighed(sample, whole_words, n[True], n[False])
+    stems = words | _weighed(sample, lambda t: beginnings(t, words), n[True], n[False])
     rows = add_columns(sample, [F.col("text")], ", ".join(f"f{k} double" for k in range(FEATURES)), lambda: _featuring(stems), ["toxic"])
     table: pd.DataFrame = rows.toPandas()  # SAMPLE rows of numbers at most
     weights, bias = _logistic(table[[f"f{k}" for k in range(FEATURES)]].to_numpy(), table["toxic"].to_numpy().astype(float))
