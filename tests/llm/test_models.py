@@ -100,17 +100,17 @@ def test_clean_sentences_stay_clean(spark):
 
 def test_beginnings_do_not_inherit_from_words(spark):
     """Weights against counts in plain Python; a fixed word keeps its class."""
-    toxic = [f"pathetic path number {k}" for k in range(12)] + [f"grumblex{c} here" for c in "abcdefghijkl"]
-    other = [f"path and pathway number {k}" for k in range(12)] + [f"grumpy said {k}" for k in range(12)]
+    toxic = [f"pathetic path number {k}" for k in range(60)] + [f"grumblex{a}{b} here" for a in "abcdefghij" for b in "abcdef"]
+    other = [f"path and pathway number {k}" for k in range(60)] + [f"grumpy said {k}" for k in range(60)]
     rows = [(t, 1) for t in toxic] + [(t, 0) for t in other]
     model = toxicity.learned(spark.createDataFrame(rows, "text string, toxic int"))
 
     def weight(bad, good):
-        return np.log((bad + 0.5) / 25) - np.log((good + 0.5) / 25) - toxicity.CAUTION * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+        return np.log((bad + 0.5) / 121) - np.log((good + 0.5) / 121) - toxicity.CAUTION * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
 
     stems = {s for s in model.stems if s[:2] in ("pa", "gr")}
     assert stems == {"pathetic$", "grumb", "grumbl", "grumble", "grumblex"}
-    assert model.stems["pathetic$"] == pytest.approx(weight(12, 0)) == pytest.approx(model.stems["grumble"])
+    assert model.stems["pathetic$"] == pytest.approx(weight(60, 0)) == pytest.approx(model.stems["grumble"])
     lexicon = toxicity.Lexicon({"disai": 3.0, "kil": 3.0})
     assert lexicon["disait"][0] == toxicity.REPORT and lexicon["killing"][0] == toxicity.THREAT and lexicon["kilt"][0] == toxicity.INSULT
 
