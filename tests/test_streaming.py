@@ -55,8 +55,10 @@ def test_change_stream(spark, tmp_path):
             translate_events(events, ["/r"]), store, str(tmp_path / "progress"), available_now=True, rebuild=rebuild, rescan=rescan, now=lambda: NOW
         )
         query.awaitTermination()
+        names.add(f"changes-{query.id}")
         return sorted(r["path"] for r in store.read().collect())
 
+    names = set()
     drop(feed, "1.json", event(1, "create", "/r/notes.txt"))
     assert run() == ["/home/app", "/r/notes.txt"]
     drop(feed, "2.json", event(2, "remove", "/r/notes.txt"), event(3, "create", "/r/b"))
@@ -67,9 +69,10 @@ def test_change_stream(spark, tmp_path):
     drop(feed, "4.json", event(6, "overflow", "/"))
     assert run() == ["/home/fresh", "/r/scanned"] and calls == ["rebuild", "rescan"]
     assert store.current().number == version + 2 and store.current().last_indexed == NOW
-    # A batch that comes again changes nothing.
+    # A batch of the feed that comes again changes nothing; the feed has one name over all runs from its checkpoint.
+    (name,) = names
     again = spark.createDataFrame([(9, "Created", "/r/late", False, 1, "files")], "seq long, kind string, path string, is_dir boolean, size long, source string")
-    assert apply_batch(store, again, 3) is False and store.current().number == version + 2
+    assert apply_batch(store, again, 3, feed=name) is False and store.current().number == version + 2
 
 
 def test_stream_equals_batch(spark, tmp_path):
