@@ -13,6 +13,8 @@ COLUMNS = (
     "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string, score string, size string, "
     "spans string, shard string, items string, `a.b` string"
 )
+#: Names that operators use within, or could; a column of such a name is a column like others.
+WITHIN = ("mark", "_mark", "_part", "_rank", "_text", "_removed", "_source", "_items", "_blank", "_url", "_doc", "_cell", "_block", "_start", "split", "_id")
 
 
 def lower(text: str | None) -> str:
@@ -21,7 +23,14 @@ def lower(text: str | None) -> str:
 
 def table(spark, rows):
     """Documents (doc_id, text, lang, source) with extra columns whose names the operators use too."""
-    return spark.createDataFrame([(*r, len(r[1] or ""), *("x",) * 8) for r in rows], COLUMNS)
+    columns = ", ".join([COLUMNS, *(f"{c} string" for c in WITHIN)])
+    return spark.createDataFrame([(*r, len(r[1] or ""), *("x",) * 8, *(f"{c} of {r[0]}" for c in WITHIN)) for r in rows], columns)
+
+
+def keeps_columns(found, but=()):
+    """Every row of ``found`` has the values of ``table`` in the columns that operators use within."""
+    rows = found.collect()
+    return bool(rows) and all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in WITHIN if c not in but)
 
 
 def sentence(n: int, seed: int, vocabulary: int = 400) -> str:

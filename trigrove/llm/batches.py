@@ -21,6 +21,16 @@ def others(df: DataFrame, taken: Iterable[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in names]
 
 
+def packed(columns: Sequence[str]) -> Column:
+    """The columns as one struct ``_doc``: whatever their names are, they clash with none of an operator's own."""
+    return F.struct(*[named(c) for c in columns] or [F.lit(None).cast("string").alias("none")]).alias("_doc")
+
+
+def unpacked(columns: Sequence[str]) -> list[Column]:
+    """The columns out of ``packed(columns)``, under their own names."""
+    return [F.col("_doc").getField(c).alias(c) for c in columns]
+
+
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32 of an id as text, modulo ``by``; of the empty text for no id."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(by))

@@ -9,7 +9,8 @@ Texts are read once and never shuffled. The items come in blocks of about ``BLOC
 texts for each, so that what a task holds of them is bounded however many there are.
 
 Defined results: a null or empty text has no words and is not contaminated; an item without words has no
-phrase; of items with equal ids each counts, the id once; an item without id marks words but is not listed.
+phrase; of items with equal ids each counts, the id once; an item without id marks words but is not listed; equal
+documents get equal results; a column of ``docs`` named like a made one gives way, any other keeps its value.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trigrove.llm import words as W
-from trigrove.llm.batches import add_columns
+from trigrove.llm.batches import add_columns, named, others, packed, unpacked
 from trigrove.llm.fmindex import FMIndex
 
 WINDOW = 13
@@ -180,16 +181,14 @@ def contamination(
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    found = docs
+    made = ["n_words", "hit_spans", "hit_words", "items"]
+    kept = [c for c in others(docs, made) if keep is None or c in keep]
+    found = docs.select(packed(kept), named(text).cast("string").alias("_text"))
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         phrases = Phrases(part.toPandas(), window)
-        more = keep if blocks == 1 else None
-        before = found
-        found = add_columns(
-            before if k == 0 else before.withColumnsRenamed({n: f"_{n}" for n in ("hit_spans", "hit_words", "items")}),
-            [F.col(text).cast("string")], FOUND, lambda phrases=phrases: _work(phrases), more,
-        )
+        before = found.withColumnsRenamed({n: f"_{n}" for n in made[1:]})
+        found = add_columns(before, [F.col("_text")], FOUND, lambda phrases=phrases: _work(phrases), None if k + 1 < blocks else [c for c in before.columns if c != "_text"])
         if k:
             found = found.withColumns(
                 {
@@ -198,9 +197,7 @@ def contamination(
                     "items": F.array_sort(F.array_union("_items", "items")),
                 }
             ).drop("_hit_spans", "_hit_words", "_items")
-    if blocks > 1 and keep is not None:
-        found = found.select(*[c for c in keep if c in found.columns and c not in ("n_words", "hit_spans", "hit_words", "items")], "n_words", "hit_spans", "hit_words", "items")
-    return found
+    return found.select(*unpacked(kept), *made)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ in SQL functions; the sources themselves (rows of weights) pass through one task
 
 Defined results: null and empty texts have size 0, are taken as often as the passes reach them and add no
 words; a null source is a source, the last; equal rows are documents of their own; no words at all gives
-targets of 0 and takes nothing.
+targets of 0 and takes nothing; a column of ``docs`` named like a made one gives way, any other keeps its value.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trigrove.llm.batches import named, others
+from trigrove.llm.batches import named, others, packed, unpacked
 
 #: (mean weight, ramp) of the sources in order of their names, again from the front after the last. A ramp of
 #: -0.5 starts at 1.5 times the mean weight and ends at half of it.
@@ -72,14 +72,12 @@ def _position(words: Column, target: Column, ramp: Column) -> Column:
     return 2 * part / (flat + F.sqrt(flat * flat + 4 * ramp * part))
 
 
-def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None, cycle=CYCLE) -> DataFrame:
-    """The kept columns of ``docs`` with ``size``, ``source_size``, ``target``, ``copies``, ``taken`` and ``first_position``
-    (null if no copy is taken), one row per document. One shuffle of the kept columns."""
-    kept = [c for c in others(docs, MADE) if keep is None or c in keep]
+def _taken(docs: DataFrame, kept: list[str], doc_id: str, text: str, source: str, cycle) -> DataFrame:
+    """``_doc`` (the kept columns), the made columns, and ``_start``, ``_ramp`` for the copies' positions."""
     shuffled = F.md5(F.coalesce(named(doc_id).cast("string"), F.lit("")))
     rows = docs.select(
         n_words(named(text).cast("string")).alias("size"), _key(named(source).cast("string")).alias("_source"),
-        named(source).cast("string").alias("_name"), shuffled.alias("_order"), *[named(c) for c in kept],
+        named(source).cast("string").alias("_name"), shuffled.alias("_order"), packed(kept),
     ).withColumn("_block", F.substring("_order", 1, BLOCK_DIGITS))
     by_block = rows.groupBy("_source", "_block").agg(F.sum("size").alias("_words"), F.max("_name").alias("source"))
     per_source = targets(by_block.groupBy("_source", "source").agg(F.sum("_words").alias("source_size")).select("source", "source_size"), cycle)
@@ -98,16 +96,20 @@ def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
         .withColumn("taken", F.col("copies") * F.col("size"))
         .withColumn("first_position", F.when(F.col("copies") > 0, _position(F.col("_start") + F.col("size") / 2, F.col("target"), F.col("ramp"))))
     )
-    return taken.select(*[named(c) for c in kept], *MADE, F.col("_start"), F.col("ramp").alias("_ramp"))
+    return taken.select("_doc", *MADE, "_start", F.col("ramp").alias("_ramp"))
+
+
+def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None, cycle=CYCLE) -> DataFrame:
+    """The kept columns of ``docs`` with ``size``, ``source_size``, ``target``, ``copies``, ``taken`` and ``first_position``
+    (null if no copy is taken), one row per document. One shuffle of the kept columns."""
+    kept = [c for c in others(docs, MADE) if keep is None or c in keep]
+    return _taken(docs, kept, doc_id, text, source, cycle).select(*unpacked(kept), *MADE)
 
 
 def curriculum(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", cycle=CYCLE) -> DataFrame:
     """The columns of ``docs``, a row for each taken copy, in order of training position (range partitions, sorted within)."""
-    wrapped = docs.select(
-        F.struct(*[named(c) for c in docs.columns]).alias("_doc"), named(doc_id).alias("_id"), named(text).alias("_text"), named(source).alias("_from")
-    )
-    taken = mixed(wrapped, doc_id="_id", text="_text", source="_from", keep=["_doc", "_id"], cycle=cycle).where("copies > 0")
+    taken = _taken(docs, docs.columns, doc_id, text, source, cycle).where("copies > 0")
     copies = taken.withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     middle = F.col("_pass") * F.col("source_size") + F.col("_start") + F.col("size") / 2
-    placed = copies.select("_doc", "_id", _position(middle, F.col("target"), F.col("_ramp")).alias("_position"))
-    return placed.repartitionByRange("_position", "_id").sortWithinPartitions("_position", "_id").select("_doc.*")
+    placed = copies.select("_doc", F.col("_doc").getField(doc_id).alias("_id"), _position(middle, F.col("target"), F.col("_ramp")).alias("_position"))
+    return placed.repartitionByRange("_position", "_id").sortWithinPartitions("_position", "_id").select(*unpacked(docs.columns))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trigrove.llm import words as W
-from trigrove.llm.batches import named, others
+from trigrove.llm.batches import named, packed, unpacked
 from trigrove.llm.components import components
 from trigrove.plans.shared import written
 
@@ -378,7 +378,7 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """``docs`` with one row of each group of near-duplicates; rows without shingles all stay."""
     found = NearDuplicates(docs, doc_id=doc_id, text=text, width=width, percent=percent).grouped()
     stay = found.where(F.col("id").eqNullSafe(F.col("group"))).select(F.col("mark").alias("_mark"), (F.col("n") == 0).alias("_blank")).distinct()
-    marked = docs.withColumn("_mark", _mark(docs, doc_id, text))
+    marked = docs.select(packed(docs.columns), _mark(docs, doc_id, text).alias("_mark"))
     kept = marked.join(stay, "_mark")
     first = kept.where("not _blank").dropDuplicates(["_mark"])
-    return first.unionByName(kept.where("_blank")).select(*[named(c) for c in others(docs, [])])
+    return first.unionByName(kept.where("_blank")).select(*unpacked(docs.columns))

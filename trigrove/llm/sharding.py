@@ -10,7 +10,7 @@ Random numbers are hashes of the seed, so a task that runs again, after its exec
 The matrix has ``MOST_CELLS`` columns and as many rows at most; it is the only thing that passes through few tasks.
 
 Defined results: null ids and texts are values like others; equal rows are rows of their own and may change
-places; an empty table gives no rows.
+places; an empty table gives no rows; a column of ``docs`` named like a made one gives way, any other keeps its value.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trigrove.llm.batches import named, others
+from trigrove.llm.batches import named, others, packed, unpacked
 
 SHARDS = 16
 ROWS_PER_CELL = 1 << 12
@@ -178,7 +178,7 @@ def sharded(
     firsts = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda s: F.element_at("_ends", (s * per_shard).cast("int")))
     cuts = matrix(counts, parts, cells, seed).select(F.col("part").alias("_part"), ends.alias("_ends")).withColumn("_shard_ends", firsts)
     rows = docs.select(
-        (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), mark.alias("_mark"), *[named(c) for c in kept]
+        (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), mark.alias("_mark"), packed(kept)
     ).withColumn("_part", F.pmod(F.col("_mark"), F.lit(parts)))
     local = Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed + 1), "_mark"), "_mark")
     ranked = rows.withColumn("_rank", F.row_number().over(local) - 1).join(cuts, "_part")
@@ -192,4 +192,4 @@ def sharded(
         at += size
     again = Window.partitionBy("_cell").orderBy(F.xxhash64(F.lit(seed + 2), "_mark"), "_mark")
     offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_cell") + 1)
-    return sent.withColumn("slot", F.row_number().over(again) - 1 + offset).select(*[named(c) for c in kept], *made)
+    return sent.withColumn("slot", F.row_number().over(again) - 1 + offset).select(*unpacked(kept), *made)

@@ -155,6 +155,7 @@ def _judging(rules, globs):
             verdicts = np.where(rule < 0, np.where(blocked, "block", "allow"), np.array([*(a for a, _, _ in rules), ""], object)[rule])
             fitting = [[globs[j] for j in np.flatnonzero(row)] if any_ else [] for row, any_ in zip(met, blocked.tolist(), strict=True)]
             return [
+                hosts, paths,
                 pa.array([names[k] if k >= 0 else None for k in rule.tolist()], pa.string()), pa.array(verdicts.tolist(), pa.string()),
                 pa.array(fitting, pa.list_(pa.string())),
             ]
@@ -177,9 +178,5 @@ def path(url: Column) -> Column:
 def judged(pages: DataFrame, *, url: str = "url", rules=RULES, globs=BLOCKED, keep: list[str] | None = None) -> DataFrame:
     """The kept columns of ``pages`` with ``host``, ``path``, ``rule`` (null if none fits), ``verdict`` and ``globs`` (those that fit)."""
     text = named(url).cast("string")
-    found = add_columns(
-        pages.withColumn("_url", text), [host(F.col("_url")), path(F.col("_url"))], "rule string, verdict string, globs array<string>",
-        _judging(rules, globs), [*(pages.columns if keep is None else keep), "_url"],
-    )
-    kept = [c for c in found.columns if c.lower() not in ("_url", "host", "path", "rule", "verdict", "globs")]
-    return found.select(*[named(c) for c in kept], host(F.col("_url")).alias("host"), path(F.col("_url")).alias("path"), "rule", "verdict", "globs")
+    schema = "host string, path string, rule string, verdict string, globs array<string>"
+    return add_columns(pages, [host(text), path(text)], schema, _judging(rules, globs), keep)
