@@ -86,9 +86,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document; shards differ by one row at most."""
-    found = sharding.sharded(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    found = sharding.sharded(table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+    body = F.coalesce("text", F.lit(""))  # of the text that came to the shard
     return found.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
+        "doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
