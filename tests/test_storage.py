@@ -147,7 +147,29 @@ def test_click_log(spark, tmp_path):
     clicks, bad = clicklog.read_clicks(spark, path)
     got = {r["selected_id"]: r for r in clicks.collect()}
     assert set(got) == {"123", BIG} and got[BIG]["context"]["cwd"] == "/x"
-    assert sorted(r["value"] for r in bad.collect()) == ["[1]", "broken {"]
+    assert sorted((r["line"], r["value"]) for r in bad.collect()) == [(4, "broken {"), (5, "[1]")]
+
+
+def test_line_numbers_over_blocks(spark, tmp_path):
+    """Files that are read in many blocks, and blocks of several files that one task reads."""
+    wanted = set()
+    for name, n in (("long", 5_000), ("middle", 900), ("one", 1), ("none", 0)):
+        lines = ["" if k % 11 == 0 else f"broken {name} {k}" if k % 97 == 0 else '{"query":"q","selected_id":5}' + " " * (k % 50) for k in range(1, n + 1)]
+        (tmp_path / f"{name}.jsonl").write_text("".join(f"{v}\n" for v in lines))
+        wanted |= {(name, k, v) for k, v in enumerate(lines, 1) if v.startswith("broken")}
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (4096, 1 << 27):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 16)
+            placed = clicklog.placed_lines(spark, str(tmp_path))
+            assert (placed.select("file", "block").distinct().count() > 40) == (size == 4096)
+            _, bad = clicklog.read_clicks(spark, str(tmp_path))
+            found = [(r["file"].rsplit("/", 1)[1].removesuffix(".jsonl"), r["line"], r["value"]) for r in bad.collect()]
+            assert len(found) == len(wanted) and set(found) == wanted
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
 
 
 def test_requests(spark):

@@ -11,6 +11,7 @@ from trigrove.plans.search import search
 from trigrove.sources.clicklog import read_clicks
 from trigrove.sources.snapshot import VersionedTable
 from trigrove.streaming.changes import apply_batch, stream_changes, translate_events
+from trigrove.streaming.coalesce import CHANGE, coalesced, drain
 from trigrove.streaming.clicks import ClickStores, record_batch, stream_clicks
 from trigrove.streaming.queries import stream_queries
 
@@ -26,6 +27,24 @@ def event(seq, kind, path, new_path=None, source="files"):
     return {"seq": seq, "kind": kind, "path": path, "new_path": new_path, "is_dir": False, "size": 1, "source": source}
 
 
+def test_changes_of_a_path_over_several_batches_leave_once(spark, tmp_path):
+    feed = tmp_path / "feed"
+    row = lambda seq, kind, path, source="files": {"seq": seq, "kind": kind, "path": path, "is_dir": False, "size": seq, "source": source}
+    drop(feed, "1.json", row(1, "Created", "/r/a"), row(2, "Created", "/r/b"), row(4, "Modified", "/r/a"))
+    drop(feed, "2.json", row(3, "Removed", "/r/a"), row(5, "Removed", "/r/b"), row(6, "Modified", "/r/b", "catalog"))
+    drop(feed, "3.json", row(7, "Created", "/r/b"), row(8, "Created", "/r/c"))
+    changes = spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", 1).json(str(feed))
+    sink = str(tmp_path / "sink")
+    query = (
+        coalesced(changes, 15_000).writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / "progress"))
+        .trigger(processingTime="100 milliseconds").start()
+    )
+    drain(query)
+    assert sum(p["numInputRows"] > 0 for p in query.recentProgress) == 3
+    found = sorted((r["seq"], r["kind"], r["path"], r["size"], r["source"]) for r in spark.read.parquet(sink).collect())
+    assert found == [(4, "Modified", "/r/a", 4, "files"), (6, "Modified", "/r/b", 6, "catalog"), (7, "Created", "/r/b", 7, "files"), (8, "Created", "/r/c", 8, "files")]
+
+
 def test_renames_become_two_changes(spark):
     rows = spark.createDataFrame(
         [(1, "rename", "/r/old", "/r/new", False, 1, "files"), (2, "rename", "/r/only", None, False, 1, "files"), (3, "access", "/r/x", None, False, 1, "files"),

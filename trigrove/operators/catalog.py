@@ -106,14 +106,14 @@ def distinct_roots(roots: DataFrame, home: str | None = None, caseless: bool = F
     return known.join(inner, "key", "left_anti").select("path")
 
 
-def _path_key(column: str, profile: Profile) -> Column:
+def path_key(column: str, profile: Profile) -> Column:
     """A path as compared: clean, and in the windows dialect with "/" between components and without case."""
     path = F.col(column)
     return paths.clean(F.lower(F.translate(path, "\\", "/")) if profile.caseless_paths else path)
 
 
 def _subtree_ids(catalog: DataFrame, removed: DataFrame, profile: Profile) -> DataFrame:
-    key = lambda c: _path_key(c, profile)
+    key = lambda c: path_key(c, profile)
     gone = removed.select(key("path").alias("key")).distinct()
     whole = catalog.select("id", key("path").alias("path"), "entry_type")
     above = paths.ancestors(F.col("path"))
@@ -166,7 +166,7 @@ def file_rows(listing: DataFrame, profile: Profile = UNIX) -> DataFrame:
 
 def coalesce_changes(changes: DataFrame, profile: Profile = UNIX) -> DataFrame:
     """Latest change of each path in a batch."""
-    return first_by(changes, [_path_key("path", profile) if profile.caseless_paths else F.col("path")], [F.desc("seq")])
+    return first_by(changes, [path_key("path", profile) if profile.caseless_paths else F.col("path")], [F.desc("seq")])
 
 
 def apply_changes(
@@ -187,7 +187,7 @@ def apply_changes(
     """
     from trigrove.sources.desktop import desktop_entries
 
-    key = _path_key("path", profile)
+    key = path_key("path", profile)
     clear = drop_subtrees(catalog, changes.where("kind in ('Removed', 'Created')").select("path"), profile)
     keyed = changes.withColumn("key", key)
     kept = clear.withColumn("key", key).join(keyed.select("key").distinct(), "key", "left_anti").select(*COLUMNS)

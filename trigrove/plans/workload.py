@@ -25,6 +25,7 @@ from trigrove.plans.stored import StoredIndex
 from trigrove.sources import clicklog, desktop, files, fixed, requests, snapshot, treemodel
 from trigrove.streaming.changes import apply_batch, stream_changes, translate_events
 from trigrove.streaming.clicks import ClickStores, stream_clicks
+from trigrove.streaming.coalesce import coalesced, drain
 from trigrove.streaming.queries import stream_queries
 
 MOST = 100
@@ -755,7 +756,7 @@ def gbt_train(spark, sf):
     return both.select("query_id", "id", agree.alias("agree"))
 
 
-def _event_lines(spark: SparkSession, sf: str) -> DataFrame:
+def _event_lines(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     """Every event as a line of a click log: errors are cut short, sign-ups are blank, ids are big numbers."""
     events = T.read(spark, sf, "events")
     whole = F.concat(
@@ -767,7 +768,8 @@ def _event_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("event_type") == "error", F.substring(whole, 1, 30))
         .when(F.col("event_type") == "signup", F.lit("  "))
         .otherwise(whole)
-        .alias("value")
+        .alias("value"),
+        *keep,
     )
 
 
@@ -778,6 +780,16 @@ def malformed_log(spark, sf):
     return good.unionByName(parsed.where("json is null").select(F.lit("malformed").alias("kind"), "value"))
 
 
+@registered
+def malformed_lines(spark, sf):
+    """Event lines as eight log files, an event's by the remainder of its id; every malformed line with its number in its file."""
+    folder = new_folder(spark, "log")
+    lines = _event_lines(spark, sf, "event_id").withColumn("log", F.pmod("event_id", F.lit(8)))
+    lines.repartition(8, "log").sortWithinPartitions("log", "event_id").select("log", "value").write.partitionBy("log").text(folder)
+    _, bad = clicklog.read_clicks(spark, folder)
+    return bad.select(F.regexp_extract("file", r"/log=(\d)/", 1).cast("long").alias("log"), "line", "value")
+
+
 @registered
 def request_rows(spark, sf):
     """Event lines as requests, of purchases without their id: queries, clicks and errors."""
@@ -832,6 +844,19 @@ def stream_changes_catalog(spark, sf):
     return _changed(store.read())
 
 
+@registered
+def change_stream_coalesced(spark, sf):
+    """The page changes as a stream on a processing-time trigger, two files of eight at a time: the latest of each path of what its timers sent on."""
+    pages, folder = T.read(spark, sf, "pages"), new_folder(spark, "pages")
+    pages.repartition(8, "page_id").write.parquet(folder)  # changes of a path come in several micro-batches
+    feed = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    changes = page_changes(feed).withColumn("source", F.lit("files"))
+    sink = new_folder(spark, "coalesced")
+    run = coalesced(changes, 1_000).writeStream.format("parquet").option("path", sink).option("checkpointLocation", new_folder(spark, "progress"))
+    drain(run.trigger(processingTime="500 milliseconds").start(), 600)
+    return K.coalesce_changes(spark.read.parquet(sink)).drop("source")
+
+
 @registered
 def feed_restarted(spark, sf):
     """Two runs of the change feed on one store, each with a checkpoint folder of its own, so that both number their batches from 0."""

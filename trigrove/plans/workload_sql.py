@@ -266,7 +266,7 @@ UNION ALL SELECT id + {500 * ID_RANGE}, 'App', name, 'new/' || path, id + {500 *
 """
 _part_line = """'{"query":"' || event_type || '","selected_id":1844674407' || lpad(event_id::VARCHAR, 10, '0') || ',"selected_name":"x","timestamp":' ||
  floor(epoch_us(ts) / 1000000)::BIGINT || ',"rank_position":1}'"""
-PARTS["lines"] = f"SELECT event_type, '1844674407' || lpad(event_id::VARCHAR, 10, '0') AS big_id, substring({_part_line}, 1, 30) AS cut FROM events"
+PARTS["lines"] = f"SELECT event_id, event_type, '1844674407' || lpad(event_id::VARCHAR, 10, '0') AS big_id, substring({_part_line}, 1, 30) AS cut FROM events"
 
 
 def _aliases(name: str) -> str:
@@ -387,6 +387,7 @@ SQL: dict[str, str] = {
     "subtree_delete": f"""WITH gone AS (SELECT DISTINCT {parent('path')} AS path FROM catalog WHERE entry_type = 'File' AND ends_with(path, '.html'))
       SELECT id, path FROM catalog c WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE {under('c.path', 'g.path')})""",
     "change_coalesce": "SELECT seq, kind, path, is_dir, size FROM latest",
+    "change_stream_coalesced": "SELECT seq, kind, path, is_dir, size FROM latest",
     "apply_changes": "SELECT * FROM changed",
     "shortcut_catalog": f"""SELECT p_name || ' ' || p_partkey AS name, '/menu/' || p_type || '/' || replace(p_brand, '#', '-') || '/' || p_name || ' ' || p_partkey || '.lnk' AS path,
       p_type AS category, replace(p_brand, '#', '-') || coalesce('|' || {_initials("p_name || ' ' || p_partkey")}, '') AS tags FROM part""",
@@ -403,6 +404,8 @@ SQL: dict[str, str] = {
     "click_log_round_trip": "SELECT label, count(*) AS n, round(sum(frecency), 3) AS frecency FROM labelled GROUP BY label",
     "malformed_log": """SELECT 'click' AS kind, big_id AS value FROM lines WHERE event_type NOT IN ('error', 'signup')
       UNION ALL SELECT 'malformed', cut FROM lines WHERE event_type = 'error'""",
+    "malformed_lines": """SELECT event_id % 8 AS log, line, cut AS value FROM (
+      SELECT *, row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) AS line FROM lines) WHERE event_type = 'error'""",
     "request_rows": """SELECT CASE event_type WHEN 'error' THEN 'invalid request' WHEN 'purchase' THEN 'query' ELSE 'click' END AS kind,
       CASE event_type WHEN 'error' THEN cut WHEN 'purchase' THEN event_type ELSE big_id END AS value FROM lines WHERE event_type <> 'signup'""",
     "tree_text_read": """SELECT s_nationkey::INT AS split_feature, (s_suppkey + 0.25)::DOUBLE AS threshold, s_suppkey::DOUBLE AS leaf_value, 2 AS n_nodes FROM supplier""",

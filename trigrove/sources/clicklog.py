@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LINE = "string"
@@ -32,14 +32,37 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return kept.withColumn("json", F.when(is_object, parsed))
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, file, block, place)`` of every line at ``path``: its file, where the block that it was read in starts, and a number
+    that grows from line to line of a block."""
+    return spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")
+    )
+
+
+def with_line_numbers(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``rows``, some of the placed lines ``lines``, with ``line``: the number in its file, from 1, blank lines counted.
+
+    A file is read in blocks by many tasks, and none knows what lies before its own. Lines are counted for each block, partly
+    before the shuffle; the counts of the earlier blocks of the file, one row for each block, give the number of the first line. Of
+    the lines themselves only ``rows`` are shuffled. Numbers in a block start anywhere, as a task reads several blocks.
+    """
+    blocks = lines.groupBy("file", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    numbered = rows.join(starts, ["file", "block"]).withColumn("line", F.col("before") + F.col("place") - F.col("first") + 1)
+    return numbered.drop("block", "place", "first", "before")
+
+
 def read_clicks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(clicks, malformed)`` of the log files at ``path``; blank lines are in neither.
 
-    Malformed lines keep their file and text.
+    Malformed lines keep their file, number in it and text.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = placed_lines(spark, path)
     parsed = parse_lines(lines)
-    return clicks_of(parsed), parsed.where("json is null").select("file", "value")
+    bad = with_line_numbers(parsed.where("json is null").drop("json"), lines)
+    return clicks_of(parsed), bad.select("file", "line", "value")
 
 
 def _get(path: str, kind: str):
