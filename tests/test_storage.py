@@ -9,6 +9,7 @@ from trigrove.operators import training as L
 from trigrove.operators.catalog import merge_last, replace_catalog, replace_files
 from trigrove.operators.index import LookupTables
 from trigrove.plans.build import build_catalog
+from trigrove.plans.fresh import Served, search_version, serve
 from trigrove.plans.search import search
 from trigrove.plans.shared import shared_folder
 from trigrove.sources import clicklog, requests, snapshot, treemodel
@@ -218,3 +219,21 @@ def test_trained_model_and_its_text_agree(spark, tmp_path):
     treemodel.write_tree_model(spark, fitted.stages[-1], str(tmp_path / "text"))
     text = [r["score"] for r in treemodel.read_tree_model(spark, str(tmp_path / "text")).score(rows).orderBy("features").collect()]
     assert len(set(direct)) > 1 and direct == pytest.approx(text, abs=1e-6)
+
+
+def test_results_say_how_fresh_they_are(spark, tmp_path):
+    store = snapshot.VersionedTable(spark, str(tmp_path / "store"))
+    asked = queries(spark, "document")
+    with pytest.raises(snapshot.SnapshotError):
+        search_version(asked, store, now=NOW)
+    store.publish(catalog(spark, entry(1, "document")), NOW - 10)
+    first = search_version(asked, store, now=NOW)
+    store.publish(catalog(spark, entry(1, "document"), entry(2, "documents")), NOW - 1)
+    ticks = iter([5.0, 5.25])
+    served = serve(first, str(tmp_path / "first"), lambda: next(ticks))  # of the version that was there when they were asked for
+    assert served == Served(rows=1, stale_rows=1, catalog_version=1, latency_ms=250)
+    later = serve(search_version(asked, store, now=NOW), str(tmp_path / "later"))
+    assert (later.rows, later.stale_rows, later.catalog_version) == (2, 0, 2)
+    none = serve(search_version(queries(spark, "zzzz"), store, now=NOW), str(tmp_path / "none"))
+    assert (none.rows, none.stale_rows, none.catalog_version) == (0, 0, None)
+    assert "index_stale" in spark.read.parquet(str(tmp_path / "none")).columns

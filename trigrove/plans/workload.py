@@ -19,6 +19,7 @@ from trigrove.operators import usage as U
 from trigrove.operators.index import LookupTables
 from trigrove.plans import tables as T
 from trigrove.plans.build import build_catalog
+from trigrove.plans.fresh import search_version, serve
 from trigrove.plans.search import Steps, ranked_rows, retrieve
 from trigrove.plans.shared import new_folder, written
 from trigrove.plans.stored import StoredIndex
@@ -343,6 +344,30 @@ def windows_rank_top10(spark, sf):
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "id", six("score").alias("score"))
 
 
+@registered
+def windows_filtered_top10(spark, sf):
+    """The windows dialect with the class filter for files, which there comes before the ranking and has routes of its own."""
+    p = prepared(spark, sf)
+    tables = LookupTables.of(p.catalog, MOST, WINDOWS)
+    ranked = ranked_rows(p.queries, tables, p.usage, now=T.NOW, profile=WINDOWS, class_filter="Files")
+    return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "id", six("score").alias("score"))
+
+
+@registered
+def fresh_results(spark, sf):
+    """All queries answered from the second version of a stored catalog, indexed two seconds ago: each result says so."""
+    p = prepared(spark, sf)
+    store = snapshot.VersionedTable(spark, new_folder(spark, "store"))
+    store.publish(K.as_catalog(p.catalog).where("entry_type <> 'File'"), T.NOW - 9)
+    store.publish(K.as_catalog(p.catalog), T.NOW - 2)
+    folder = new_folder(spark, "answers")
+    served = serve(search_version(p.queries, store, p.usage, now=T.NOW, tables=p.tables), folder)
+    return spark.read.parquet(folder).select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "id", six("score").alias("score"), "catalog_version", "index_stale",
+        F.lit(served.rows).cast("long").alias("served"),
+    )
+
+
 # --- catalog ------------------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from trigrove.functions.text import KNOWN_ALIASES, SETTINGS_ALIASES, SETTINGS_NAMES
-from trigrove.model import FEATURES, UNIX_APP_GROUPS, UNIX_ROUTES, WINDOWS_ROUTES, WINDOWS_SETTING_WORDS, parse_app_groups, parse_routes
+from trigrove.model import FEATURES, UNIX_APP_GROUPS, UNIX_ROUTES, WINDOWS_CLASS_ROUTES, WINDOWS_ROUTES, WINDOWS_SETTING_WORDS, parse_app_groups, parse_routes
 from trigrove.plans.tables import ID_RANGE, NOW, SOURCES
 from trigrove.plans.workload import MOST, SEEN_APPS, SEEN_TYPES
 from trigrove.sources.fixed import UNIX_SETTINGS, WINDOWS_COMMANDS, WINDOWS_SETTINGS
@@ -361,6 +361,8 @@ SQL: dict[str, str] = {
              WHEN edit_distance::FLOAT <= 0.002::FLOAT THEN 2 ELSE -0.5 END
         + CASE WHEN file_type_popularity::FLOAT <= 0.1::FLOAT THEN -2 ELSE 0.75 END + 0.125 + CASE WHEN same_directory = 1 THEN 1.5 ELSE -1 END) / 4)), 6) AS score FROM ranked""",
     "windows_rank_top10": _TOP + "w_ranked",
+    "windows_filtered_top10": _TOP + "w_ranked",
+    "fresh_results": "SELECT query_id, rank, id, round(score, 6) AS score, 2::BIGINT AS catalog_version, true AS index_stale, count(*) OVER () AS served FROM ranked",
     "alias_tags": f"""SELECT id, unnest({_aliases('long_name')}) AS alias
       FROM (SELECT id, CASE WHEN entry_type = 'App' THEN concat_ws(' ', name, category) ELSE name END AS long_name FROM catalog)""",
     "tag_dedupe": f"""SELECT id, {_first_tags('all_tags', 'name')} AS tags FROM (SELECT id, name,
@@ -476,6 +478,14 @@ SELECT entry_type, substring(name, 1, 1) AS letter, count(*) AS n FROM (
 
 #: Parts that stand for others in some queries.
 INSTEAD: dict[str, dict[str, str]] = {
+    "windows_filtered_top10": {
+        "w_routes": " UNION ALL ".join(
+            f"SELECT text, intent, '{group}' AS entry_class, {'keyword' if source == 'keyword' else 'text'} AS search_text, {least}::DOUBLE AS least FROM w_intents"
+            for group, source, least in parse_routes(WINDOWS_CLASS_ROUTES)["Files"]
+        ),
+        "w_exact": PARTS["w_exact"].replace("(SELECT DISTINCT entry_class FROM entries)", "(SELECT 'File' AS entry_class)"),
+        "w_shown": PARTS["w_shown"].replace("FROM daily ORDER", "FROM daily WHERE id IN (SELECT id FROM catalog WHERE entry_type = 'File') ORDER"),
+    },
     "postings_one_query": {"asked": "SELECT 'one' AS query_id, 'smal widget' AS query"},
     "search_after_changes": {
         "catalog_before": PARTS["catalog"],
