@@ -20,7 +20,7 @@ from trigrove.operators.index import LookupTables
 from trigrove.plans import tables as T
 from trigrove.plans.build import build_catalog
 from trigrove.plans.fresh import search_version, serve
-from trigrove.plans.search import Steps, ranked_rows, retrieve
+from trigrove.plans.search import Steps, ranked_rows, retrieve, score_rows
 from trigrove.plans.shared import new_folder, written
 from trigrove.plans.stored import StoredIndex
 from trigrove.sources import clicklog, desktop, files, fixed, requests, snapshot, treemodel
@@ -336,6 +336,23 @@ def tree_ensemble_score(spark, sf):
     return scored.select("query_id", "id", six("score").alias("score"))
 
 
+@registered
+def scorer_choice(spark, sf):
+    """All shown results scored with what lies at three paths: a model, a model that is cut short, nothing. Ranking takes the model
+    that loads, else the formula; the check says which loads."""
+    rows = written(prepared(spark, sf).ranked().drop("score"), "ranked")
+    folder, scored = new_folder(spark, "models"), None
+    for name, kept in (("whole", FOUR_TREES), ("cut", FOUR_TREES[: FOUR_TREES.index("leaf_value")]), ("absent", None)):
+        path = f"{folder}/{name}"
+        if kept is not None:
+            spark.createDataFrame([(kept,)], "value string").coalesce(1).write.text(path)
+        found = score_rows(rows, treemodel.usable_model(spark, path)).withColumn("scorer", F.lit(name))
+        checked = treemodel.check_model(spark, path).select(F.lit(name).alias("scorer"), "valid", "trees")
+        found = found.join(checked, "scorer").select("query_id", "id", six("score").alias("score"), "scorer", "valid", "trees")
+        scored = found if scored is None else scored.unionByName(found)
+    return scored
+
+
 @registered
 def windows_rank_top10(spark, sf):
     p = prepared(spark, sf)

@@ -461,6 +461,11 @@ SELECT lower('C:\\' || replace(path, '/', '\\')), size FROM latest l
 SQL["carry_usage"] = "SELECT id, coalesce(access_count, 0) AS access_count, coalesce(last_accessed, 0) AS last_accessed FROM catalog LEFT JOIN usage ON entry_id = id"
 SQL["catalog_count"] = "SELECT count(*) AS entries FROM catalog"
 
+SQL["scorer_choice"] = f"""
+SELECT query_id, id, score, 'whole' AS scorer, true AS valid, 4::INT AS trees FROM ({SQL["tree_ensemble_score"]})
+UNION ALL SELECT query_id, id, round(score, 6), unnest(['cut', 'absent']), false, 0::INT FROM ranked
+"""
+
 
 def _known() -> str:
     rows = []
