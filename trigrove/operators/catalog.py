@@ -28,10 +28,10 @@ def catalog_order() -> Column:
     return F.struct(F.coalesce("generation", F.lit(0)).alias("generation"), F.coalesce("position", "id").alias("position"))
 
 
-def _after(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``new`` in generations that follow those of ``old``."""
-    last = old.agg(F.max(F.coalesce("generation", F.lit(0))).alias("last"))
-    return new.withColumn("generation", F.coalesce(last.scalar() + 1, F.lit(0)) + F.coalesce("generation", F.lit(0)))
+def _after(old: DataFrame, new: DataFrame, last: int | None = None) -> DataFrame:
+    """``new`` in generations that follow those of ``old``, the latest of which is ``last`` if it is known."""
+    following = F.lit(last + 1) if last is not None else old.agg(F.max(F.coalesce("generation", F.lit(0))).alias("last")).scalar() + 1
+    return new.withColumn("generation", F.coalesce(following, F.lit(0)) + F.coalesce("generation", F.lit(0)))
 
 
 def first_by(rows: DataFrame, keys: list, order: list) -> DataFrame:
@@ -40,10 +40,10 @@ def first_by(rows: DataFrame, keys: list, order: list) -> DataFrame:
     return rows.withColumn("first_place", place).where("first_place = 1").drop("first_place")
 
 
-def merge_last(old: DataFrame, new: DataFrame) -> DataFrame:
+def merge_last(old: DataFrame, new: DataFrame, last: int | None = None) -> DataFrame:
     """Both catalogs by id: the later row wins and takes the place of the earlier one."""
     kept = as_catalog(old)
-    rows = kept.unionByName(_after(kept, as_catalog(new))).withColumn("place", catalog_order())
+    rows = kept.unionByName(_after(kept, as_catalog(new), last)).withColumn("place", catalog_order())
     merged = rows.groupBy("id").agg(F.min("place").alias("place"), F.max_by(F.struct(*COLUMNS), "place").alias("row"))
     placed = ("position", "generation")
     return merged.select(*[F.col(f"place.{c}").alias(c) if c in placed else F.col(f"row.{c}").alias(c) for c in COLUMNS])
@@ -120,12 +120,13 @@ def _subtree_ids(catalog: DataFrame, removed: DataFrame, profile: Profile) -> Da
     if profile.name == "windows":
         above = F.when(F.col("entry_type") == "File", above).otherwise(F.array("path"))
     under = whole.select("id", F.explode(above).alias("key")).join(gone, "key").select("id")
-    sources = removed.select(
-        F.explode(
-            F.array(*[paths.stable_id(F.lit(t), F.col("path"), profile.caseless_paths) for t in ("App", "Setting")])
-        ).alias("id")
-    )
-    return under if profile.name == "windows" else under.unionByName(sources)
+    return under if profile.name == "windows" else under.unionByName(made_from(removed, profile))
+
+
+def made_from(files: DataFrame, profile: Profile = UNIX) -> DataFrame:
+    """Ids of the applications and settings that are made from files of these paths."""
+    ids = [paths.stable_id(F.lit(t), F.col("path"), profile.caseless_paths) for t in ("App", "Setting")]
+    return files.select(F.explode(F.array(*ids)).alias("id"))
 
 
 def drop_subtrees(catalog: DataFrame, removed: DataFrame, profile: Profile = UNIX) -> DataFrame:
@@ -169,28 +170,14 @@ def coalesce_changes(changes: DataFrame, profile: Profile = UNIX) -> DataFrame:
     return first_by(changes, [path_key("path", profile) if profile.caseless_paths else F.col("path")], [F.desc("seq")])
 
 
-def apply_changes(
-    catalog: DataFrame,
-    changes: DataFrame,
-    *,
-    listing: DataFrame | None = None,
-    desktop_files: DataFrame | None = None,
-    profile: Profile = UNIX,
+def changed_rows(
+    changes: DataFrame, *, listing: DataFrame | None = None, desktop_files: DataFrame | None = None, profile: Profile = UNIX
 ) -> DataFrame:
-    """Catalog after a batch of changes ``(seq, kind, path, is_dir, size)``.
-
-    Removed drops the whole subtree. Created drops it too, then adds the path's row and, from
-    ``listing``, what lies below it. Modified replaces the path's own row. A path counts as there
-    unless it or a directory above it is removed later in the batch. Rows of desktop files come
-    from ``desktop_files`` ``(path, value)``; without it a created or modified one is an error, except
-    in the windows dialect, where it is a file like others. There paths are compared without case and with either slash.
-    """
+    """The catalog rows that a batch of changes brings, by the rules of ``apply_changes``; they do not depend on the catalog."""
     from trigrove.sources.desktop import desktop_entries
 
     key = path_key("path", profile)
-    clear = drop_subtrees(catalog, changes.where("kind in ('Removed', 'Created')").select("path"), profile)
     keyed = changes.withColumn("key", key)
-    kept = clear.withColumn("key", key).join(keyed.select("key").distinct(), "key", "left_anti").select(*COLUMNS)
     removed = keyed.where("kind = 'Removed'").groupBy(F.col("key").alias("above")).agg(F.max("seq").alias("gone_at"))
 
     def there(rows: DataFrame) -> DataFrame:
@@ -219,10 +206,37 @@ def apply_changes(
         rows = rows.unionByName(there(below).withColumn("listed", F.lit(1)))
     rows = first_by(rows, ["key"], ["listed"]).withColumn("position", F.col("seq"))
     if profile.name == "windows":  # a desktop file is a file like others
-        return merge_last(kept, file_rows(rows, profile))
+        return file_rows(rows, profile)
     is_desktop = F.col("path").endswith(".desktop")
     if desktop_files is None:
         lost = F.raise_error(F.concat(F.lit("desktop_files is needed for the change of "), F.col("path")))
-        return merge_last(kept, file_rows(rows.where(F.when(is_desktop, lost.cast("boolean")).otherwise(True)), profile))
+        return file_rows(rows.where(F.when(is_desktop, lost.cast("boolean")).otherwise(True)), profile)
     texts = desktop_files.join(rows.where(is_desktop).select("path", "position"), "path")
-    return merge_last(kept, file_rows(rows.where(~is_desktop), profile).unionByName(as_catalog(desktop_entries(texts))))
+    return file_rows(rows.where(~is_desktop), profile).unionByName(as_catalog(desktop_entries(texts)))
+
+
+def without_changed(catalog: DataFrame, changes: DataFrame, profile: Profile = UNIX) -> DataFrame:
+    """Catalog rows that a batch of changes leaves: none below what is removed or created, none of a path that is changed itself."""
+    key = path_key("path", profile)
+    clear = drop_subtrees(catalog, changes.where("kind in ('Removed', 'Created')").select("path"), profile)
+    return clear.withColumn("key", key).join(changes.select(key.alias("key")).distinct(), "key", "left_anti").select(*COLUMNS)
+
+
+def apply_changes(
+    catalog: DataFrame,
+    changes: DataFrame,
+    *,
+    listing: DataFrame | None = None,
+    desktop_files: DataFrame | None = None,
+    profile: Profile = UNIX,
+) -> DataFrame:
+    """Catalog after a batch of changes ``(seq, kind, path, is_dir, size)``.
+
+    Removed drops the whole subtree. Created drops it too, then adds the path's row and, from
+    ``listing``, what lies below it. Modified replaces the path's own row. A path counts as there
+    unless it or a directory above it is removed later in the batch. Rows of desktop files come
+    from ``desktop_files`` ``(path, value)``; without it a created or modified one is an error, except
+    in the windows dialect, where it is a file like others. There paths are compared without case and with either slash.
+    """
+    come = changed_rows(changes, listing=listing, desktop_files=desktop_files, profile=profile)
+    return merge_last(without_changed(catalog, changes, profile), come)

@@ -43,7 +43,7 @@ def bucket_of(n_buckets: int) -> Column:
     return F.pmod(F.xxhash64("entry_class", F.array_join("terms", "\0")), F.lit(n_buckets)).cast("int")
 
 
-def _signed(old: DataFrame, new: DataFrame, *numbers: str) -> DataFrame:
+def signed_difference(old: DataFrame, new: DataFrame, *numbers: str) -> DataFrame:
     """``new`` minus ``old``: their rows with the sums of ``numbers`` (of a sign without any), none that are all 0."""
     sums = numbers or ("sign",)
     if not numbers:
@@ -186,9 +186,9 @@ class StoredIndex:
             (writer.partitionBy(by) if by else writer).parquet(place(table))
 
         by_bucket = lambda rows: rows.withColumn("bucket", bucket_of(self.n_buckets)).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
-        keep("entries", by_bucket(_signed(old, new)), "bucket")
+        keep("entries", by_bucket(signed_difference(old, new)), "bucket")
         before, after = (shape_rows(e, self.most) for e in (old, new))
-        shapes = written(_signed(before, after).withColumn("bucket", bucket_of(self.n_buckets)), "shapes")
+        shapes = written(signed_difference(before, after).withColumn("bucket", bucket_of(self.n_buckets)), "shapes")
         keep("shapes", shapes.select("entry_class", "bucket", "shape_id", "terms", "members", "sign").repartition("bucket"), "bucket")
         held = shapes.groupBy("entry_class", "shape_id", "bucket", "grams").agg(F.sum("sign").alias("sign")).where("sign <> 0")
         keep("postings", X.postings(held, "bucket", "grams", "sign").select("entry_class", "gram", "shape_id", "bucket", "grams", "sign"), order=("entry_class", "gram", "shape_id"))
@@ -197,7 +197,7 @@ class StoredIndex:
         spelled = shapes.select("entry_class", "last", "sign", F.explode(F.array_distinct(F.transform("terms", text.trim_space))).alias("term")).where("term <> ''")
         owners = spelled.groupBy("entry_class", "term", "last").agg(F.sum("sign").alias("sign")).where("sign <> 0")
         keep("owners", owners.select("entry_class", "term", "last.position", "last.owner", "sign"), order=("entry_class", "term"))
-        words = _signed(vocabulary(removed, self.trimmed), vocabulary(added, self.trimmed), "n")
+        words = signed_difference(vocabulary(removed, self.trimmed), vocabulary(added, self.trimmed), "n")
         keep("words", words, order=("kind", "word"))
         self.spark.createDataFrame([(batch,)], "batch long").coalesce(1).write.mode("append").json(f"{self.folder}/published")
 

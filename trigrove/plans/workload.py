@@ -20,11 +20,12 @@ from trigrove.operators.index import LookupTables
 from trigrove.plans import tables as T
 from trigrove.plans.build import build_catalog
 from trigrove.plans.fresh import search_version, serve
+from trigrove.plans.pathed import PathedCatalog
 from trigrove.plans.search import Steps, ranked_rows, retrieve, score_rows
 from trigrove.plans.shared import new_folder, written
 from trigrove.plans.stored import StoredIndex
 from trigrove.sources import clicklog, desktop, files, fixed, requests, snapshot, treemodel
-from trigrove.streaming.changes import apply_batch, stream_changes, translate_events
+from trigrove.streaming.changes import apply_batch, stream_changes, stream_changes_by_path, translate_events
 from trigrove.streaming.clicks import ClickStores, stream_clicks
 from trigrove.streaming.coalesce import coalesced, drain
 from trigrove.streaming.queries import stream_queries
@@ -528,6 +529,22 @@ def apply_changes(spark, sf):
     return _changed(K.apply_changes(T.catalog(spark, sf), page_changes(T.read(spark, sf, "pages"))))
 
 
+@registered
+def path_range_changes(spark, sf):
+    """The page changes applied to a catalog in the order of its paths: what lies below them is read, the difference written."""
+    store = PathedCatalog.build(T.catalog(spark, sf), new_folder(spark, "paths"))
+    store.apply(page_changes(T.read(spark, sf, "pages")))
+    return _changed(store.read())
+
+
+@registered
+def path_range_subtrees(spark, sf):
+    """What lies in the directories of all pages that end in a file type, read by intervals of paths."""
+    catalog = T.catalog(spark, sf)
+    above = catalog.where("entry_type = 'File' and path like '%.html'").select(paths.parent(F.col("path")).alias("path"))
+    return PathedCatalog.build(catalog, new_folder(spark, "paths")).below(above).select("id", "path")
+
+
 @registered
 def windows_apply_changes(spark, sf):
     """The page changes in the windows dialect: addresses as paths with back slashes, changes in upper case."""
@@ -886,6 +903,15 @@ def stream_changes_catalog(spark, sf):
     return _changed(store.read())
 
 
+@registered
+def stream_changes_paths(spark, sf):
+    """The catalog in the order of its paths after the page changes have come in as a stream."""
+    store = PathedCatalog.build(T.catalog(spark, sf), new_folder(spark, "paths"))
+    feed = page_changes(_stream(spark, sf, "pages")).withColumn("source", F.lit("files"))
+    stream_changes_by_path(feed, store, new_folder(spark, "progress"), available_now=True).awaitTermination()
+    return _changed(store.read())
+
+
 @registered
 def change_stream_coalesced(spark, sf):
     """The page changes as a stream on a processing-time trigger, two files of eight at a time: the latest of each path of what its timers sent on."""

@@ -388,6 +388,10 @@ SQL: dict[str, str] = {
       AND NOT list_contains(string_split(path, '/')[2:], 'de')""",
     "subtree_delete": f"""WITH gone AS (SELECT DISTINCT {parent('path')} AS path FROM catalog WHERE entry_type = 'File' AND ends_with(path, '.html'))
       SELECT id, path FROM catalog c WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE {under('c.path', 'g.path')})""",
+    "path_range_subtrees": f"""WITH gone AS (SELECT DISTINCT {parent('path')} AS path FROM catalog WHERE entry_type = 'File' AND ends_with(path, '.html'))
+      SELECT id, path FROM catalog c WHERE EXISTS (SELECT 1 FROM gone g WHERE {under('c.path', 'g.path')})""",
+    "path_range_changes": "SELECT * FROM changed",
+    "stream_changes_paths": "SELECT * FROM changed",
     "change_coalesce": "SELECT seq, kind, path, is_dir, size FROM latest",
     "change_stream_coalesced": "SELECT seq, kind, path, is_dir, size FROM latest",
     "apply_changes": "SELECT * FROM changed",

@@ -7,11 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from trigrove.functions import paths
 from trigrove.model import Profile, UNIX, UNIX_EXCLUDES
 from trigrove.operators.catalog import apply_changes, carry_usage, replace_catalog, replace_files
+from trigrove.plans.pathed import PathedCatalog
 from trigrove.plans.shared import written
 from trigrove.sources.snapshot import VersionConflict, VersionedTable
 
@@ -123,7 +124,28 @@ def stream_changes(
     def one(batch: DataFrame, batch_id: int) -> None:
         apply_batch(store, batch, batch_id, profile=profile, feed=feed_name(FEED, batch), **batch_options)
 
-    writer = changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    return _started(changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint), available_now, interval_ms, profile)
+
+
+def stream_changes_by_path(
+    changes: DataFrame, store: PathedCatalog, checkpoint: str, *, available_now: bool = False, interval_ms: int | None = None,
+    listing: DataFrame | None = None, desktop_files: DataFrame | None = None,
+) -> StreamingQuery:
+    """Apply a stream of changes to a catalog in the order of its paths: each batch reads and writes only where its paths lie.
+
+    Such a catalog is made anew with ``build`` after lost events or changes of applications and settings; a batch that asks for either fails."""
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        rows = written(batch, "changes")  # worked out once for all that follows
+        if not rows.where("kind = 'Overflow' or source = 'catalog'").isEmpty():
+            raise ValueError("events were lost or applications have changed: the catalog has to be built again")
+        if not rows.isEmpty():
+            store.apply(rows, listing=listing, desktop_files=desktop_files, feed=feed_name(FEED, batch), feed_batch=batch_id)
+
+    return _started(changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint), available_now, interval_ms, store.profile)
+
+
+def _started(writer: DataStreamWriter, available_now: bool, interval_ms: int | None, profile: Profile) -> StreamingQuery:
     if available_now:
         return writer.trigger(availableNow=True).start()
     wait = profile.batch_interval_ms if interval_ms is None else interval_ms
