@@ -22,7 +22,7 @@ OPERATORS = {
     "mixed": lambda spark, docs: mixture.mixed(docs),
     "curriculum": lambda spark, docs: mixture.curriculum(docs),
     "one_of_each": lambda spark, docs: neardup.one_of_each(docs),
-    "quality": lambda spark, docs: quality.judged(docs, quality.trusted_sample(_labels(spark))),
+    "quality": lambda spark, docs: quality.judged(docs, quality.trusted(_labels(spark))),
     "toxicity": lambda spark, docs: toxicity.scored(docs, _labels(spark)),
     "lines": lambda spark, docs: lines.without_boilerplate(docs, sites=2),
     "secrets": lambda spark, docs: secrets.scanned(docs),

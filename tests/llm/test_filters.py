@@ -56,7 +56,7 @@ def test_empty_tables(spark):
     assert decontaminate.contamination(docs, items).count() == 0
     assert decontaminate.contamination(brute.table(spark, brute.awkward()), items).where("size(items) > 0").count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert quality.judged(docs, quality.trusted_sample(labels)).count() == 0
+    assert quality.judged(docs, quality.trusted(labels)).count() == 0
     assert lines.without_boilerplate(docs).count() == 0
 
 
@@ -64,7 +64,7 @@ def test_quality_counts_and_verdicts(spark, data):
     rows = brute.awkward() + [(50 + k, t, "en", "s1") for k, t in enumerate(["a b c d e " * 5 + "f", "x\ny\nx\n\n \nx", "a a a a a a", "a|b #c\n" * 3, "u " * 9])]
     docs = brute.table(spark, rows)
     labels = spark.createDataFrame([(6, 1, 0), (6, 1, 0), (4, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    found = quality.judged(docs, quality.trusted_sample(labels)).collect()
+    found = quality.judged(docs, quality.trusted(labels)).collect()
     assert len(found) == len(rows)
     for r in found:
         wanted = brute.measures(r["text"])
@@ -72,7 +72,7 @@ def test_quality_counts_and_verdicts(spark, data):
         assert r["base_failed"] == (wanted[0] < 10 or 100 * wanted[4] > 20 * wanted[0])
         assert r["kept"] == (not r["base_failed"] and r["score"] >= quality.THRESHOLD)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert quality.judged(docs, quality.trusted_sample(none)).where("score <> 0").count() == 0
+    assert quality.judged(docs, quality.trusted(none)).where("score <> 0").count() == 0
 
 
 def test_scores_are_mean_log_ratios_over_all_documents(spark):
@@ -106,6 +106,24 @@ def test_same_as_sql(spark, data, name):
     assert compare(QUERIES[name](spark, data), connection(data), SQL[name]) == []
 
 
+def test_quality_counts_every_trusted_text_both_ways(spark, monkeypatch):
+    rows = [(k, f"word{k % 7} other{k % 5} thing{k}") for k in range(60)] + [(3, "again"), (None, "no id")]
+    docs, good = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k in range(0, 60, 2)] + [(None,), (2,)], "doc_id long")
+    sent = quality.log_ratios(docs, good, buckets=512)
+    monkeypatch.setattr(quality, "MOST_BROADCAST", 0)
+    joined = quality.log_ratios(docs, good, buckets=512)
+    assert (sent == joined).all() and len(sent) == 512
+    counts = quality._marked(docs, good, "doc_id", "text").groupBy("_trusted").count().collect()
+    assert {r["_trusted"]: r["count"] for r in counts} == {True: 30, False: 32}
+
+
+def test_quality_scores_do_not_depend_on_neighbours():
+    values = quality.np.random.default_rng(1).normal(size=1_000)
+    together = quality._own_sums(values, quality.np.array([0, 0, 333, 333, 1_000, 1_000]))
+    alone = [quality._own_sums(part, quality.np.array([0, len(part)]))[0] for part in (values[:333], values[333:])]
+    assert together.tolist() == [0, alone[0], 0, alone[1], 0]
+
+
 def test_quality_query_keeps_good_labels(spark):
     folder = "/root/testdata/sf0.01"
     found = QUERIES["op4_quality"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("not base_failed")

@@ -46,8 +46,8 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, likelihood score and verdict of every document."""
-    trusted = quality.trusted_sample(table(spark, sf_dir, "labels"))
-    found = quality.judged(table(spark, sf_dir, "documents"), trusted, keep=["doc_id"])
+    good = quality.trusted(table(spark, sf_dir, "labels"))
+    found = quality.judged(table(spark, sf_dir, "documents"), good, keep=["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
