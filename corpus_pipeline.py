@@ -19,7 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def rule_filtered(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality.judged(docs, quality.trusted_sample(table(spark, sf_dir, "labels")))
+    judged = quality.judged(docs, quality.trusted(table(spark, sf_dir, "labels")))
     return judged.where("kept").select(*docs.columns)
 
 
