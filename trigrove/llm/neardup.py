@@ -7,7 +7,7 @@ Documents with equal sets form a class without any comparison; only classes are
   a similarity of 0.85). Two sets of similarity s keep a run of r values from one of its places with probability
   s ** r. Sets of up to ``ALL_PLACES`` shingles enter every run of theirs; then a pair at the threshold has a common
   one for certain, as so few different values cannot break all runs (``run_lengths``). Larger sets enter the runs that
-  begin at a value divisible by four, some 64 of them. A run is rarely common to documents that only share a passage.
+  begin at a value divisible by four, some 30 of them. A run is rarely common to documents that only share a passage.
 * A list is not multiplied out. The center of a list is the class that meets most others in all its lists, in a
   group of near copies the one they come from or nearly. Each class is first compared with one center, the one it
   shares most lists with. Where a list then still holds classes of several groups, the sketches of those outside its largest
@@ -37,9 +37,9 @@ from trigrove.llm.components import components
 from trigrove.plans.shared import written
 
 SKETCH = 256
-PLACES = 256
+PLACES = 128
 SHORT_SET = 16
-ALL_PLACES = 256
+ALL_PLACES = 150
 DEVIATIONS = 6
 BLOCK = 1024
 _OPEN = np.iinfo(np.int32).max
