@@ -192,3 +192,27 @@ def test_counts_of_another_writer_stay(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(VersionedTable, "publish", interrupted)
     assert record_batch(click("a"), 0, tables, stores, feed="one", now=lambda: NOW)
     assert [tuple(r) for r in stores.usage.read().collect()] == [(1, 2, NOW)]
+
+
+def test_given_tables_are_streams_as_files_and_as_folders(spark, data, tmp_path):
+    from trigrove.plans import tables as T
+    from trigrove.plans.workload import _stream
+
+    part = T.read(spark, data, "part")
+    part.repartition(3).write.parquet(str(tmp_path / "part.parquet"))
+    for folder in (data, str(tmp_path)):
+        sink = str(tmp_path / "sink" / folder.strip("/").replace("/", "-"))
+        feed = _stream(spark, folder, "part").writeStream.format("parquet").option("path", sink).option("checkpointLocation", sink + "-progress")
+        feed.trigger(availableNow=True).start().awaitTermination()
+        assert spark.read.parquet(sink).count() == part.count() > 0
+
+
+def test_strays_are_in_no_catalog(spark, data):
+    from trigrove.plans import tables as T
+    from trigrove.plans.workload import _strays, clicks
+
+    part = spark.range(90_000, 901_000).select(F.col("id").alias("p_partkey"), F.lit("large bolt").alias("p_name"))  # as many parts as of a large table
+    events = T.read(spark, data, "events").where("event_type = 'view'")
+    picked = clicks(_strays(events), part)
+    assert picked.count() == events.count() > 0
+    assert picked.where("selected_name is not null").isEmpty()
