@@ -60,27 +60,31 @@ def file_catalog(
 def shortcut_apps(listing: DataFrame) -> DataFrame:
     """Application rows of shortcut files ``(root, path)``: the parent folder and aliases are
     tags, the first folder below the root is the category."""
-    slashed = F.translate("path", "\\", "/")
-    root = F.regexp_replace(F.translate("root", "\\", "/"), r"/+$", "")
-    name = paths.stem(slashed)
-    kept = listing.where(
-        F.lower(paths.extension(slashed)).isin(*SHORTCUTS) & (F.trim(name) != "") & (F.lower(name) != "uninstall")
+    # The filter is pushed to the scan and takes its expressions along, so each of them is bound once instead of being repeated.
+    slashed = listing.select(
+        "path", F.translate("path", "\\", "/").alias("slashed"), F.regexp_replace(F.translate("root", "\\", "/"), r"/+$", "").alias("root")
     )
-    below = F.split(F.regexp_replace(F.substr(slashed, F.length(root) + 1), r"^/+", ""), "/")
-    category = F.when(F.size(below) > 1, F.get(below, F.lit(0))).otherwise(F.lit("Applications"))
-    tags = F.concat(F.array(paths.base_name(paths.parent(slashed))), text.aliases(name, windows=True))
+    both = lambda n: F.struct(paths.stem_of_name(n).alias("name"), F.lower(paths.extension_of_name(n)).alias("extension"))
+    named = slashed.withColumn("file", text.bound(F.col("slashed"), lambda s: text.bound(paths.base_name(s), both)))
+    wanted = lambda f: f["extension"].isin(*SHORTCUTS) & (F.trim(f["name"]) != "") & (F.lower(f["name"]) != "uninstall")
+    kept = named.where(text.bound(F.col("file"), wanted)).select("path", "slashed", "root", F.col("file.name").alias("name"))
+    below = F.split(F.regexp_replace(F.substr("slashed", F.length("root") + 1), r"^/+", ""), "/")
+    category = text.bound(below, lambda b: F.when(F.size(b) > 1, F.get(b, F.lit(0))).otherwise(F.lit("Applications")))
+    folder = text.bound(F.col("slashed"), lambda s: text.bound(paths.parent(s), paths.base_name))
+    tags = F.concat(F.array(folder), text.aliases(F.col("name"), windows=True))
+    described = kept.select("path", "name", category.alias("category"), tags.alias("tags"))
     metadata = F.struct(
         F.lit(None).cast("string").alias("file_type"),
         F.lit(None).cast("long").alias("file_size"),
         F.lit(False).alias("is_dir"),
-        text.distinct_tags(tags, name, windows=True).alias("tags"),
-        category.alias("category"),
+        text.distinct_tags(F.col("tags"), F.col("name"), windows=True).alias("tags"),
+        "category",
     )
     return as_catalog(
-        kept.select(
+        described.select(
             paths.stable_id(F.lit("App"), F.col("path"), caseless=True).alias("id"),
             F.lit("App").alias("entry_type"),
-            name.alias("name"),
+            "name",
             F.col("path"),
             F.col("path").alias("icon_path"),
             metadata.alias("metadata"),
