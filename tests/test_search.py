@@ -221,3 +221,23 @@ def test_one_query_without_an_empty_one_skips_the_catalogs_best(spark):
     entries = catalog(spark, entry(1, "document", count=3, last=NOW))
     assert found(search(queries(spark, "documnt", "nothing like it"), entries, now=NOW)) == {"0": [1]}
     assert found(search(queries(spark, "documnt", " "), entries, now=NOW)) == {"0": [1], "1": [1]}
+
+
+def test_stage_1_reads_few_rows_of_a_search_that_many_texts_share(spark):
+    """Of the hits of a common search a text takes as many as stage 1 keeps, by its own match grade first."""
+    from pyspark.sql import functions as F
+
+    from trigrove.operators import candidates as C
+
+    routes = spark.createDataFrame(
+        [("n7", True, "File", "en", 0.6), ("name 31", True, "File", "en", 0.6)], "text string, single boolean, entry_class string, search_text string, least double"
+    )
+    found = spark.range(100).select(
+        F.lit("File").alias("entry_class"), F.lit("en").alias("search_text"), F.lit(0.6).cast("double").alias("least"), F.lit("overlap").alias("role"), F.lit(1.0).alias("score"),
+        "id", F.concat(F.lit("name "), "id").alias("name"), F.array(F.concat(F.lit("name "), "id")).alias("terms"),
+        (F.col("id") % 3).alias("access_count"), F.lit(0).cast("long").alias("last_accessed"), F.lit(0.0).alias("frecency_score"),
+    )
+    rows = C.best_text_hits(routes, found, C.searches(routes), 5, "prefix", F.col("access_count").cast("double"), F.asc("name")).collect()
+    ids = lambda t: sorted(r["id"] for r in rows if r["text"] == t)
+    most_used = sorted((i for i in range(100) if i % 3 == 2), key=lambda i: f"name {i}")
+    assert ids("n7") == sorted(most_used[:5]) and ids("name 31") == sorted([31, *[i for i in most_used if i != 31][:4]])
