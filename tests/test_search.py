@@ -241,3 +241,30 @@ def test_stage_1_reads_few_rows_of_a_search_that_many_texts_share(spark):
     ids = lambda t: sorted(r["id"] for r in rows if r["text"] == t)
     most_used = sorted((i for i in range(100) if i % 3 == 2), key=lambda i: f"name {i}")
     assert ids("n7") == sorted(most_used[:5]) and ids("name 31") == sorted([31, *[i for i in most_used if i != 31][:4]])
+
+
+def test_meetings_without_a_grade_make_no_row(spark):
+    """Shapes that share a gram with a search and cannot be among its hits are left out inside the join; the hits are those of comparing everything."""
+    from trigrove.operators import candidates as C
+    from trigrove.operators import index as X
+
+    most, names = 5, [f"Supplier#{k * 7919 % 1_000_000:09d}" for k in range(400)] + [f"{k} words of a longer name that differs at its end only {k}" for k in range(20)]
+    shapes = LookupTables.of(catalog(spark, *[entry(k, name, "App") for k, name in enumerate(names, 1)]), most)
+    asked = [(t.lower(), len(t) < 15) for t in [*names[::7], *[n[:1] + n[2:] for n in names[3::9]], "123", "2340", "r#0"]]
+    searches = spark.createDataFrame([("App", t, 0.8, near, 1) for t, near in asked], "entry_class string, search_text string, least double, near boolean, n_texts long")
+    search_grams = C.ranked_grams(searches, shapes.gram_counts)
+    lookups = C._lookups(search_grams)
+    rows = C.met_by_gram(X.postings(C.signed(shapes.shapes), "grams", *C.SIGNATURE), lookups, most)
+    meetings = lookups.where("search_text = 'r#0'").agg(F.sum("n_shapes")).first()[0]
+    assert meetings >= 400 and rows.where("search_text = 'r#0'").count() < 200
+    held = {k: grams(name) for k, name in enumerate(names, 1)}
+    want = set()
+    for t, near in asked:
+        wanted = grams(t)
+        overlaps = sorted((-len(wanted & g) / len(wanted), k) for k, g in held.items() if len(wanted & g) / len(wanted) >= 0.8 - 1e-9)
+        want |= {(t, C.OVERLAP, k) for _, k in overlaps[:most]}
+        rarest = [g for n, g in sorted((sum(g in h for h in held.values()), g) for g in wanted) if n][:3]
+        pool = sorted((-sum(g in h for g in rarest), k) for k, h in held.items() if any(g in h for g in rarest))
+        want |= {(t, C.FUZZY, k) for _, k in pool[:most]} if near else set()
+    for broadcast in (True, False):
+        assert {(r["search_text"], r["role"], r["id"]) for r in C.search_hits(shapes, search_grams, most, broadcast).collect()} == want
